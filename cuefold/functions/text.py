@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Python's \w is Unicode-aware, Java's is not.
 WORD = r"[\p{L}\p{N}_]+"
@@ -33,7 +34,7 @@ def speaker(text: Column) -> Column:
     return F.when(usable & one_line, named)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

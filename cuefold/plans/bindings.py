@@ -7,7 +7,7 @@ spans, purchases and errors are evidence items. Each binding has a SQL twin for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
@@ -119,3 +119,76 @@ def gaps_sql(islands: str, name: str, drop: int = 100) -> str:
     FROM (SELECT episode_id, start_ms, end_ms FROM {islands} WHERE end_ms > start_ms
           UNION ALL SELECT episode_id, -1, 0 FROM episodes))
   WHERE hi - lo > {drop})"""
+
+
+def talk(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as episodes: a turn is a cue of its speaker, every four seconds."""
+    start = F.col("turn") * 4000
+    return table(spark, folder, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id")).alias("episode_id"), F.col("turn").alias("ordinal"),
+        start.alias("start_ms"), (start + 1000 + F.least(F.length("text"), F.lit(2500)).cast("bigint") ).alias("end_ms"),
+        F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("text"),
+    )
+
+
+TALK_SQL = """WITH RECURSIVE talk AS (SELECT 'c' || conv_id AS episode_id, turn AS ordinal, turn * 4000 AS start_ms,
+  turn * 4000 + 1000 + least(length(text), 2500) AS end_ms, role || ': ' || text AS text FROM conversations),
+tidy AS (SELECT * EXCLUDE (text), array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM talk)"""
+
+
+def clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as clips of an output (the order), numbered in line order."""
+    line = table(spark, folder, "lineitem")
+    start = (F.col("l_suppkey") * 7919 + F.col("l_partkey") * 104729) % 86_300_000
+    order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"
+    )
+    return line.select(
+        F.col("l_orderkey").alias("output_id"), (F.row_number().over(order) - 1).cast("bigint").alias("ordinal"),
+        F.format_string("2024-01-%02d", F.col("l_partkey") % 30 + 1).alias("episode_id"),
+        start.alias("start_ms"), (start + F.col("l_quantity").cast("bigint") * 1000).alias("end_ms"),
+    )
+
+
+CLIPS_SQL = """clips AS (SELECT l_orderkey AS output_id,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS ordinal,
+  printf('2024-01-%02d', l_partkey % 30 + 1) AS episode_id,
+  (l_suppkey * 7919 + l_partkey * 104729) % 86300000 AS start_ms,
+  (l_suppkey * 7919 + l_partkey * 104729) % 86300000 + CAST(l_quantity AS BIGINT) * 1000 AS end_ms FROM lineitem)"""
+
+
+def shelf(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as a media shelf: a video and a sidecar per part, a hundred parts to a folder."""
+    p = table(spark, folder, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    root = F.format_string("/lib/%04d/", F.floor(key / 100))
+    show = F.concat(F.lit("Show"), key % 7)
+    video = (
+        F.when(key % 5 == 0, F.concat(F.lit("film_"), F.char(F.lit(97) + key % 7), F.lit(".mkv")))
+        .when(key % 2 == 0, F.format_string("%s.S%02dE%02d.%s.mkv", show, size % 3 + 1, key % 40 + 1, F.lower("p_type")))
+        .otherwise(F.format_string("%s.%dx%02d.mp4", show, size % 3 + 1, key % 40 + 1))
+    )
+    side_show = F.concat(F.lit("show"), size % 7)
+    words = F.element_at(F.array(*[F.lit(w) for w in ("", ".en", ".fr", ".en.forced", "_ger")]), (size % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*[F.lit(w) for w in (".srt", ".ass", ".vtt", ".idx", ".sub", ".txt")]), (key % 6 + 1).cast("int"))
+    side = (
+        F.when(key % 5 == 0, F.concat(F.lit("Film_"), F.char(F.lit(97) + size % 7)))
+        .otherwise(F.format_string("%s.S%02dE%02d", side_show, key % 3 + 1, size % 40 + 1))
+    )
+    return p.select(
+        key.alias("key"), size.alias("size"), F.floor(key / 100).alias("dir"), F.concat(root, video).alias("video"),
+        F.concat(root, side, words, ending).alias("sidecar"), "p_brand", "p_type", "p_name", "p_retailprice",
+    )
+
+
+SHELF_SQL = """WITH RECURSIVE shelf AS (SELECT p_partkey AS key, p_size AS size, p_partkey // 100 AS dir,
+  printf('/lib/%04d/', p_partkey // 100) || CASE
+    WHEN p_partkey % 5 = 0 THEN 'film_' || chr(CAST(97 + p_partkey % 7 AS INTEGER)) || '.mkv'
+    WHEN p_partkey % 2 = 0 THEN printf('Show%d.S%02dE%02d.%s.mkv', p_partkey % 7, p_size % 3 + 1, p_partkey % 40 + 1, lower(p_type))
+    ELSE printf('Show%d.%dx%02d.mp4', p_partkey % 7, p_size % 3 + 1, p_partkey % 40 + 1) END AS video,
+  printf('/lib/%04d/', p_partkey // 100) || CASE WHEN p_partkey % 5 = 0 THEN 'Film_' || chr(CAST(97 + p_size % 7 AS INTEGER))
+    ELSE printf('show%d.S%02dE%02d', p_size % 7, p_partkey % 3 + 1, p_size % 40 + 1) END
+    || ['', '.en', '.fr', '.en.forced', '_ger'][p_size % 5 + 1]
+    || ['.srt', '.ass', '.vtt', '.idx', '.sub', '.txt'][p_partkey % 6 + 1] AS sidecar,
+  ['.srt', '.ass', '.vtt', '.idx', '.sub', '.txt'][p_partkey % 6 + 1] AS ending,
+  p_brand, p_type, p_name, p_retailprice FROM part)"""

@@ -20,6 +20,7 @@ def build_session(app: str = "cuefold", cpus: int | str = "*", **extra: str) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CUEFOLD_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
