@@ -39,7 +39,7 @@ def _nearest(values: pd.Series, limit: int, mark: str) -> pd.Series:
         return f"{near.numerator}{mark}{near.denominator}" if near > 0 else ""
 
     table = {v: one(v) for v in values.dropna().unique()}
-    return values.map(table)
+    return pd.Series([table.get(v) for v in values], dtype=object)
 
 
 @F.pandas_udf(StringType())

@@ -36,7 +36,7 @@ def speaker(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+    return pd.Series([html.unescape(t) if isinstance(t, str) else None for t in texts], dtype=object)
 
 
 def strip_formatting(text: Column, entities: bool = True) -> Column:

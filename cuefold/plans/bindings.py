@@ -192,3 +192,64 @@ SHELF_SQL = """WITH RECURSIVE shelf AS (SELECT p_partkey AS key, p_size AS size,
     || ['.srt', '.ass', '.vtt', '.idx', '.sub', '.txt'][p_partkey % 6 + 1] AS sidecar,
   ['.srt', '.ass', '.vtt', '.idx', '.sub', '.txt'][p_partkey % 6 + 1] AS ending,
   p_brand, p_type, p_name, p_retailprice FROM part)"""
+
+
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as story candidates: the whole text is the thesis, every line is a reference."""
+    d = table(spark, folder, "documents")
+    size = F.col("n_chars")
+    lines = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+    refs = F.transform(lines, F.md5)
+    start = (F.col("doc_id") * 7919) % 86_000_000
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    source, lang = F.col("source"), F.col("lang")
+    day = F.format_string("2024-01-%02d", F.col("doc_id") % 35 + 1)
+    spans = F.array(F.struct(
+        day.alias("episode_id"), start.alias("start_ms"), (start + size * 500).alias("end_ms"), F.lit(None).cast("string").alias("ref")
+    ))
+    return d.select(
+        F.lit("season").alias("project"), F.format_string("d%07d", F.col("doc_id")).alias("proposal_id"),
+        text("About ", source).alias("title"), F.col("text").alias("thesis"), F.lit("").alias("subject"),
+        F.when(F.col("doc_id") % 3 == 0, "SEASON_ARC").when(F.col("doc_id") % 3 == 1, "CROSS_EPISODE").otherwise("SINGLE_EPISODE").alias("scope"),
+        F.array(day, F.format_string("2024-01-%02d", F.col("doc_id") % 13 + 1)).alias("episodes"),
+        F.array(text(source, "/", lang, "/", F.floor(size / 300))).alias("characters"),
+        text(source, "/", lang, "/", F.floor(size / 1000)).alias("primary_character"),
+        F.array(text("len", F.floor(size / 20)), text(lang, F.floor(size / 500))).alias("tags"),
+        F.array_distinct(refs).alias("refs"), spans.alias("ranges"),
+        ((F.col("doc_id") % 10) / 10).alias("confidence"), F.lit("new").alias("status"),
+    )
+
+
+CANDIDATES_SQL = """cand AS (SELECT doc_id, printf('d%07d', doc_id) AS id, 'About ' || source AS title, text AS thesis,
+  list_distinct(regexp_extract_all(lower('About ' || source || ' ' || text || ' '), '[\\p{L}\\p{N}_]+')) AS words,
+  ['len' || n_chars // 20, lang || n_chars // 500] AS tags,
+  list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> ''), lambda s: md5(s))) AS refs,
+  [source || '/' || lang || '/' || n_chars // 300] AS chars, source || '/' || lang || '/' || n_chars // 1000 AS prim,
+  [printf('2024-01-%02d', doc_id % 35 + 1), printf('2024-01-%02d', doc_id % 13 + 1)] AS eps,
+  CASE doc_id % 3 WHEN 0 THEN 'SEASON_ARC' WHEN 1 THEN 'CROSS_EPISODE' ELSE 'SINGLE_EPISODE' END AS scope,
+  (doc_id % 10) / 10 AS confidence, doc_id * 7919 % 86000000 AS start_ms, doc_id * 7919 % 86000000 + n_chars * 500 AS end_ms FROM documents)"""
+
+
+def decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers about candidates: merges into the document before, bare rejections, repeats, gaps."""
+    d = table(spark, folder, "documents").select("doc_id")
+    digit = F.col("doc_id") % 10
+    name = lambda i: F.format_string("d%07d", i)
+    first = d.where(digit != 0).select(
+        name(F.col("doc_id")).alias("candidate_id"), F.lit(0).alias("ordinal"),
+        F.when(digit.isin(1, 3, 4), "MERGE").when(digit == 2, "REJECT").otherwise("KEEP").alias("action"),
+        F.when(digit.isin(1, 3, 4), "duplicate_thesis_evidence").otherwise("").alias("reason_code"),
+        F.when(digit.isin(1, 3, 4), name(F.col("doc_id") - 1)).otherwise("").alias("target_id"),
+    )
+    again = d.where(digit >= 8).select(
+        name(F.col("doc_id")).alias("candidate_id"), F.lit(1).alias("ordinal"), F.lit("REJECT").alias("action"),
+        F.lit("weak_evidence").alias("reason_code"), F.lit("").alias("target_id"),
+    )
+    return first.unionByName(again)
+
+
+DECISIONS_SQL = """dec AS (SELECT printf('d%07d', doc_id) AS candidate_id, 0 AS ordinal,
+  CASE WHEN doc_id % 10 IN (1, 3, 4) THEN 'MERGE' WHEN doc_id % 10 = 2 THEN 'REJECT' ELSE 'KEEP' END AS action,
+  CASE WHEN doc_id % 10 IN (1, 3, 4) THEN 'duplicate_thesis_evidence' ELSE '' END AS reason_code,
+  CASE WHEN doc_id % 10 IN (1, 3, 4) THEN printf('d%07d', doc_id - 1) ELSE '' END AS target_id FROM documents WHERE doc_id % 10 <> 0
+  UNION ALL SELECT printf('d%07d', doc_id), 1, 'REJECT', 'weak_evidence', '' FROM documents WHERE doc_id % 10 >= 8)"""

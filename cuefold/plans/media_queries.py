@@ -242,12 +242,12 @@ def best_audio(spark, folder):
     return selection.best_audio(s, ["video"])
 
 
-@query("probe_streams", f"""{SHELF} SELECT video AS path, k.kind, CAST(0 AS INTEGER) AS ordinal, CAST(size * 2 + k.at AS INTEGER) AS idx, k.codec,
+@query("probe_streams", f"""{SHELF} SELECT video AS path, k.kind, CAST(0 AS INTEGER) AS ordinal, CAST(size * 2 + k.pos AS INTEGER) AS idx, k.codec,
   CASE k.kind WHEN 'audio' THEN CASE WHEN size % 4 = 0 THEN 'Director talk' ELSE p_name END ELSE '' END AS title,
   CASE k.kind WHEN 'audio' THEN 'eng' ELSE 'und' END AS language, k.kind = 'audio' AND size % 4 = 0 AS is_commentary,
   CASE k.kind WHEN 'video' THEN '24000/1001' ELSE '' END AS fps, CASE k.kind WHEN 'video' THEN '1/1000' WHEN 'audio' THEN '1/48000' ELSE '' END AS time_base,
   CASE k.kind WHEN 'video' THEN '4:3' ELSE '' END AS sar, CAST(CASE k.kind WHEN 'video' THEN size * 16 ELSE 0 END AS INTEGER) AS width
-FROM (SELECT DISTINCT ON (video) * FROM shelf ORDER BY video, key), (VALUES ('video', 0, 'h264'), ('audio', 1, 'aac'), ('subtitle', 2, 'subrip')) k(kind, at, codec)""")
+FROM (SELECT DISTINCT ON (video) * FROM shelf ORDER BY video, key), (VALUES ('video', 0, 'h264'), ('audio', 1, 'aac'), ('subtitle', 2, 'subrip')) k(kind, pos, codec)""")
 def probe_streams(spark, folder):
     """Probe documents composed per video, read back into stream rows."""
     first = b.shelf(spark, folder).groupBy("video").agg(F.min_by(F.struct("size", "p_name"), "key").alias("_r")).select("video", "_r.*")
