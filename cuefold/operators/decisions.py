@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuefold.functions.text import jaccard, tokens
 from cuefold.operators.grounding import corrected_scope
+from cuefold.session import durable
 
 DISTINCT_BELOW = 0.20
 MIN_CONFIDENCE = 0.35
@@ -122,12 +123,13 @@ def merge_unions(parts: DataFrame, candidates: DataFrame, consolidated: DataFram
 
 def reconcile(candidates: DataFrame, decisions: DataFrame, consolidated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(final decisions, survivors). Every input is decided once; nothing made up survives."""
-    decided = first_decisions(candidates, decisions)
+    # Decisions and parts are narrow and used several times: made durable, not recomputed.
+    decided = durable(first_decisions(candidates, decisions))
     parts = constituents(candidates, decided, consolidated)
     actions = decided.select(F.col("candidate_id").alias("input_id"), "action")
     dead = parts.join(actions, "input_id", "left").groupBy("proposal_id").agg(F.bool_and(F.col("action") == "REJECT").alias("dead")).where("dead")
-    parts = parts.join(dead, "proposal_id", "left_anti")
-    merged = merge_unions(parts, candidates, consolidated)
+    parts = durable(parts.join(dead, "proposal_id", "left_anti"))
+    merged = durable(merge_unions(parts, candidates, consolidated))
     kept = decided.where("action = 'KEEP'").join(merged.select(F.col("proposal_id").alias("candidate_id")), "candidate_id", "left_anti")
     judged = kept.select(F.col("candidate_id").alias("proposal_id")).join(candidates, "proposal_id").withColumn("_issue", quality_issue())
     alone = judged.where("_issue is null").select(

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuefold.functions.text import jaccard, tokens
+from cuefold.functions.text import tokens
 from cuefold.operators.graph import connected_components
 from cuefold.session import durable
 
@@ -45,24 +45,24 @@ def features(candidates: DataFrame) -> DataFrame:
     )
 
 
-def pair_score(a: str = "l", b: str = "r") -> Column:
-    """Score of a joined pair of feature structs named `a` and `b`."""
-    pick = lambda c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
-    words, tags, refs, chars = (jaccard(*pick(c)) for c in ("words", "tags", "refs", "chars"))
-    base = words * W_THESIS + tags * W_TAGS + refs * W_REFS + chars * W_CHARS
-    same = (F.col(f"{a}.primary") != "") & (F.col(f"{a}.primary") == F.col(f"{b}.primary"))
-    shared = F.arrays_overlap(*pick("eps"))
-    lift = F.when(same & (words >= 0.35), 0.70).when(same & shared & (words >= 0.2), 0.55).when(same & (tags >= 0.3), 0.50).otherwise(0.0)
-    proof = F.when(F.arrays_overlap(*pick("refs")), 0.65).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(base, lift, proof))
-
-
 def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
-    """(a, b, score) for the given id pairs."""
+    """(a, b, score) for the given id pairs. Each overlap is counted once, then scored."""
     held = feats.select("id", F.struct("words", "tags", "refs", "chars", "primary", "eps").alias("f"))
-    left = held.select(F.col("id").alias("a"), F.col("f").alias("l"))
-    right = held.select(F.col("id").alias("b"), F.col("f").alias("r"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", pair_score().alias("score"))
+    met = pairs.join(held.select(F.col("id").alias("a"), F.col("f").alias("l")), "a").join(
+        held.select(F.col("id").alias("b"), F.col("f").alias("r")), "b"
+    )
+    shared = lambda c: F.size(F.array_intersect(f"l.{c}", f"r.{c}"))
+    size = lambda c: (F.size(f"l.{c}") + F.size(f"r.{c}")).alias(f"{c}_n")
+    counted = met.select(
+        "a", "b", *[shared(c).alias(c) for c in ("words", "tags", "refs", "chars")], *[size(c) for c in ("words", "tags", "refs", "chars")],
+        ((F.col("l.primary") != "") & (F.col("l.primary") == F.col("r.primary"))).alias("same"), F.arrays_overlap("l.eps", "r.eps").alias("near"),
+    )
+    j = {c: F.when(F.col(f"{c}_n") > 0, F.col(c) / (F.col(f"{c}_n") - F.col(c))).otherwise(F.lit(0.0)) for c in ("words", "tags", "refs", "chars")}
+    base = j["words"] * W_THESIS + j["tags"] * W_TAGS + j["refs"] * W_REFS + j["chars"] * W_CHARS
+    same, near = F.col("same"), F.col("near")
+    lift = F.when(same & (j["words"] >= 0.35), 0.70).when(same & near & (j["words"] >= 0.2), 0.55).when(same & (j["tags"] >= 0.3), 0.50).otherwise(0.0)
+    proof = F.when(F.col("refs") > 0, 0.65).otherwise(0.0)
+    return counted.select("a", "b", F.least(F.lit(1.0), F.greatest(base, lift, proof)).alias("score"))
 
 
 def hub_links(feats: DataFrame) -> DataFrame:
@@ -96,28 +96,28 @@ def rare_first(feats: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(feats: DataFrame) -> DataFrame:
-    """(k1, k2, k3, id): every block in which a pair over the threshold without a hub must meet."""
-    ranked = rare_first(feats)
+def _blocks(feats: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(k, id): every block in which a pair over the threshold without a hub must meet.
+
+    Block names are hashed to 64 bits; two names that collide only add pairs to verify.
+    """
     prefix = lambda overlap: ranked.where(F.col("rank") <= _needed(F.col("size"), overlap))
-    key = lambda df, kind, k2, k3: df.select(F.lit(kind).alias("k1"), k2.alias("k2"), k3.alias("k3"), "id")
-    word = F.col("word")
+    key = lambda df, kind, *names: df.select(F.xxhash64(F.lit(kind), *names).alias("k"), "id")
     # The thesis alone: 0.25 / 0.40.
-    alone = key(prefix(THRESHOLD / W_THESIS), "w", F.lit(""), word)
+    alone = key(prefix(THRESHOLD / W_THESIS), "w", "word")
     # With a shared character: (0.25 - 0.15) / 0.40.
     by_char = prefix((THRESHOLD - W_CHARS) / W_THESIS).join(feats.select("id", F.explode("chars").alias("c")), "id")
     # Same primary character: thesis J of at least 0.20.
     by_primary = prefix(0.2).join(feats.where("primary <> ''").select("id", "primary"), "id")
-    # With a shared tag among k: unequal tag sets have J of at most k / (k + 1).
-    tagged = feats.select("id", F.size("tags").alias("k"), F.explode("tags").alias("t"))
-    by_tag = ranked.join(tagged, "id").where(F.col("rank") <= _needed(F.col("size"), (THRESHOLD / W_THESIS) / (F.col("k") + 1)))
+    # With a shared tag among n: unequal tag sets have J of at most n / (n + 1).
+    tagged = feats.select("id", F.size("tags").alias("n"), F.explode("tags").alias("t"))
+    by_tag = ranked.join(tagged, "id").where(F.col("rank") <= _needed(F.col("size"), (THRESHOLD / W_THESIS) / (F.col("n") + 1)))
     # Tags with the primary character, or with another shared character, may do without words.
     tags = feats.select("id", "primary", "chars", F.explode("tags").alias("t"))
     return (
-        alone.unionByName(key(by_char, "c", F.col("c"), word)).unionByName(key(by_primary, "p", F.col("primary"), word))
-        .unionByName(key(by_tag, "t", F.col("t"), word))
-        .unionByName(key(tags.where("primary <> ''"), "pt", F.col("primary"), F.col("t")))
-        .unionByName(key(tags.select("id", "t", F.explode("chars").alias("c")), "tc", F.col("t"), F.col("c")))
+        alone.unionByName(key(by_char, "c", "c", "word")).unionByName(key(by_primary, "p", "primary", "word"))
+        .unionByName(key(by_tag, "t", "t", "word")).unionByName(key(tags.where("primary <> ''"), "pt", "primary", "t"))
+        .unionByName(key(tags.select("id", "t", F.explode("chars").alias("c")), "tc", "t", "c"))
     )
 
 
@@ -126,15 +126,15 @@ def cross_links(feats: DataFrame, hub_groups: DataFrame, threshold: float = THRE
 
     hub_groups: id, group.
     """
-    keys = ["k1", "k2", "k3"]
-    blocks = _blocks(feats).distinct().join(hub_groups, "id")
-    sizes = blocks.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"))
-    shape = sizes.groupBy(*keys).agg(F.max_by("group", "n").alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    live = blocks.join(shape.select(*keys, "main"), keys)
+    marked = _blocks(feats, durable(rare_first(feats))).join(hub_groups, "id")
+    mixed = marked.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("k")
+    live = durable(marked.join(mixed, "k", "left_semi"))
+    main = live.groupBy("k", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("group", "n").alias("main"))
     # Every pair of different groups has a row outside the largest one: only those seek partners.
-    seekers = live.where(F.col("group") != F.col("main")).select(*keys, F.col("id").alias("s"), F.col("group").alias("gs"))
-    others = live.select(*keys, F.col("id").alias("o"), F.col("group").alias("go"), "main")
-    met = seekers.join(others, keys).where((F.col("gs") != F.col("go")) & ((F.col("go") == F.col("main")) | (F.col("s") < F.col("o"))))
+    told = live.join(main, "k")
+    seekers = told.where(F.col("group") != F.col("main")).select("k", F.col("id").alias("s"), F.col("group").alias("gs"))
+    others = told.select("k", F.col("id").alias("o"), F.col("group").alias("go"), "main")
+    met = seekers.join(others, "k").where((F.col("gs") != F.col("go")) & ((F.col("go") == F.col("main")) | (F.col("s") < F.col("o"))))
     pairs = met.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
     return score_pairs(pairs, feats).where(F.col("score") >= threshold)
 
