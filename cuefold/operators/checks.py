@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuefold.functions.names import file_name, safe_title, stem, suffix
 from cuefold.functions.timecode import srt_ms
+from cuefold.session import durable
 from cuefold.sources.evidence import kind
 from cuefold.sources.subtitles import LINE_BREAK
 
@@ -28,96 +29,128 @@ def _spread(rows: DataFrame, keys: Sequence[str], *issues: Column) -> DataFrame:
     return rows.select(*keys, F.explode(found).alias("_i")).select(*keys, "_i.*")
 
 
-def _text(item: Column, *names: str) -> Column:
-    """First of the named fields that is there, as trimmed text; '' where none is or it is null."""
-    values = [F.try_variant_get(item, f"$.{n}", "string") for n in names]
-    present = [kind(F.try_variant_get(item, f"$.{n}", "variant")).isNotNull() for n in names]
-    pick = F.when(present[0], values[0])
-    for test, value in zip(present[1:], values[1:]):
-        pick = pick.when(test, value)
-    return F.trim(F.coalesce(pick, F.lit("")))
+def _duplicates(rows: DataFrame, keys: Sequence[str], value: str, order: str, path: Column, code: str) -> DataFrame:
+    """Every holder of a value but the first: found by a map-side combined minimum, not a window."""
+    held = rows.where(F.col(value) != "")
+    first = held.groupBy(*keys, value).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = held.join(first, [*keys, value]).where(F.col(order) != F.col("_first"))
+    return again.select("project", path.alias("path"), F.lit(code).alias("code"))
 
 
-def _children(rows: DataFrame, keys: Sequence[str], item: str, field: str, at: str) -> DataFrame:
-    values = F.try_variant_get(item, f"$.{field}", "array<variant>")
-    return rows.select(*keys, "path", F.posexplode(values).alias(at, "item")).withColumn("path", F.concat("path", F.lit(f".{field}["), F.col(at), F.lit("]")))
+# What is read of each level, in one cast per object; fields whose kind matters stay variants.
+OUTPUT = "output_id string, title string, file_name string, output_type string, language string, segments variant"
+SEGMENT = (
+    "segment_id string, segment_type string, audio_policy string, subtitle_policy string, narration_text variant, narration variant, "
+    "recommended_visual_speed variant, source_clips variant"
+)
+CLIP = "episode_id string, source_file variant, source_video variant, start_ms variant, end_ms variant, start variant, end variant"
 
 
-def _duplicates(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], path: Column, code: str, project: Sequence[str]) -> DataFrame:
-    """Every holder of a value but the first: found by a map-side combined minimum, not a window."""
-    held = rows.where(F.col(value) != "")
-    first = held.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = held.join(first, [*keys, value]).where(F.struct(*order) != F.col("_first"))
-    return again.select(*project, path.alias("path"), F.lit(code).alias("code"))
+def _fields(item: str, shape: str) -> Column:
+    return F.try_variant_get(item, "$", f"struct<{shape}>")
+
+
+def _plan_rows(plans: DataFrame) -> DataFrame:
+    """Final plans as one typed row per clip, keeping empty levels; parsed once, then stored.
+
+    An output's fields repeat on its segments' rows and a segment's on its clips'; the first row of
+    each stands for it.
+    """
+    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    is_object = lambda c: F.coalesce(kind(F.col(c)) == "OBJECT", F.lit(False))
+    tidy = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    either = lambda a, b: F.trim(F.coalesce(F.try_variant_get(F.when(F.col(a).isNotNull(), F.col(a)).otherwise(F.col(b)), "$", "string"), F.lit("")))
+    root = plans.select("project", F.try_parse_json("content").alias("v")).withColumn("root_kind", F.coalesce(kind(F.col("v")), F.lit("")))
+    listed = F.try_variant_get("v", "$.outputs", "variant")
+    outs = root.select("project", "root_kind", F.when(F.col("root_kind") == "OBJECT", listed).alias("_l")).select(
+        "project", "root_kind", F.coalesce(kind(F.col("_l")), F.lit("")).alias("outputs_kind"), F.posexplode_outer(as_list(F.col("_l"))).alias("oi", "o")
+    )
+    outs = outs.select("project", "root_kind", "outputs_kind", "oi", is_object("o").alias("out_ok"), _fields("o", OUTPUT).alias("f"))
+    outs = outs.withColumn("_l", as_list(F.col("f.segments")))
+    segs = outs.select(
+        "project", "root_kind", "outputs_kind", "oi", "out_ok", *[tidy(F.col(f"f.{c}")).alias(c) for c in ("output_id", "title", "file_name", "output_type", "language")],
+        F.coalesce(F.size("_l"), F.lit(-1)).alias("n_segments"), F.posexplode_outer("_l").alias("si", "s"),
+    )
+    own = [c for c in segs.columns if c != "s"]
+    segs = segs.select(*own, is_object("s").alias("seg_ok"), _fields("s", SEGMENT).alias("f"))
+    speed = F.col("f.recommended_visual_speed")
+    segs = segs.withColumns({"_l": as_list(F.col("f.source_clips")), "speed": F.try_variant_get(speed, "$", "double")})
+    clips = segs.select(
+        *own, "seg_ok", tidy(F.col("f.segment_id")).alias("segment_id"), F.lower(tidy(F.col("f.segment_type"))).alias("segment_type"),
+        F.lower(tidy(F.col("f.audio_policy"))).alias("audio_policy"), F.lower(tidy(F.col("f.subtitle_policy"))).alias("subtitle_policy"),
+        either("f.narration_text", "f.narration").alias("narration"), "speed",
+        (F.col("speed").isNotNull() | (F.trim(F.coalesce(F.try_variant_get(speed, "$", "string"), F.lit(""))) == "")).alias("speed_ok"),
+        F.coalesce(F.size("_l"), F.lit(-1)).alias("n_clips"), F.posexplode_outer("_l").alias("ci", "c"),
+    )
+    own = [c for c in clips.columns if c != "c"]
+    clips = clips.select(*own, is_object("c").alias("clip_ok"), _fields("c", CLIP).alias("f"))
+    given = lambda a: F.when(F.col(f"f.{a}_ms").isNotNull(), F.try_variant_get(F.col(f"f.{a}_ms"), "$", "bigint")).otherwise(
+        F.bround(F.try_variant_get(F.col(f"f.{a}"), "$", "double") * 1000).cast("bigint")
+    )
+    return durable(clips.select(
+        *own, "clip_ok", tidy(F.col("f.episode_id")).alias("episode_id"), either("f.source_file", "f.source_video").alias("source_file"),
+        given("start").alias("s"), given("end").alias("e"),
+    ))
 
 
 def final_json_issues(plans: DataFrame, episodes: DataFrame, single: bool = False) -> DataFrame:
     """(project, path, code) of everything wrong in final plans.
 
     plans: project, content (JSON text); episodes: project, episode_id, ordinal, source_video,
-    duration_ms. Outputs, segments and clips are exploded level by level; an empty `outputs` is valid.
+    duration_ms. An empty `outputs` is valid.
     """
     key = ["project"]
-    root = plans.select(*key, F.try_parse_json("content").alias("v")).withColumns({
-        "path": F.lit("$"), "_kind": F.coalesce(kind(F.col("v")), F.lit("")), "_outputs": kind(F.try_variant_get("v", "$.outputs", "variant")),
-    })
-    at_root = F.when(F.col("_kind") != "OBJECT", F.lit("$")).when(F.coalesce("_outputs", F.lit("")) != "ARRAY", F.lit("$.outputs"))
-    issues = root.where(at_root.isNotNull()).select(*key, at_root.alias("path"), F.lit("SCHEMA_ERROR").alias("code"))
-
-    outs = _children(root.where("_outputs = 'ARRAY'"), key, "v", "outputs", "oi")
-    good_out = F.coalesce(kind(F.col("item")) == "OBJECT", F.lit(False))
-    issues = issues.unionByName(_spread(outs, key, _issue(~good_out, F.col("path"), "SCHEMA_ERROR")))
-    fields = {f: _text(F.col("item"), f) for f in ("output_id", "title", "file_name", "output_type", "language")}
-    outs = outs.where(good_out).withColumns(fields).withColumn("folded", F.lower("file_name"))
-    at = lambda f: F.concat("path", F.lit(f".{f}"))
-    missing = [_issue(F.col(f) == "", at(f), "REQUIRED_FIELD") for f in fields]
-    name = F.col("file_name")
+    rows = _plan_rows(plans)
+    top = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    opath = F.concat(F.lit("$.outputs["), "oi", F.lit("]"))
+    spath = F.concat(opath, F.lit(".segments["), "si", F.lit("]"))
+    cpath = F.concat(spath, F.lit(".source_clips["), "ci", F.lit("]"))
+    under = lambda path, field: F.concat(path, F.lit(f".{field}"))
+
+    roots = rows.where(top("oi") & top("si") & top("ci"))
+    at_root = F.when(F.col("root_kind") != "OBJECT", F.lit("$")).when(F.col("outputs_kind") != "ARRAY", F.lit("$.outputs"))
+    issues = roots.where(at_root.isNotNull()).select(*key, at_root.alias("path"), F.lit("SCHEMA_ERROR").alias("code"))
+
+    outs = rows.where(F.col("oi").isNotNull() & top("si") & top("ci"))
+    ok, name = F.col("out_ok"), F.col("file_name")
+    needed = [_issue(ok & (F.col(f) == ""), under(opath, f), "REQUIRED_FIELD") for f in ("output_id", "title", "file_name", "output_type", "language")]
     unsafe = (name != "") & ((file_name(name) != name) | (suffix(name) != ".mp4") | (safe_title(stem(name)) != stem(name)))
-    has_list = lambda f: F.coalesce(F.size(F.try_variant_get("item", f"$.{f}", "array<variant>")) > 0, F.lit(False))
-    issues = issues.unionByName(_spread(outs, key, *missing, _issue(unsafe, at("file_name"), "INVALID_FILE_NAME"), _issue(~has_list("segments"), at("segments"), "SCHEMA_ERROR")))
-    issues = issues.unionByName(_duplicates(outs, key, "output_id", ["oi"], at("output_id"), "DUPLICATE_ID", key))
-    issues = issues.unionByName(_duplicates(outs, key, "folded", ["oi"], at("file_name"), "DUPLICATE_FILE_NAME", key))
-
-    segs = _children(outs, [*key, "oi"], "item", "segments", "si")
-    good_seg = F.coalesce(kind(F.col("item")) == "OBJECT", F.lit(False))
-    issues = issues.unionByName(_spread(segs, key, _issue(~good_seg, F.col("path"), "SCHEMA_ERROR")))
-    lower = lambda f: F.lower(_text(F.col("item"), f))
-    segs = segs.where(good_seg).withColumns({
-        "segment_id": _text(F.col("item"), "segment_id"), "segment_type": lower("segment_type"), "audio_policy": lower("audio_policy"),
-        "narration": _text(F.col("item"), "narration_text", "narration"), "subtitle_policy": lower("subtitle_policy"),
-        "_speed": F.try_variant_get("item", "$.recommended_visual_speed", "double"), "_speed_kind": kind(F.try_variant_get("item", "$.recommended_visual_speed", "variant")),
-    })
-    numeric = F.col("_speed").isNotNull() | F.coalesce(F.col("_speed_kind"), F.lit("VOID")).isin("VOID") | (_text(F.col("item"), "recommended_visual_speed") == "")
-    odd = (F.col("_speed") != 0) & (F.abs(F.col("_speed") - 1.0) > 0.0001)
     issues = issues.unionByName(_spread(
-        segs, key, _issue(F.col("segment_id") == "", at("segment_id"), "REQUIRED_FIELD"), _issue(F.col("segment_type") == "", at("segment_type"), "REQUIRED_FIELD"),
-        _issue(~F.col("audio_policy").isin(*POLICIES), at("audio_policy"), "UNSUPPORTED_AUDIO_POLICY"),
-        _issue((F.col("audio_policy") != "original_only") & (F.col("narration") == ""), at("narration_text"), "REQUIRED_FIELD"),
-        _issue(~has_list("source_clips"), at("source_clips"), "SCHEMA_ERROR"), _issue(~numeric, at("recommended_visual_speed"), "SCHEMA_ERROR"),
-        _issue(odd, at("recommended_visual_speed"), "UNSUPPORTED_VISUAL_SPEED"), _issue(F.col("subtitle_policy") != "both", at("subtitle_policy"), "UNSUPPORTED_SUBTITLE_POLICY"),
+        outs, key, _issue(~ok, opath, "SCHEMA_ERROR"), *needed, _issue(ok & unsafe, under(opath, "file_name"), "INVALID_FILE_NAME"),
+        _issue(ok & (F.col("n_segments") <= 0), under(opath, "segments"), "SCHEMA_ERROR"),
     ))
-    issues = issues.unionByName(_duplicates(segs, [*key, "oi"], "segment_id", ["si"], at("segment_id"), "DUPLICATE_ID", key))
-
-    clips = _children(segs, key, "item", "source_clips", "ci")
-    good_clip = F.coalesce(kind(F.col("item")) == "OBJECT", F.lit(False))
-    issues = issues.unionByName(_spread(clips, key, _issue(~good_clip, F.col("path"), "SCHEMA_ERROR")))
-    given = lambda a: F.when(
-        kind(F.try_variant_get("item", f"$.{a}_ms", "variant")).isNotNull(), F.try_variant_get("item", f"$.{a}_ms", "bigint")
-    ).otherwise(F.bround(F.try_variant_get("item", f"$.{a}", "double") * 1000).cast("bigint"))
-    clips = clips.where(good_clip).withColumns({
-        "episode_id": _text(F.col("item"), "episode_id"), "source_file": _text(F.col("item"), "source_file", "source_video"), "s": given("start"), "e": given("end"),
-    })
-    eps = episodes.select(*key, "episode_id", "ordinal", "source_video", "duration_ms")
+    good = outs.where(ok).withColumn("folded", F.lower("file_name"))
+    issues = issues.unionByName(_duplicates(good, key, "output_id", "oi", under(opath, "output_id"), "DUPLICATE_ID"))
+    issues = issues.unionByName(_duplicates(good, key, "folded", "oi", under(opath, "file_name"), "DUPLICATE_FILE_NAME"))
+
+    segs = rows.where(ok & F.col("si").isNotNull() & top("ci"))
+    ok = F.col("seg_ok")
+    voiced = F.col("audio_policy") != "original_only"
+    odd = (F.col("speed") != 0) & (F.abs(F.col("speed") - 1.0) > 0.0001)
+    issues = issues.unionByName(_spread(
+        segs, key, _issue(~ok, spath, "SCHEMA_ERROR"), _issue(ok & (F.col("segment_id") == ""), under(spath, "segment_id"), "REQUIRED_FIELD"),
+        _issue(ok & (F.col("segment_type") == ""), under(spath, "segment_type"), "REQUIRED_FIELD"),
+        _issue(ok & ~F.col("audio_policy").isin(*POLICIES), under(spath, "audio_policy"), "UNSUPPORTED_AUDIO_POLICY"),
+        _issue(ok & voiced & (F.col("narration") == ""), under(spath, "narration_text"), "REQUIRED_FIELD"),
+        _issue(ok & (F.col("n_clips") <= 0), under(spath, "source_clips"), "SCHEMA_ERROR"),
+        _issue(ok & ~F.col("speed_ok"), under(spath, "recommended_visual_speed"), "SCHEMA_ERROR"),
+        _issue(ok & odd, under(spath, "recommended_visual_speed"), "UNSUPPORTED_VISUAL_SPEED"),
+        _issue(ok & (F.col("subtitle_policy") != "both"), under(spath, "subtitle_policy"), "UNSUPPORTED_SUBTITLE_POLICY"),
+    ))
+    issues = issues.unionByName(_duplicates(segs.where(ok), [*key, "oi"], "segment_id", "si", under(spath, "segment_id"), "DUPLICATE_ID"))
+
+    clips = rows.where(F.col("out_ok") & ok & F.col("ci").isNotNull())
+    eps = episodes.select(*key, "episode_id", F.col("ordinal").alias("_at"), "source_video", "duration_ms")
     found = clips.join(eps, [*key, "episode_id"], "left")
-    known = F.col("source_video").isNotNull()
-    first = F.col("ordinal") == 0 if single else F.lit(True)
-    wrong_file = known & ~((F.col("source_file") == F.col("source_video")) | (F.lower(file_name(F.col("source_file"))) == F.lower(file_name(F.col("source_video")))))
+    ok, known = F.col("clip_ok"), F.col("clip_ok") & F.col("source_video").isNotNull()
+    same = (F.col("source_file") == F.col("source_video")) | (F.lower(file_name(F.col("source_file"))) == F.lower(file_name(F.col("source_video"))))
     untimed = F.col("s").isNull() | F.col("e").isNull()
-    reversed_ = (F.col("s") < 0) | (F.col("e") <= F.col("s"))
+    backwards = (F.col("s") < 0) | (F.col("e") <= F.col("s"))
     return issues.unionByName(_spread(
-        found, key, _issue(~known, at("episode_id"), "SOURCE_RESOLUTION_ERROR"), _issue(known & ~first, at("episode_id"), "SOURCE_RESOLUTION_ERROR"),
-        _issue(wrong_file, at("source_file"), "SOURCE_RESOLUTION_ERROR"), _issue(known & (untimed | reversed_), F.col("path"), "TIMESTAMP_ERROR"),
-        _issue(known & ~untimed & ~reversed_ & (F.col("duration_ms") > 0) & (F.col("e") > F.col("duration_ms")), F.col("path"), "TIMESTAMP_OUT_OF_RANGE"),
+        found, key, _issue(~ok, cpath, "SCHEMA_ERROR"), _issue(ok & F.col("source_video").isNull(), under(cpath, "episode_id"), "SOURCE_RESOLUTION_ERROR"),
+        _issue(known & (F.col("_at") != 0) & F.lit(single), under(cpath, "episode_id"), "SOURCE_RESOLUTION_ERROR"),
+        _issue(known & ~same, under(cpath, "source_file"), "SOURCE_RESOLUTION_ERROR"), _issue(known & (untimed | backwards), cpath, "TIMESTAMP_ERROR"),
+        _issue(known & ~untimed & ~backwards & (F.col("duration_ms") > 0) & (F.col("e") > F.col("duration_ms")), cpath, "TIMESTAMP_OUT_OF_RANGE"),
     ))
 
 

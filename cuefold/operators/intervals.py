@@ -131,16 +131,16 @@ def running_sum(
     only those block totals meet in one window per key; the rows themselves are windowed per
     (key, block), so no task ever holds a whole key.
     """
-    blocked = rows.withColumn("_v", value).withColumn("_block", F.floor(F.col(ordinal) / F.lit(block)))
-    totals = blocked.groupBy(*keys, "_block").agg(F.sum("_v").alias("_t"))
-    upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "_block", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
+    blocked = rows.withColumn("_sum_value", value).withColumn("_sum_block", F.floor(F.col(ordinal) / F.lit(block)))
+    totals = blocked.groupBy(*keys, "_sum_block").agg(F.sum("_sum_value").alias("_sum_total"))
+    upto = Window.partitionBy(*keys).orderBy("_sum_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, "_sum_block", F.coalesce(F.sum("_sum_total").over(upto), F.lit(0)).alias("_sum_before"))
+    inside = Window.partitionBy(*keys, "_sum_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocked.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-        .join(bases, [*keys, "_block"])
-        .withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint"))
-        .drop("_v", "_block", "_in", "_before")
+        blocked.withColumn("_sum_inside", F.coalesce(F.sum("_sum_value").over(inside), F.lit(0)))
+        .join(bases, [*keys, "_sum_block"])
+        .withColumn(name, (F.col("_sum_before") + F.col("_sum_inside")).cast("bigint"))
+        .drop("_sum_value", "_sum_block", "_sum_inside", "_sum_before")
     )
 
 

@@ -23,15 +23,15 @@ def signature(**parts: Column) -> Column:
 def rolled(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """One hash per key over the ordered values of its rows.
 
-    Rows are reduced to fixed-size digests first, and a key's digests are hashed block by block of
-    a thousand, then the blocks: no key is ever gathered as text.
+    Every row's digest covers its place in the order, so the digests may be summed in any order:
+    four 60-bit slices and the count, combined map-side. No key is ever gathered.
     """
-    digest = rows.select(*keys, F.struct(*order).alias("_at"), F.sha2(value, 256).alias("_d"), (F.hash(*order) % 16).alias("_b"))
-    # Order within a bucket of the order's own hash, then buckets in number order: the same rows
-    # in the same order always give the same text.
-    part = digest.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("_l"))
-    hashed = part.select(*keys, "_b", F.sha2(F.to_json("_l"), 256).alias("_h"))
-    return hashed.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda r: r["_h"]), ""), 256).alias(name))
+    digest = F.sha2(F.to_json(F.struct(*order, value.alias("_value")), {"ignoreNullFields": "false"}), 256)
+    slices = [F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = rows.select(*keys, digest.alias("_d")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s{i}") for i, s in enumerate(slices)]
+    )
+    return sums.select(*keys, F.sha2(F.concat_ws("|", "_n", "_s0", "_s1", "_s2", "_s3"), 256).alias(name))
 
 
 def transcript_hash(cues: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from cuefold.plans.registry import ORACLES, QUERIES
 
-MODULES = ("timeline_queries", "media_queries", "candidate_queries")
+MODULES = ("timeline_queries", "media_queries", "candidate_queries", "editorial_queries")
 
 
 def load_queries():

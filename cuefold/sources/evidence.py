@@ -30,11 +30,6 @@ def kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def text(value: Column, name: str) -> Column:
-    """A field of a variant object as trimmed text, '' when absent."""
-    return F.coalesce(F.trim(F.try_variant_get(value, f"$.{name}", "string")), F.lit(""))
-
-
 def objects(answers: DataFrame, content: str = "content") -> DataFrame:
     """One row per object of each array in a JSON object: carried columns, key, at, item."""
     carried = [c for c in answers.columns if c != content]
@@ -77,64 +72,89 @@ def normalise_times(rows: DataFrame) -> DataFrame:
     })
 
 
-def people(item: Column) -> Column:
+# The fields that sentences are made of, read in one cast per item; lists are looked at by kind.
+ITEM = (
+    "summary string, description string, detail string, speaker string, quote string, character string, decision string, motive string, "
+    "development string, dynamic string, reveal string, reversal string, failure string, consequence string, type string, question string, "
+    "conflict string, name string, progress string, strength string, weakness string, contradiction string, dilemma string, visual string, "
+    "behavior string, recurring_behavior string, power_shift string, shift string, reaction string, counter_evidence string, claim string, "
+    "characters variant, parties variant, dialogue_evidence variant"
+)
+
+
+def told(item: Column) -> Column:
+    """An item's fields as one struct."""
+    return F.try_variant_get(item, "$", f"struct<{ITEM}>")
+
+
+def people(fields: str) -> Column:
     """Names of an item in order: characters, character, parties, speaker."""
-    names = lambda field: F.coalesce(F.try_variant_get(item, f"$.{field}", "array<string>"), F.array().cast("array<string>"))
-    whole = F.concat(names("characters"), F.array(text(item, "character")), names("parties"), F.array(text(item, "speaker")))
+    names = lambda c: F.coalesce(F.try_variant_get(F.col(f"{fields}.{c}"), "$", "array<string>"), F.array().cast("array<string>"))
+    one = lambda c: F.array(F.coalesce(F.col(f"{fields}.{c}"), F.lit("")))
+    whole = F.concat(names("characters"), one("character"), names("parties"), one("speaker"))
     return F.array_distinct(F.filter(F.transform(whole, F.trim), lambda n: n != ""))
 
 
-def summary_of(category: Column, item: Column) -> Column:
-    """Struct (summary, characters, item_type): one sentence for an item of its category."""
-    f = lambda name: text(item, name)
+def with_summary(rows: DataFrame) -> DataFrame:
+    """Adds `summary`, `characters` and `item_type`: one sentence for an item of its category.
+
+    Fields, shared parts and the sentence are separate steps; each is computed once, behind a
+    one-row generator the optimiser does not merge expressions through.
+    """
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
+    rows = once(rows, "_f", told(F.col("item")))
+    f = lambda name: F.trim(F.coalesce(F.col(f"_f.{name}"), F.lit("")))
     either = lambda *parts: F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], F.lit(""))
-    quotes = F.try_variant_get(item, "$.dialogue_evidence", "array<string>")
-    spoken = F.when(F.size(F.coalesce(quotes, F.array().cast("array<string>"))) > 0, F.array_join(F.filter(F.transform(quotes, F.trim), lambda q: q != ""), " ")).when(
-        kind(F.try_variant_get(item, "$.dialogue_evidence", "variant")) == "STRING", f("dialogue_evidence")
-    ).otherwise("")
-    fallback = either(f("summary"), spoken, f("description"), f("detail"))
-    names = people(item)
-    listed = F.array_join(names, ", ")
-    who = f("character")
-    told = lambda point, sentence: F.when(point != "", sentence).otherwise("")
+    quotes = F.try_variant_get(F.col("_f.dialogue_evidence"), "$", "array<string>")
+    spoken = (
+        F.when(kind(F.col("_f.dialogue_evidence")) == "ARRAY", F.array_join(F.filter(F.transform(quotes, F.trim), lambda q: q != ""), " "))
+        .when(kind(F.col("_f.dialogue_evidence")) == "STRING", F.trim(F.try_variant_get(F.col("_f.dialogue_evidence"), "$", "string"))).otherwise("")
+    )
+    shared = F.struct(people("_f").alias("names"), either(f("summary"), spoken, f("description"), f("detail")).alias("fallback"))
+    rows = once(rows, "_p", shared)
+    fallback, names, who = F.col("_p.fallback"), F.col("_p.names"), f("character")
+    if_any = lambda point, sentence: F.when(point != "", sentence).otherwise("")
     said = lambda *fields: either(*[f(x) for x in fields], fallback)
-    quote = said("quote")
-    decided, motive = said("decision"), f("motive")
-    stage = F.coalesce(F.trim(F.try_variant_get(item, "$.type", "string")), F.lit("setup"))
-    strong = F.filter(F.array(F.when(f("strength") != "", F.concat(F.lit("strength: "), f("strength"))), F.when(f("weakness") != "", F.concat(F.lit("weakness: "), f("weakness")))), lambda p: p.isNotNull())
-    trait = F.when(F.size(strong) > 0, F.array_join(strong, ", ")).otherwise(fallback)
-    grouped = lambda word: F.when(listed != "", F.concat(F.lit(f"{word} ("), listed, F.lit("): "))).otherwise(f"{word}: ")
+    named = lambda word: F.when(F.size(names) > 0, F.concat(F.lit(f"{word} ("), F.array_join(names, ", "), F.lit("): "))).otherwise(f"{word}: ")
+    after = lambda test, prefix, other: F.when(test != "", prefix).otherwise(other)
+    quote, decided, motive = said("quote"), said("decision"), f("motive")
+    stage = F.trim(F.coalesce(F.col("_f.type"), F.lit("setup")))
+    traits = F.filter(
+        F.array(*[F.when(f(x) != "", F.concat(F.lit(f"{x}: "), f(x))) for x in ("strength", "weakness")]), lambda p: p.isNotNull()
+    )
+    trait = F.when(F.size(traits) > 0, F.array_join(traits, ", ")).otherwise(fallback)
     rules = {
         "major_scenes": (F.lit("scene"), fallback),
-        "dialogue": (F.lit("dialogue"), F.when(f("speaker") != "", F.concat(f("speaker"), F.lit(': "'), quote, F.lit('"'))).otherwise(told(quote, F.concat(F.lit('"'), quote, F.lit('"'))))),
-        "character_decisions": (F.lit("decision"), told(decided, F.concat(
-            F.when(who != "", F.concat(who, F.lit(" decides: "))).otherwise("Decision: "), decided, F.when(motive != "", F.concat(F.lit(" (motive: "), motive, F.lit(")"))).otherwise("")))),
-        "supporting_developments": (F.lit("supporting_development"), told(said("development"), F.when(who != "", F.concat(who, F.lit(": "), said("development"))).otherwise(said("development")))),
-        "relationships": (F.lit("relationship"), told(said("dynamic"), F.concat(grouped("Relationship"), said("dynamic")))),
-        "failures": (F.lit("failure"), told(said("failure"), F.concat(F.when(who != "", F.concat(who, F.lit(" failure: "))).otherwise("Failure: "), said("failure")))),
-        "setup_payoff": (F.when(stage != "", F.lower(stage)).otherwise("setup"), told(said("detail"), F.concat(F.initcap(stage), F.lit(": "), said("detail")))),
-        "conflicts": (F.lit("conflict"), told(said("conflict"), F.concat(grouped("Conflict"), said("conflict")))),
-        "subplots": (F.lit("subplot"), told(said("progress"), F.concat(F.when(f("name") != "", F.concat(F.lit("Subplot '"), f("name"), F.lit("': "))).otherwise("Subplot: "), said("progress")))),
-        "strengths_weaknesses": (F.lit("trait"), told(trait, F.when(who != "", F.concat(who, F.lit(" ("), trait, F.lit(")"))).otherwise(trait))),
+        "dialogue": (F.lit("dialogue"), F.when(f("speaker") != "", F.concat(f("speaker"), F.lit(': "'), quote, F.lit('"'))).otherwise(if_any(quote, F.concat(F.lit('"'), quote, F.lit('"'))))),
+        "character_decisions": (F.lit("decision"), if_any(decided, F.concat(
+            after(who, F.concat(who, F.lit(" decides: ")), "Decision: "), decided, after(motive, F.concat(F.lit(" (motive: "), motive, F.lit(")")), "")))),
+        "supporting_developments": (F.lit("supporting_development"), if_any(said("development"), F.concat(after(who, F.concat(who, F.lit(": ")), ""), said("development")))),
+        "relationships": (F.lit("relationship"), if_any(said("dynamic"), F.concat(named("Relationship"), said("dynamic")))),
+        "failures": (F.lit("failure"), if_any(said("failure"), F.concat(after(who, F.concat(who, F.lit(" failure: ")), "Failure: "), said("failure")))),
+        "setup_payoff": (F.when(stage != "", F.lower(stage)).otherwise("setup"), if_any(said("detail"), F.concat(F.initcap(stage), F.lit(": "), said("detail")))),
+        "conflicts": (F.lit("conflict"), if_any(said("conflict"), F.concat(named("Conflict"), said("conflict")))),
+        "subplots": (F.lit("subplot"), if_any(said("progress"), F.concat(after(f("name"), F.concat(F.lit("Subplot '"), f("name"), F.lit("': ")), "Subplot: "), said("progress")))),
+        "strengths_weaknesses": (F.lit("trait"), if_any(trait, after(who, F.concat(who, F.lit(" ("), trait, F.lit(")")), trait))),
     }
     for name, (item_type, fields, words) in POINTS.items():
         # A second field stands in only where the first is absent, not where it is empty.
-        point = either(F.coalesce(*[F.trim(F.try_variant_get(item, f"$.{x}", "string")) for x in fields], F.lit("")), fallback)
-        rules[name] = (F.lit(item_type), told(point, F.concat(F.lit(words), point)))
-    sentence, item_type = None, None
-    for name, (t, s) in rules.items():
-        hit = category == name
-        sentence = F.when(hit, s) if sentence is None else sentence.when(hit, s)
-        item_type = F.when(hit, t) if item_type is None else item_type.when(hit, t)
+        point = either(F.trim(F.coalesce(*[F.col(f"_f.{x}") for x in fields])), fallback)
+        rules[name] = (F.lit(item_type), if_any(point, F.concat(F.lit(words), point)))
     # Any other category: all its texts, in key order.
-    fields = F.coalesce(F.try_variant_get(item, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    values = F.coalesce(F.try_variant_get("item", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     texts = F.filter(
-        F.transform(F.map_entries(fields), lambda e: F.when((kind(e["value"]) == "STRING") & ~e["key"].isin("episode_id", "item_type"), F.trim(F.try_variant_get(e["value"], "$", "string")))),
+        F.transform(F.map_entries(values), lambda e: F.when((kind(e["value"]) == "STRING") & ~e["key"].isin("episode_id", "item_type"), F.trim(F.try_variant_get(e["value"], "$", "string")))),
         lambda t: t.isNotNull() & (t != ""),
     )
-    other = either(F.array_join(texts, "; "), fallback, F.concat(category, F.lit(" event")))
-    sentence, item_type = sentence.otherwise(other), item_type.otherwise(category)
-    return F.struct(F.trim(F.when(F.trim(sentence) == "", fallback).otherwise(sentence)).alias("summary"), names.alias("characters"), item_type.alias("item_type"))
+    category = F.col("category")
+    pair = lambda item_type, sentence: F.struct(item_type.alias("item_type"), sentence.alias("sentence"))
+    chosen = None
+    for name, (item_type, sentence) in rules.items():
+        chosen = F.when(category == name, pair(item_type, sentence)) if chosen is None else chosen.when(category == name, pair(item_type, sentence))
+    chosen = chosen.otherwise(pair(category, either(F.array_join(texts, "; "), fallback, F.concat(category, F.lit(" event")))))
+    rows = once(rows, "_s", chosen)
+    told_ = F.trim(F.when(F.trim("_s.sentence") == "", fallback).otherwise(F.col("_s.sentence")))
+    return rows.withColumns({"summary": told_, "characters": names, "item_type": F.col("_s.item_type")}).drop("_f", "_p", "_s")
 
 
 def summary_items(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -144,12 +164,12 @@ def summary_items(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
     """
     given = lambda a: F.coalesce(F.try_variant_get("item", f"$.{a}_sec", "double") * 1000, F.try_variant_get("item", f"$.{a}_ms", "double"))
     start = F.greatest(F.lit(0.0), F.coalesce(given("start"), F.lit(0.0)))
-    end = F.coalesce(F.greatest(start, given("end")), start + 5000)
+    end = F.when(given("end").isNull(), start + 5000).otherwise(F.greatest(start, given("end")))
     timed = evidence.join(episodes.select("episode_id", "duration_ms"), "episode_id")
     cut = F.when(F.col("duration_ms") > 0, F.least(end, F.col("duration_ms").cast("double"))).otherwise(end)
-    rows = timed.withColumn("_s", summary_of(F.col("category"), F.col("item")))
-    return rows.where(F.col("_s.summary") != "").select(
-        "episode_id", "category", F.concat("category", F.lit(":"), "idx").alias("ref"), F.bround(start).cast("bigint").alias("start_ms"), F.bround(cut).cast("bigint").alias("end_ms"), "_s.*"
+    rows = timed.withColumns({"start_ms": F.bround(start).cast("bigint"), "end_ms": F.bround(cut).cast("bigint")})
+    return with_summary(rows).where("summary <> ''").select(
+        "episode_id", "category", F.concat("category", F.lit(":"), "idx").alias("ref"), "start_ms", "end_ms", "summary", "characters", "item_type"
     )
 
 
