@@ -11,6 +11,7 @@ from cuefold.operators import similarity as sim
 from cuefold.operators import verification as vf
 from cuefold.plans import bindings as b
 from cuefold.plans.registry import query
+from cuefold.sources import candidates as candidates_source
 
 C = f"WITH RECURSIVE {b.CANDIDATES_SQL}"
 SCORES = """w AS (SELECT id, unnest(words) AS w FROM cand), r AS (SELECT id, unnest(refs) AS r FROM cand),
@@ -261,3 +262,37 @@ def accepted_candidates(spark, folder):
     attempted = b.table(spark, folder, "part").select(F.col("p_partkey").alias("candidate_id"))
     accepted = b.table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("candidate_id"))
     return dc.accepted_and_rejected(attempted, accepted)
+
+
+@query("candidate_reader", """SELECT doc_id, 'd' || doc_id AS proposal_id, CASE WHEN doc_id % 2 = 0 THEN 'CROSS_EPISODE' ELSE 'SEASON_ARC' END AS scope, 'r' || doc_id AS refs, doc_id * 1500 AS start_ms, 'turn' AS turning,
+  CAST(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence, text AS thesis FROM documents""")
+def candidate_reader(spark, folder):
+    """Whole documents written as candidate objects under their second names, read back."""
+    d = b.table(spark, folder, "documents")
+    span = F.struct(F.lit("E01").alias("episode_id"), (F.col("doc_id") * 1.5).alias("start"), F.lit(9e6).alias("end"), F.lit("x").alias("ref"))
+    obj = F.struct(
+        F.concat(F.lit("d"), "doc_id").alias("proposal_id"), F.when(F.col("doc_id") % 2 == 1, "SEASON_ARC").alias("candidate_scope"), F.concat(F.lit("r"), "doc_id").alias("supporting_evidence_refs"),
+        F.array(span).alias("source_ranges"), F.lit("turn").alias("turning_point"), F.when(F.col("doc_id") % 3 > 0, 0.5).alias("confidence"), F.col("text").alias("central_thesis"),
+    )
+    rows = candidates_source.candidate_rows(d.select("doc_id", F.try_parse_json(F.to_json(obj)).alias("item")))
+    return rows.select("doc_id", "proposal_id", "scope", F.array_join("refs", ",").alias("refs"), F.get("ranges", F.lit(0))["start_ms"].alias("start_ms"), "turning", "confidence", "thesis")
+
+
+@query("nested_merge_lists", "SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'links' ELSE 'proposals' END AS list, role AS title FROM conversations")
+def nested_merge_lists(spark, folder):
+    """Turns nested as batch results, each under a list name of its own, flattened again."""
+    c = b.table(spark, folder, "conversations")
+    node = F.concat(F.lit('{"'), F.when(F.col("turn") % 4 == 0, "links").when(F.col("turn") % 4 == 1, "proposals").when(F.col("turn") % 4 == 2, "narrative_links").otherwise("candidate_proposals"), F.lit('":[{"title":"'), "role", F.lit('"},4]}'))
+    docs = c.withColumn("_n", node).groupBy("conv_id").agg(F.concat(F.lit('{"batch_results":[{"batch_results":['), F.expr("listagg(_n, ',') WITHIN GROUP (ORDER BY turn)"), F.lit("]},7]}")).alias("content"))
+    rows = candidates_source.merge_lists(docs, ["conv_id"])
+    return rows.select("conv_id", "list", F.try_variant_get("item", "$.title", "string").alias("title"))
+
+
+@query("distinct_proposals", """WITH RECURSIVE t AS (SELECT p_partkey, 'i' || (p_partkey * 7919 % 700) AS pid, p_name || p_size AS title FROM part),
+w(n, ids, titles, kept) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT)
+ UNION ALL SELECT t.p_partkey, CASE WHEN list_contains(ids, pid) OR list_contains(titles, title) THEN ids ELSE list_append(ids, pid) END, CASE WHEN list_contains(ids, pid) OR list_contains(titles, title) THEN titles ELSE list_append(titles, title) END,
+  CASE WHEN list_contains(ids, pid) OR list_contains(titles, title) THEN NULL ELSE t.p_partkey END FROM w JOIN t ON t.p_partkey = w.n + 1)
+SELECT kept AS p_partkey FROM w WHERE kept IS NOT NULL""")
+def distinct_proposals(spark, folder):
+    rows = b.table(spark, folder, "part").select("p_partkey", F.concat(F.lit("i"), F.col("p_partkey") * 7919 % 700).alias("pid"), F.concat("p_name", "p_size").alias("title"))
+    return gr.keep_first_of_both(rows, "pid", "title", "p_partkey").select("p_partkey")

@@ -46,7 +46,8 @@ def _block_cues(documents: DataFrame, body: Column, times: str, parse, skip_note
     timed = blocks.withColumn("_l", lines).withColumn("_at", at).where(F.col("_at") > 0)
     if skip_notes:
         timed = timed.where(~F.startswith(F.get("_l", F.lit(0)), F.lit("NOTE")))
-    line = F.element_at("_l", F.col("_at").cast("int"))
+    # `get` and not `element_at`: the filter may be evaluated after this.
+    line = F.get("_l", F.col("_at").cast("int") - 1)
     text = F.array_join(F.slice("_l", F.col("_at").cast("int") + 1, F.size("_l")), "\n")
     cues = timed.select(
         *carried, "block",

@@ -16,7 +16,7 @@ FILE_SCHEMA = "value string"
 
 def file_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Whole SubRip files as they land: episode_id (the file's stem), content."""
-    raw = spark.readStream.schema(FILE_SCHEMA).option("wholetext", True).option("maxFilesPerTrigger", max_files).text(folder)
+    raw = spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
     return raw.select(stem(F.col("_metadata.file_path")).alias("episode_id"), F.col("value").alias("content"))
 
 
