@@ -32,22 +32,25 @@ def content_text(content: Column) -> Column:
     return F.when(kind(content) == "ARRAY", F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")).otherwise(F.try_variant_get(content, "$", "string"))
 
 
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def response_defect(raw: Column) -> Column:
     """What is wrong with a raw response body, or null: six classes, outermost first."""
-    outer = F.try_parse_json(raw)
-    choices = F.try_variant_get(outer, "$.choices", "array<variant>")
-    first = F.get(choices, F.lit(0))
-    message = F.try_variant_get(first, "$.message", "variant")
-    content = F.try_variant_get(message, "$.content", "variant")
-    said = content_text(content)
-    return (
-        F.when(_strip(F.coalesce(raw, F.lit(""))) == "", "empty_body")
-        .when(F.coalesce(kind(outer), F.lit("")) != "OBJECT", "outer_json_malformed")
-        .when(F.coalesce(F.size(choices), F.lit(0)) <= 0, "choices_missing")
-        .when((F.coalesce(kind(message), F.lit("")) != "OBJECT") | content.isNull(), "message_content_missing")
-        .when((kind(content) == "VOID") | (_strip(F.coalesce(said, F.lit(""))) == ""), "content_empty")
-        .when(loose_json(said).isNull(), "malformed_model_json")
+    blank = lambda text: _strip(F.coalesce(text, F.lit(""))) == ""
+    said = lambda content: _let(content_text(content), lambda text: F.when(blank(text), "content_empty").when(loose_json(text).isNull(), "malformed_model_json"))
+    inner = lambda content: (
+        F.when(content.isNull(), "message_content_missing").when(kind(content) == "VOID", "content_empty").otherwise(said(content))
+    )
+    first = lambda choices: F.when(F.coalesce(F.size(choices), F.lit(0)) <= 0, "choices_missing").otherwise(
+        _let(F.try_variant_get(F.get(choices, F.lit(0)), "$.message.content", "variant"), inner)
+    )
+    parsed = lambda outer: F.when(F.coalesce(kind(outer), F.lit("")) != "OBJECT", "outer_json_malformed").otherwise(
+        _let(F.try_variant_get(outer, "$.choices", "array<variant>"), first)
     )
+    return F.when(blank(raw), "empty_body").otherwise(_let(F.try_parse_json(raw), parsed))
 
 
 def lists_of_objects(answer: Column, keys: Sequence[str] | None = None) -> Column:

@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuefold.functions.text import tokens
+from cuefold.functions.text import jaccard, tokens
 from cuefold.operators.graph import connected_components
-from cuefold.session import durable
+from cuefold.session import durable, spread
 
 THRESHOLD = 0.25
 W_THESIS, W_TAGS, W_REFS, W_CHARS = 0.40, 0.25, 0.20, 0.15
@@ -35,11 +35,15 @@ def _clean(values: str) -> Column:
 
 
 def features(candidates: DataFrame) -> DataFrame:
-    """id, words, tags, refs, chars, primary, eps of each candidate; arrays are distinct."""
+    """id, words, tags, refs, chars, primary, eps of each candidate; arrays are distinct.
+
+    `marks` are the words as 64-bit hashes, for screening pairs without moving their texts.
+    """
     words = tokens(F.concat_ws(" ", "title", "thesis", "subject"))
     held = F.filter(F.transform("ranges", lambda r: r["ref"]), lambda r: r.isNotNull() & (r != ""))
-    return candidates.select(
-        F.col("proposal_id").alias("id"), words.alias("words"), _clean("tags").alias("tags"),
+    worded = candidates.withColumn("words", words)
+    return worded.select(
+        F.col("proposal_id").alias("id"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("marks"), _clean("tags").alias("tags"),
         F.array_union("refs", F.coalesce(held, F.array().cast("array<string>"))).alias("refs"), _clean("characters").alias("chars"),
         F.lower(F.trim(F.coalesce("primary_character", F.lit("")))).alias("primary"), F.array_distinct("episodes").alias("eps"),
     )
@@ -65,6 +69,37 @@ def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     return counted.select("a", "b", F.least(F.lit(1.0), F.greatest(base, lift, proof)).alias("score"))
 
 
+def _may_reach(words: Column, threshold: float) -> Column:
+    """Whether a pair without shared references can reach the threshold with `words` shared words."""
+    jw = F.when(F.col("n") > 0, words / (F.col("n") - words)).otherwise(F.lit(0.0))
+    base = jw * W_THESIS + F.col("jt") * W_TAGS + F.col("jc") * W_CHARS
+    lift = F.when(jw >= 0.35, 0.70).when(F.col("near") & (jw >= 0.2), 0.55).when(F.col("jt") >= 0.3, 0.50).otherwise(0.0)
+    return F.greatest(base, F.when(F.col("same"), lift).otherwise(0.0)) >= threshold - 1e-9
+
+
+def screen_pairs(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs that may reach the threshold; none that does is lost.
+
+    Short features and thesis sizes go first (no more words can be shared than the shorter thesis
+    has), then hashed words. Two are added to a hashed overlap, since two words of a thesis may
+    share a hash; what passes is scored on its texts. The pairs share no reference.
+    """
+    small = feats.select("id", F.struct(F.size("words").alias("w"), "tags", "chars", "primary", "eps").alias("f"))
+    # A pair is a few bytes but costs an intersection of two theses.
+    met = spread(pairs, "a", "b").join(small.select(F.col("id").alias("a"), F.col("f").alias("l")), "a").join(small.select(F.col("id").alias("b"), F.col("f").alias("r")), "b")
+    known = F.struct(
+        (F.col("l.w") + F.col("r.w")).alias("n"), F.least("l.w", "r.w").alias("most"), jaccard(F.col("l.tags"), F.col("r.tags")).alias("jt"),
+        jaccard(F.col("l.chars"), F.col("r.chars")).alias("jc"), ((F.col("l.primary") != "") & (F.col("l.primary") == F.col("r.primary"))).alias("same"),
+        F.arrays_overlap("l.eps", "r.eps").alias("near"),
+    )
+    sized = met.select("a", "b", F.explode(F.array(known)).alias("k")).select("a", "b", "k.*").where(_may_reach(F.col("most"), threshold))
+    held = feats.select("id", "marks")
+    hashed = sized.join(held.select(F.col("id").alias("a"), F.col("marks").alias("l")), "a").join(held.select(F.col("id").alias("b"), F.col("marks").alias("r")), "b")
+    # A one-row generator keeps the intersection from being copied into each use in the filter.
+    shared = F.explode(F.array(F.least(F.size(F.array_intersect("l", "r")) + 2, F.col("most"))))
+    return hashed.select("a", "b", "n", "jt", "jc", "same", "near", shared.alias("shared")).where(_may_reach(F.col("shared"), threshold)).select("a", "b")
+
+
 def hub_links(feats: DataFrame) -> DataFrame:
     """(a, b): each candidate linked to the smallest id that shares a deciding feature with it."""
     refs = feats.select("id", F.explode("refs").alias("v")).select("id", F.xxhash64(F.lit("ref"), "v").alias("k"), F.col("v").alias("k2"))
@@ -136,7 +171,8 @@ def cross_links(feats: DataFrame, hub_groups: DataFrame, threshold: float = THRE
     others = told.select("k", F.col("id").alias("o"), F.col("group").alias("go"), "main")
     met = seekers.join(others, "k").where((F.col("gs") != F.col("go")) & ((F.col("go") == F.col("main")) | (F.col("s") < F.col("o"))))
     pairs = met.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
-    return score_pairs(pairs, feats).where(F.col("score") >= threshold)
+    likely = durable(screen_pairs(pairs, feats, threshold))
+    return score_pairs(likely, feats).where(F.col("score") >= threshold)
 
 
 def similar_links(candidates: DataFrame) -> DataFrame:

@@ -49,3 +49,13 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cuefold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in as many partitions as the session shuffles into.
+
+    For work that costs time rather than bytes: adaptive execution would merge partitions that are
+    small in bytes into a few long tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
