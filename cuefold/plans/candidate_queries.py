@@ -237,8 +237,8 @@ def group_context(spark, folder):
     return gr.relevant_context(o, context)
 
 
-@query("output_attribution", """WITH p AS (SELECT p_partkey // 5 AS group_id, p_partkey AS ordinal, 'p' || p_partkey AS pid, p_name AS title FROM part WHERE p_partkey % 25 <> 1),
-o AS (SELECT l_partkey // 5 AS group_id, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS output_id,
+@query("output_attribution", """WITH p AS (SELECT CASE WHEN p_partkey % 25 = 0 THEN -p_partkey ELSE p_partkey // 5 END AS group_id, p_partkey AS ordinal, 'p' || p_partkey AS pid, p_name AS title FROM part),
+o AS (SELECT CASE WHEN l_partkey % 25 = 0 THEN -l_partkey ELSE l_partkey // 5 END AS group_id, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS output_id,
   CASE l_linenumber WHEN 1 THEN 'p' || l_partkey WHEN 2 THEN 'q' || l_partkey ELSE '' END AS cid, CASE WHEN l_linenumber > 5 THEN '' ELSE 'The ' || x.p_name || ' story' END AS title FROM lineitem JOIN part x ON x.p_partkey = l_partkey),
 n AS (SELECT group_id, count(*) AS n, min(pid) AS only FROM p GROUP BY 1),
 m AS (SELECT o.output_id, arg_min(p.pid, p.ordinal) AS t FROM o JOIN p USING (group_id) WHERE o.title <> '' AND contains(lower(o.title), lower(p.title)) GROUP BY 1),
@@ -246,12 +246,14 @@ j AS (SELECT o.group_id, o.output_id, cid, CASE WHEN cid <> '' THEN CASE WHEN ci
 SELECT group_id, output_id, candidate_id, CASE WHEN candidate_id IS NULL THEN CASE WHEN cid <> '' THEN 'UNKNOWN_CANDIDATE' ELSE 'AMBIGUOUS_CANDIDATE' END END AS issue FROM j""")
 def output_attribution(spark, folder):
     part = b.table(spark, folder, "part")
-    proposals = part.where("p_partkey % 25 <> 1").select(F.floor(F.col("p_partkey") / 5).alias("group_id"), F.col("p_partkey").alias("ordinal"), F.concat(F.lit("p"), "p_partkey").alias("proposal_id"), F.col("p_name").alias("title"))
+    # Every 25th part has a group of its own.
+    group = lambda c: F.when(F.col(c) % 25 == 0, -F.col(c)).otherwise(F.floor(F.col(c) / 5)).alias("group_id")
+    proposals = part.select(group("p_partkey"), F.col("p_partkey").alias("ordinal"), F.concat(F.lit("p"), "p_partkey").alias("proposal_id"), F.col("p_name").alias("title"))
     order = b.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     lines = b.table(spark, folder, "lineitem").withColumn("n", F.row_number().over(order)).join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     named = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("p"), "l_partkey")).when(F.col("l_linenumber") == 2, F.concat(F.lit("q"), "l_partkey")).otherwise("")
     outputs = lines.select(
-        F.floor(F.col("l_partkey") / 5).alias("group_id"), (F.col("l_orderkey") * 1000 + F.col("n")).alias("output_id"), named.alias("candidate_id"),
+        group("l_partkey"), (F.col("l_orderkey") * 1000 + F.col("n")).alias("output_id"), named.alias("candidate_id"),
         F.when(F.col("l_linenumber") > 5, "").otherwise(F.concat(F.lit("The "), "p_name", F.lit(" story"))).alias("title"),
     )
     return gr.attribute_outputs(outputs, proposals)

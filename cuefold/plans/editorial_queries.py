@@ -503,13 +503,13 @@ def recap_segments(spark, folder):
     return ck.recap_segments(raw).select("output_id", "ordinal", "start_ms", "end_ms", "segment_id", "issue")
 
 
-@query("stale_episodes", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0")
+@query("stale_episodes", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0")
 def stale_episodes(spark, folder):
-    """Stored results lack every third order, know another price of every fifth, and an older file of every seventh."""
+    """Stored results lack pending orders, know another price of every fifth, and an older file of every seventh."""
     k = F.col("o_orderkey")
-    o = b.table(spark, folder, "orders").select(k, "o_totalprice", F.lit(1000).alias("mtime_ms"))
+    o = b.table(spark, folder, "orders").select(k, "o_totalprice", "o_orderstatus", F.lit(1000).alias("mtime_ms"))
     sign = lambda df: df.withColumn("sig", sg.signature(price=F.col("o_totalprice"), version=F.lit("v1")))
-    stored = o.where(k % 3 != 0).withColumns({"o_totalprice": F.when(k % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "mtime_ms": F.when(k % 7 == 0, 990).otherwise(1001)})
+    stored = o.where("o_orderstatus <> 'P'").withColumns({"o_totalprice": F.when(k % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "mtime_ms": F.when(k % 7 == 0, 990).otherwise(1001)})
     return sg.stale(sign(o), sign(stored), ["o_orderkey"], ["sig"], "mtime_ms").select("o_orderkey")
 
 
@@ -535,22 +535,22 @@ def layered_signatures(spark, folder):
     return o.select(plan.alias("p"), render.alias("r")).agg(F.count_distinct("p").alias("plans"), F.count_distinct("r").alias("renders"))
 
 
-@query("stale_outputs", "SELECT o_orderkey AS output_id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0)")
+@query("stale_outputs", "SELECT o_orderkey AS output_id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 4 <> 0 AND o_orderpriority <> '5-LOW')")
 def stale_outputs(spark, folder):
     k = F.col("o_orderkey")
     o = b.table(spark, folder, "orders")
     current = o.select(k.alias("output_id"), sg.signature(a=F.col("o_totalprice")).alias("render_signature"))
     stored = o.select(k.alias("output_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("ERROR").alias("status"), sg.signature(a=F.when(k % 4 == 0, 0.0).otherwise(F.col("o_totalprice"))).alias("render_signature"))
-    return sg.stale_outputs(current, stored, o.where(k % 5 != 0).select(k.alias("output_id"))).select("output_id")
+    return sg.stale_outputs(current, stored, o.where("o_orderpriority <> '5-LOW'").select(k.alias("output_id"))).select("output_id")
 
 
 @query("upserted_outputs", """SELECT coalesce(a.o_orderkey, b.o_orderkey) AS output_id, CASE WHEN b.o_orderkey IS NOT NULL THEN 'COMPLETED' ELSE 'WAITING' END AS status, coalesce(a.o_custkey, b.o_custkey) AS owner,
-  CASE WHEN b.o_orderkey IS NOT NULL THEN CAST(b.o_orderkey % 100 AS BIGINT) ELSE 0 END AS progress FROM (SELECT * FROM orders WHERE o_orderkey % 3 > 0) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) b USING (o_orderkey)""")
+  CASE WHEN b.o_orderkey IS NOT NULL THEN CAST(b.o_orderkey % 100 AS BIGINT) ELSE 0 END AS progress FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT * FROM orders WHERE o_orderpriority < '3') b USING (o_orderkey)""")
 def upserted_outputs(spark, folder):
     o = b.table(spark, folder, "orders")
     rows = lambda df, status, progress: df.select(F.lit("p").alias("project"), F.col("o_orderkey").alias("output_id"), F.lit(status).alias("status"), progress.cast("bigint").alias("progress"), F.col("o_custkey").alias("owner"))
-    stored = rows(o.where("o_orderkey % 3 > 0"), "WAITING", F.lit(0))
-    current = rows(o.where("o_orderkey % 2 = 0"), "COMPLETED", F.col("o_orderkey") % 100)
+    stored = rows(o.where("o_orderstatus <> 'P'"), "WAITING", F.lit(0))
+    current = rows(o.where("o_orderpriority < '3'"), "COMPLETED", F.col("o_orderkey") % 100)
     return projects.upsert_outputs(stored, current).drop("project")
 
 
