@@ -147,8 +147,9 @@ def reconcile(candidates: DataFrame, decisions: DataFrame, consolidated: DataFra
 
 def decision_counts(decisions: DataFrame, survivors: DataFrame) -> DataFrame:
     """Kept, merged, rejected decisions and eligible survivors, in one row."""
+    eligible = survivors.agg(F.count(F.lit(1))).scalar()
     acted = decisions.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("KEEP", "kept"), ("MERGE", "merged"), ("REJECT", "rejected"))])
-    return acted.join(F.broadcast(survivors.agg(F.count(F.lit(1)).alias("eligible"))))  # one row each
+    return acted.withColumn("eligible", eligible)
 
 
 def accepted_and_rejected(attempted: DataFrame, accepted: DataFrame) -> DataFrame:
