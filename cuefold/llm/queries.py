@@ -97,8 +97,8 @@ WITH RECURSIVE w AS (
   SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
 ), edge AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link
 ), reach AS (
-  SELECT DISTINCT u AS root, u AS at FROM edge UNION SELECT root, v FROM reach JOIN edge ON u = at
-), comp AS (SELECT root, min(at) AS component FROM reach GROUP BY root)
+  SELECT DISTINCT u AS root, u AS node FROM edge UNION SELECT root, v FROM reach JOIN edge ON u = node
+), comp AS (SELECT root, min(node) AS component FROM reach GROUP BY root)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, rep.rep, w.doc_id) AS component_id,
        coalesce(c.component, rep.rep, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN comp c ON c.root = rep.rep
