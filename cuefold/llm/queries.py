@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuefold.llm.bbit_minhash import near_duplicates
 from cuefold.llm.common import table
 from cuefold.llm.host_rules import RULES, host_quality
+from cuefold.llm.positional_index import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,39 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN comp c
 @query("op8_bbit_minhash", NEAR_SQL)
 def op8_bbit_minhash(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
+
+
+DECONTAMINATION_SQL = """
+WITH folded AS (
+  SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL
+  SELECT 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT side, id, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM folded
+), windows AS (
+  SELECT DISTINCT id AS item_id, len(words[i : i + 9]) AS width, array_to_string(words[i : i + 9], ' ') AS phrase
+  FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM w WHERE side = 'i' AND len(words) > 0)
+), widths AS (SELECT DISTINCT width FROM windows
+), hits AS (
+  SELECT d.id AS doc_id, item_id, i, windows.width
+  FROM (SELECT id, width, unnest(range(1, len(words) - width + 2)) AS i, words FROM w, widths WHERE side = 'd' AND len(words) >= width) d
+  JOIN windows ON windows.width = d.width AND phrase = array_to_string(words[i : i + d.width - 1], ' ')
+), n_hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + width)) AS k FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT id AS doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n IS NOT NULL AS contaminated
+FROM w LEFT JOIN n_hit ON n_hit.doc_id = id LEFT JOIN found ON found.doc_id = id WHERE side = 'd'
+"""
+
+
+@query("op3_positional_index", DECONTAMINATION_SQL)
+def op3_positional_index(spark, folder):
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
