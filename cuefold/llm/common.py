@@ -93,3 +93,10 @@ def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> Dat
     """
     ids = durable(rejected.select(F.col(id_col).alias("__gone")).distinct())
     return docs.join(ids, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file; it is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

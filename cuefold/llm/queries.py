@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefold.llm.bbit_minhash import near_duplicates
-from cuefold.llm.common import table
+from cuefold.llm.best_fit import packed_documents
+from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
 from cuefold.llm.positional_index import decontaminate
 
@@ -145,3 +146,8 @@ def op3_positional_index(spark, folder):
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op10_best_fit")
+def op10_best_fit(spark, folder):
+    return packed_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
