@@ -11,6 +11,7 @@ from cuefold.llm.bbit_minhash import near_duplicates
 from cuefold.llm.best_fit import packed_documents
 from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
+from cuefold.llm.language_fusion import evidence, identify
 from cuefold.llm.positional_index import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,8 @@ def op3_positional_index(spark, folder):
 @query("op10_best_fit")
 def op10_best_fit(spark, folder):
     return packed_documents(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op5_language_fusion")
+def op5_language_fusion(spark, folder):
+    return identify(evidence(table(spark, folder, "documents")))
