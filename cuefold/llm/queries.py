@@ -13,6 +13,7 @@ from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
 from cuefold.llm.language_fusion import evidence, identify
 from cuefold.llm.positional_index import decontaminate
+from cuefold.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +158,8 @@ def op10_best_fit(spark, folder):
 @query("op5_language_fusion")
 def op5_language_fusion(spark, folder):
     return identify(evidence(table(spark, folder, "documents")))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, folder):
+    return token_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
