@@ -13,6 +13,7 @@ from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
 from cuefold.llm.language_fusion import evidence, identify
 from cuefold.llm.positional_index import decontaminate
+from cuefold.llm.recurrent_lm import language_model
 from cuefold.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,8 @@ def op5_language_fusion(spark, folder):
 @query("op4_token_counts")
 def op4_token_counts(spark, folder):
     return token_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op9_recurrent_lm")
+def op9_recurrent_lm(spark, folder):
+    return language_model(table(spark, folder, "documents"))

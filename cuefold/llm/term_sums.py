@@ -9,7 +9,7 @@ a block.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,25 @@ POSTING_SCHEMA = pa.schema(
 SUMS = "block long, ords binary, sums binary, doc_ids array<long>, numbers array<long>"
 SUM_SCHEMA = pa.schema([("block", pa.int64()), ("ords", pa.binary()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int64()))])
 
-#: From a document's id and text: its term frequencies and the numbers that go with the document.
-Measure = Callable[[int | None, bytes | None], tuple[Counter, tuple[int, ...]]]
+#: Texts measured together: about so many bytes.
+TOGETHER = 8 << 20
+#: From (id, text) rows: the term frequencies of each and the numbers that go with it.
+Measure = Callable[[list[tuple[int | None, bytes | None]]], Iterable[tuple[Counter, tuple[int, ...]]]]
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes | None]]]:
+    """The (id, text) rows of arrow batches in lists of about TOGETHER bytes; a longer text is a list of its own."""
+    held, size = [], 0
+    for batch in batches:
+        for row in rows_of(batch):
+            length = len(row[1] or b"") + 64
+            if held and size + length > TOGETHER:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += length
+    if held:
+        yield held
 
 
 class Block:
@@ -76,15 +93,15 @@ class Block:
 
 
 def postings(docs: DataFrame, measure: Callable[[], Measure]) -> DataFrame:
-    """Posting rows of all documents; `measure()` is called once per task and then for each document."""
+    """Posting rows of all documents; `measure()` is called once per task, its result for the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         of, number, held = measure(), TaskContext.get().partitionId() << 32, Block()
-        for batch in batches:
-            for doc_id, text in rows_of(batch):
-                held.add(doc_id, *of(doc_id, text))
+        for rows in together(batches):
+            for (doc_id, _), measured in zip(rows, of(rows)):
+                held.add(doc_id, *measured)
                 if len(held.doc_ids) >= BLOCK_DOCS or held.pairs >= BLOCK_PAIRS:
                     yield from held.batches(number)
                     number, held = number + 1, Block()
@@ -94,26 +111,28 @@ def postings(docs: DataFrame, measure: Callable[[], Measure]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), raw_text()).mapInArrow(run, POSTINGS)
 
 
-def distinct_terms(docs: DataFrame, measure: Callable[[], Measure]) -> DataFrame:
-    """(term): every term of the documents once. The texts are read again rather than the postings kept."""
+def term_counts(docs: DataFrame, measure: Callable[[], Measure]) -> DataFrame:
+    """(term, n): every term of the documents once, with its occurrences. The texts are read for it alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = measure(), set()
+        of, sums = measure(), Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            terms = [t if isinstance(t, bytes) else t.encode() for t in seen]
+            terms = [t if isinstance(t, bytes) else t.encode() for t in sums]
+            n = list(sums.values())
             for at in range(0, len(terms), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(terms[at : at + 20_000], pa.binary())], names=["term"])
+                yield pa.RecordBatch.from_arrays([pa.array(terms[at : at + 20_000], pa.binary()), pa.array(n[at : at + 20_000], pa.int64())], names=["term", "n"])
 
-        for batch in batches:
-            for doc_id, text in rows_of(batch):
-                seen.update(of(doc_id, text)[0])
-                if len(seen) >= BLOCK_PAIRS // 2:
-                    yield from out()
-                    seen = set()
+        for rows in together(batches):
+            for counts, _ in of(rows):
+                sums.update(counts)
+            if len(sums) >= BLOCK_PAIRS // 2:
+                yield from out()
+                sums = Counter()
         yield from out()
 
-    return docs.select(F.col("doc_id").cast("long"), raw_text()).mapInArrow(run, "term binary").distinct()
+    found = docs.select(F.col("doc_id").cast("long"), raw_text()).mapInArrow(run, "term binary, n long")
+    return found.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.llm.term_sums import Measure, distinct_terms, postings, summed
+from cuefold.llm.term_sums import Measure, term_counts, postings, summed
 
 LIMIT = 512
 
@@ -42,7 +42,7 @@ def pre_tokens(path: str) -> Callable[[], Measure]:
         known = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
         single = {t for t, e in zip(known, tokenizer.encode_batch_fast(known, add_special_tokens=False)) if len(e.ids) == 1 and find(t) == [t]}
 
-        def of(doc_id: int | None, text: bytes | None) -> tuple[Counter, tuple[int, ...]]:
+        def one(text: bytes | None) -> tuple[Counter, tuple[int, ...]]:
             plain = (text or b"").decode("utf-8", "replace")
             tokens = 0
             parts = [plain]
@@ -56,7 +56,7 @@ def pre_tokens(path: str) -> Callable[[], Measure]:
                 tokens += counts.pop(term)
             return counts, (len(text or b""), tokens)
 
-        return of
+        return lambda rows: (one(text) for _, text in rows)
 
     return start
 
@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     are read. An empty table gives no rows.
     """
     measure = pre_tokens(path)
-    pieces = piece_counts(distinct_terms(docs, measure), path)
+    pieces = piece_counts(term_counts(docs, measure).select("term"), path)
     valued = postings(docs, measure).join(pieces, "term", "left")
     per_doc = summed(valued, ["pieces"], ["n_bytes", "n_single"])
     n = (F.col("n_single") + F.col("pieces").cast("long"))
