@@ -12,8 +12,10 @@ from cuefold.llm.best_fit import packed_documents
 from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
 from cuefold.llm.language_fusion import evidence, identify
+from cuefold.llm.license_rules import LOWER, RULES as LICENSE_RULES, SENTENCES, UPPER, scan_licenses
 from cuefold.llm.positional_index import decontaminate
 from cuefold.llm.recurrent_lm import language_model
+from cuefold.llm.revisits import page_captures, resolve_revisits
 from cuefold.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +171,81 @@ def op4_token_counts(spark, folder):
 @query("op9_recurrent_lm")
 def op9_recurrent_lm(spark, folder):
     return language_model(table(spark, folder, "documents"))
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    steps, last = [], "r0"
+    for i, (_, _, pattern) in enumerate(LICENSE_RULES):
+        # RE2 has no look-behind: an identifier starts the string or follows a space.
+        whole = f"(^|[^a-z0-9_]){pattern}"
+        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (rest), regexp_matches(rest, '{whole}') AS hit{i}, regexp_replace(regexp_replace(rest, '{whole}', '\\1; ', 'g'), '{whole}', '\\1; ', 'g') AS rest FROM s{i})")
+        last = f"s{i + 1}"
+    names = ", ".join(f"CASE WHEN hit{i} THEN '{name}' END" for i, (name, _, _) in enumerate(LICENSE_RULES))
+    kinds = ", ".join(f"CASE WHEN hit{i} THEN '{kind}' END" for i, (_, kind, _) in enumerate(LICENSE_RULES))
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}
+), parts AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS sentence
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM documents)
+), plain AS (
+  SELECT doc_id, i, regexp_replace(regexp_replace(translate(sentence, '{UPPER}', '{LOWER}'), '[^a-z0-9.+\\-]+', ' ', 'g'), '^[ .\\-]+|[ .\\-]+$', '', 'g') AS sentence FROM parts
+), ids AS (
+  SELECT doc_id, list(id ORDER BY i) AS ids FROM (
+    SELECT doc_id, i, CASE WHEN regexp_matches(plain.sentence, '^copyright (c )?[0-9]{{4}}\\b.*') THEN 'copyright' ELSE id END AS id FROM plain LEFT JOIN known USING (sentence)
+  ) WHERE id IS NOT NULL GROUP BY doc_id
+), s0 AS (
+  SELECT doc_id, coalesce(ids, []) AS ids, CASE WHEN ids IS NULL THEN '' ELSE array_to_string(ids, ' ') || ' ' END AS rest FROM documents LEFT JOIN ids USING (doc_id)
+), {", ".join(steps)}
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ' ') AS sentence_ids,
+       array_to_string(list_sort(list_distinct([{names}])), ',') AS licenses,
+       array_to_string(list_sort(list_distinct([{kinds}])), ',') AS classes,
+       len(list_filter(string_split(rest, ' '), lambda x: x NOT IN ('', ';')))::BIGINT AS unmatched
+FROM {last}
+"""
+
+
+@query("op7_license_rules", _license_sql())
+def op7_license_rules(spark, folder):
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+REVISITS_SQL = """
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS tag, make_timestamp((1700000000 + page_id * 37) * 1000000) AS t FROM pages
+), c AS (
+  SELECT page_id * 8 AS record_id, url, t AS ts, 'response' AS kind, tag AS etag, strftime(t, '%Y-%m-%d %H:%M:%S') AS modified, tag AS digest, 0 AS delay, 'max-age=60' AS cache, NULL AS vary, NULL AS expires, 'one' AS server FROM p
+  UNION ALL SELECT page_id * 8 + 1, url, t + INTERVAL 3600 SECOND, 'revisit', tag, NULL, NULL, 3600, 'max-age=600', NULL, NULL, 'two' FROM p
+  UNION ALL SELECT page_id * 8 + 2, url, t + INTERVAL 7200 SECOND, 'revisit', md5(tag), NULL, NULL, 7200, NULL, 'accept', NULL, NULL FROM p WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id * 8 + 3, url, t + INTERVAL 86400 SECOND, 'revisit', NULL, strftime(t, '%Y-%m-%d %H:%M:%S'), NULL, 86400, NULL, NULL, 'never', NULL FROM p WHERE page_id % 7 = 0
+  UNION ALL SELECT page_id * 8 + 4, url, t + INTERVAL 90000 SECOND, 'revisit', NULL, NULL, NULL, 90000, NULL, '*', NULL, NULL FROM p WHERE page_id % 11 = 0
+  UNION ALL SELECT page_id * 8 + 5, url, t - INTERVAL 60 SECOND, 'revisit', tag, NULL, NULL, -60, NULL, '*', NULL, NULL FROM p WHERE page_id % 13 = 0
+), b AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?', ''), '#.*$', '') AS bare FROM c
+), k AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '')
+            || regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '/+$', '') AS canonical, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date FROM b
+), one AS (
+  SELECT * FROM k WHERE kind = 'response' QUALIFY row_number() OVER (PARTITION BY canonical, ts ORDER BY record_id DESC) = 1
+), j AS (
+  SELECT r.*, s.record_id AS source_id, s.ts AS source_ts, s.etag AS s_etag, s.modified AS s_modified, s.digest AS s_digest, s.cache AS s_cache, s.server AS s_server
+  FROM (SELECT * FROM k WHERE kind = 'revisit') r ASOF LEFT JOIN one s ON r.canonical = s.canonical AND r.ts > s.ts
+), o AS (
+  SELECT *, CASE WHEN source_id IS NULL THEN 'no_source' WHEN etag IS NULL AND modified IS NULL THEN 'unvalidated'
+    WHEN coalesce(CASE WHEN etag IS NOT NULL THEN etag = s_etag ELSE modified = s_modified END, false) THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j
+)
+SELECT record_id, canonical, date AS seen, source_id, strftime(source_ts, '%Y-%m-%d %H:%M:%S') AS source_seen, outcome,
+       CASE WHEN outcome IN ('resolved', 'unvalidated') THEN s_digest END AS digest,
+       concat_ws(';', 'cache-control=' || CASE WHEN outcome IN ('resolved', 'unvalidated') THEN coalesce(cache, s_cache) ELSE cache END,
+         'content-type=text/html', 'date=' || date, 'expires=' || expires,
+         'server=' || CASE WHEN outcome IN ('resolved', 'unvalidated') THEN s_server ELSE server END, 'vary=' || vary) AS headers
+FROM o
+"""
+
+
+@query("op1_revisit_resolution", REVISITS_SQL)
+def op1_revisit_resolution(spark, folder):
+    found = resolve_revisits(page_captures(table(spark, folder, "pages")))
+    pairs = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.element_at("headers", k)))
+    seen = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select("record_id", "canonical", seen("at").alias("seen"), "source_id", seen("source_at").alias("source_seen"), "outcome", "digest", F.concat_ws(";", pairs).alias("headers"))
