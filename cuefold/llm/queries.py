@@ -17,6 +17,7 @@ from cuefold.llm.positional_index import decontaminate
 from cuefold.llm.recurrent_lm import language_model
 from cuefold.llm.revisits import page_captures, resolve_revisits
 from cuefold.llm.token_counts import token_counts
+from cuefold.llm.wrapper_induction import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -249,3 +250,8 @@ def op1_revisit_resolution(spark, folder):
     pairs = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.element_at("headers", k)))
     seen = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return found.select("record_id", "canonical", seen("at").alias("seen"), "source_id", seen("source_at").alias("source_seen"), "outcome", "digest", F.concat_ws(";", pairs).alias("headers"))
+
+
+@query("op6_wrapper_induction")
+def op6_wrapper_induction(spark, folder):
+    return extract(table(spark, folder, "pages"))
