@@ -42,15 +42,15 @@ def _unescape(texts: pd.Series) -> pd.Series:
 def strip_formatting(text: Column, entities: bool = True) -> Column:
     """Plain text of a subtitle: no overrides, no tags, trimmed lines, single blank lines.
 
-    Entities need Python's table; that step runs in Arrow batches. Callers that hold large
-    tables can split rows on the '&' and pass ``entities=False`` for those without one.
+    Entities need Python's table; that step runs in Arrow batches, and only texts with an '&' are
+    sent. ``entities=False`` leaves it out.
     """
     # The three escapes of the subtitle format.
     t = F.replace(F.replace(F.replace(text, F.lit(r"\N"), F.lit("\n")), F.lit(r"\n"), F.lit("\n")), F.lit(r"\h"), F.lit(" "))
     t = F.regexp_replace(t, r"\{[^}]*\}", "")
     t = F.regexp_replace(t, r"</?[a-zA-Z0-9_\-.:]+(?:\s+[^>]*)?>", "")
     if entities:
-        t = _unescape(t)
+        t = F.coalesce(_unescape(F.when(F.contains(t, F.lit("&")), t)), t)
     lines = F.transform(F.split(F.regexp_replace(t, r"\r\n|\r", "\n"), "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     joined = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
     return F.coalesce(F.regexp_replace(joined, r"^\n+|\n+$", ""), F.lit(""))

@@ -90,23 +90,23 @@ def subtract_intervals(
     drop_ms: int = DROP_MS,
     bucket_ms: int = 60_000,
 ) -> DataFrame:
-    """Each base span minus the union of `cuts` with the same keys.
+    """Each base span minus the union of `cuts` with the same keys; `base_id` names a base within its keys.
 
     The cuts are merged first, so what meets one base is disjoint and ordered.
     """
     merged = merge_intervals(cuts, keys).where(F.col("end_ms") > F.col("start_ms"))
     met = overlap_join(bases, merged, keys, inclusive=False, bucket_ms=bucket_ms).select(
-        base_id, F.col("r_start_ms").alias("cut_start"), F.col("r_end_ms").alias("cut_end")
+        *keys, base_id, F.col("r_start_ms").alias("cut_start"), F.col("r_end_ms").alias("cut_end")
     )
     named = bases.select(*keys, base_id, "start_ms", "end_ms")
     head = named.select(
-        base_id, F.col("start_ms").alias("cut_start"), F.col("start_ms").alias("cut_end"), F.lit(0).alias("_o")
+        *keys, base_id, F.col("start_ms").alias("cut_start"), F.col("start_ms").alias("cut_end"), F.lit(0).alias("_o")
     )
     rows = head.unionByName(met.withColumn("_o", F.lit(1)))
-    ordered = Window.partitionBy(base_id).orderBy("_o", "cut_start")
+    ordered = Window.partitionBy(*keys, base_id).orderBy("_o", "cut_start")
     pieces = rows.withColumn("_next", F.lead("cut_start").over(ordered))
     return (
-        pieces.join(named, base_id)
+        pieces.join(named, [*keys, base_id])
         .select(
             *keys,
             base_id,

@@ -279,11 +279,11 @@ def reconciled_gaps(spark, folder):
     return gaps.reconcile_gaps(cov.detect_gaps(cues, vis, evidence, eps, chunks), prior)
 
 
-@query("resolved_gaps", """WITH g AS (SELECT o_orderkey AS gap_id, o_custkey AS episode_id FROM orders), r AS (SELECT l_orderkey AS gap_id, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n FROM lineitem WHERE l_linenumber < 3 GROUP BY 1)
+@query("resolved_gaps", """WITH g AS (SELECT o_orderkey AS gap_id, o_custkey AS episode_id FROM orders), r AS (SELECT l_orderkey AS gap_id, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n FROM lineitem GROUP BY 1)
 SELECT 'e' || episode_id AS episode_id, 'g' || g.gap_id AS gap_id, CASE WHEN n IS NULL THEN 'PENDING' WHEN n > 0 THEN 'RESOLVED' ELSE 'PERSISTENT_EMPTY' END AS status FROM g LEFT JOIN r USING (gap_id)""")
 def resolved_gaps(spark, folder):
     o = b.table(spark, folder, "orders").select(F.concat(F.lit("e"), "o_custkey").alias("episode_id"), F.concat(F.lit("g"), "o_orderkey").alias("gap_id"), F.lit("PENDING").alias("status"))
-    lines = b.table(spark, folder, "lineitem").where("l_linenumber < 3").select(F.concat(F.lit("g"), "l_orderkey").alias("gap_id"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("items"))
+    lines = b.table(spark, folder, "lineitem").select(F.concat(F.lit("g"), "l_orderkey").alias("gap_id"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("items"))
     requests = lines.join(o.select("episode_id", "gap_id"), "gap_id").select("episode_id", F.array("gap_id").alias("gap_ids"), "items")
     return gaps.resolve_gaps(o, requests)
 
