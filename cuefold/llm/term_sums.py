@@ -58,8 +58,9 @@ class Block:
 
     def add(self, doc_id: int | None, counts: Counter, numbers: tuple[int, ...]) -> None:
         terms = self.terms
-        for term in counts.keys() - terms.keys():
-            terms[term] = len(terms)
+        for term in counts:
+            if term not in terms:
+                terms[term] = len(terms)
         n = len(counts)
         self.ids.append(np.fromiter(map(terms.__getitem__, counts), np.int32, n))
         self.freqs.append(np.fromiter(counts.values(), np.int64, n))

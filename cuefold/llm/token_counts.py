@@ -52,7 +52,7 @@ def pre_tokens(path: str) -> Callable[[], Measure]:
             counts = Counter()
             for part in parts:
                 counts.update(find(part))
-            for term in counts.keys() & single:
+            for term in [t for t in counts if t in single]:
                 tokens += counts.pop(term)
             return counts, (len(text or b""), tokens)
 
