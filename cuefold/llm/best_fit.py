@@ -21,7 +21,7 @@ PIECES = 20_000
 #: Bins of a packer with more free space than this share are emptied and packed again, all packers together.
 LOOSE = 0.04
 #: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 class ChunkIds(dict):
@@ -38,7 +38,7 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def learn(self, chunks: list[bytes]) -> None:
-        new = list(set(chunks).difference(self))
+        new = [c for c in set(chunks) if c not in self]
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = list(set(chunks))
@@ -49,6 +49,16 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+_kept: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """The ids of this worker, kept from task to task."""
+    if path not in _kept:
+        _kept[path] = ChunkIds(path)
+    return _kept[path]
+
+
 def word_ids(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the id `end`, cut at every `capacity` ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -67,7 +77,7 @@ def word_ids(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY)
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        ids, held, size = ChunkIds(path), [], 0
+        ids, held, size = chunk_ids(path), [], 0
         for row in rows:
             held.append(row)
             size += len(row[1] or b"")
