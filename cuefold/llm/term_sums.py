@@ -143,16 +143,19 @@ def flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype), lengths // np.dtype(dtype).itemsize
 
 
-def summed(valued: DataFrame, values: list[str], ids: list[str]) -> DataFrame:
-    """Per document: doc_id, its numbers under the names `ids`, and each column of `values` summed over its terms.
+def summed(valued: DataFrame, values: list[str], ids: list[str], value_of: Callable[[], Callable[[pa.Array], list[np.ndarray]]] | None = None) -> DataFrame:
+    """Per document: doc_id, its numbers under the names `ids`, and each of `values` summed over its terms.
 
-    valued: postings joined with the values of their terms; a null value adds nothing. Partial sums of
-    each task go to the block's partition and are added up as they stream by.
+    valued: postings joined with the values of their terms; a null value adds nothing. With `value_of`,
+    valued are postings dealt by term, in term order, and the values come from what `value_of()`, called
+    once per task, gives for the terms of a batch. Partial sums of each task go to the block's partition
+    and are added up as they stream by.
     """
     k = len(values)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        given = value_of() if value_of else None
 
         def out() -> Iterator[pa.RecordBatch]:
             for block, sums in held.items():
@@ -172,7 +175,8 @@ def summed(valued: DataFrame, values: list[str], ids: list[str]) -> DataFrame:
             if not len(ords):
                 continue
             of_row = np.repeat(np.arange(len(n)), n)
-            weights = [np.nan_to_num(got[v].to_numpy(zero_copy_only=False).astype(np.float64))[of_row] * freqs for v in values]
+            per_row = given(got["term"]) if given else [np.nan_to_num(got[v].to_numpy(zero_copy_only=False).astype(np.float64)) for v in values]
+            weights = [x[of_row] * freqs for x in per_row]
             order = np.argsort(blocks[of_row], kind="stable")
             sorted_blocks = blocks[of_row][order]
             for lo, hi in zip(*_runs(sorted_blocks)):
@@ -211,7 +215,7 @@ def summed(valued: DataFrame, values: list[str], ids: list[str]) -> DataFrame:
             yield from out()
 
     n = int(valued.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = valued.select("block", "ords", "freqs", "doc_ids", "numbers", *values).mapInArrow(partial, SUMS)
+    parts = valued.select("block", "ords", "freqs", "doc_ids", "numbers", *(["term"] if value_of else values)).mapInArrow(partial, SUMS)
     ddl = ", ".join(["doc_id long", *(f"{i} long" for i in ids), *(f"{v} double" for v in values)])
     return parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(whole, ddl)
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.llm.term_sums import Measure, term_counts, postings, summed
+from cuefold.llm.term_sums import Measure, postings, summed
 
 LIMIT = 512
 
@@ -61,17 +62,25 @@ def pre_tokens(path: str) -> Callable[[], Measure]:
     return start
 
 
-def piece_counts(terms: DataFrame, path: str) -> DataFrame:
-    """(term, pieces): how many pieces the tokenizer makes of each pre-token."""
+def piece_counts(path: str):
+    """Pieces of each term of a batch. Terms come in order, so each is counted once: a batch's terms, and the last one is kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        for batch in batches:
-            terms = [t.decode() for t in batch.column(0).to_pylist()]
-            found = tokenizer.encode_batch_fast(terms, add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array([len(e.ids) for e in found], pa.int64())], names=["term", "pieces"])
+    def start():
+        tokenizer, last = load(path), {}
+
+        def given(terms: pa.Array) -> list[np.ndarray]:
+            names = terms.dictionary_encode()
+            listed = names.dictionary.to_pylist()
+            new = [t for t in listed if t not in last and not t.startswith(b"\xff\xff")]
+            found = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False))))
+            per = np.array([found.get(t, last.get(t, 0)) for t in listed], dtype=np.float64)
+            last.clear()
+            last[listed[-1]] = int(per[-1])
+            return [per[names.indices.to_numpy()]]
 
-    return terms.mapInArrow(run, "term binary, pieces long")
+        return given
+
+    return start
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -81,9 +90,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     one. Malformed UTF-8 counts as the replacement character, n_bytes as it stands. Only doc_id and text
     are read. An empty table gives no rows.
     """
-    measure = pre_tokens(path)
-    pieces = piece_counts(term_counts(docs, measure).select("term"), path)
-    valued = postings(docs, measure).join(pieces, "term", "left")
-    per_doc = summed(valued, ["pieces"], ["n_bytes", "n_single"])
-    n = (F.col("n_single") + F.col("pieces").cast("long"))
-    return per_doc.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # All frequencies of a pre-token meet in its partition, in order: there its pieces are counted once and joined to them.
+    dealt = postings(docs, pre_tokens(path)).repartition(n, "term").sortWithinPartitions("term")
+    per_doc = summed(dealt, ["pieces"], ["n_bytes", "n_single"], piece_counts(path))
+    tokens = F.col("n_single") + F.col("pieces").cast("long")
+    return per_doc.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
