@@ -21,8 +21,11 @@ PER_LONG = 64 // BITS
 LONGS = HASHES // PER_LONG
 #: A pair at the threshold is missed by every band with probability (1 - 0.75^4)^40 = 2.5e-7.
 THRESHOLD = 0.75
-#: Standard deviations of the estimate below the threshold at which a candidate is dropped unseen (1e-9).
-SLACK = 6.0
+#: Standard deviations of the estimate below the threshold at which a candidate is dropped unseen: 3e-5 of
+#: the pairs exactly at the threshold, fewer above it.
+SLACK = 4.0
+#: Hubs of a bucket grow by this factor from round to round.
+DRAW = 8
 
 _generator = np.random.default_rng(20_24)
 FACTORS = _generator.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,9 +145,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Documents of one word sequence are one class, named by its least id; only that one goes on. Bands of
     four minima propose: the members of a bucket are compared with hubs, never all with all. A hub that
-    has met everybody leaves its bucket, and a bucket whose members are one component is done; the share
-    of components that send a hub doubles each round, so every pair that shares a band and is not yet
-    connected is compared in the end, after log(components) rounds. Compared means: estimated from packed
+    has met everybody leaves its bucket, and a bucket whose members are one component is done. The most
+    central component of a bucket sends its hub first, then DRAW times as many each round, so every pair that
+    shares a band and is not yet connected is compared in the end, in the first bucket it shares, after
+    log(components) rounds. Compared means: estimated from packed
     low bits, then confirmed on the full sets.
 
     A null or empty text, or one without words, has no shingles, links with nothing and is kept. Rows with
@@ -155,13 +159,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     reps = durable(copies)
     members = reps.where(F.size("bands") > 0).select("rep", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = durable(members.join(full, "bucket"))
+    # How many others a document meets over all its buckets: the original of many copies meets the most.
+    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
     # Most documents meet nobody; signatures travel only with the rest.
-    members = durable(members.join(full, "bucket")).join(reps.select("rep", "bits"), "rep")
+    members = durable(shared.select("bucket", "rep").join(reps.select("rep", "bits", "bands"), "rep").join(weight, "rep"))
     nodes = durable(members.select(F.col("rep").alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(shingle_sets(texts.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")))
     home = nodes.select(F.col("id").alias("rep"), F.col("id").alias("home"))
+    first_shared = F.element_at("bands", F.array_position(F.zip_with("bands", "hub_bands", lambda x, y: x == y), True).cast("int")) == F.col("bucket")
     links = None
     refused = None
     turn = 0
@@ -171,15 +179,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         live = durable(homed.join(open_buckets.select("bucket", "homes"), "bucket"))
         if live.isEmpty():
             break
-        heads = live.groupBy("bucket", "home").agg(F.min_by(F.struct("rep", "bits"), "rep").alias("head"), F.first("homes").alias("homes"))
-        if turn == 0:
-            heads = heads.groupBy("bucket").agg(F.min_by(F.struct("home", "head"), "home").alias("h")).select("bucket", "h.*")
-        else:
-            drawn = F.pmod(F.xxhash64("bucket", "home", F.lit(turn)), F.lit(1 << 20)) * F.col("homes")
-            heads = heads.where(drawn <= F.lit(1 << 20) * float(4**turn))
-        hubs = durable(heads.select("bucket", F.col("home").alias("hub_home"), F.col("head.rep").alias("hub"), F.col("head.bits").alias("hub_bits")))
-        # A pair of hubs is met once, from the smaller home.
-        met = live.join(hubs, "bucket").where("home <> hub_home").where(estimate("bits", "hub_bits") >= screen(threshold))
+        # The most central component of a bucket sends its hub first; then more are drawn, alike in all their
+        # buckets; once that would be all components, every member is a hub and the bucket is done.
+        share = F.lit(float(DRAW ** (turn - 1) if turn else 0))
+        heads = live.where(F.col("homes") > share).groupBy("bucket", "home").agg(
+            F.max_by(F.struct("rep", "bits", "bands"), F.struct("weight", "rep")).alias("head"), F.max("weight").alias("weight"), F.first("homes").alias("homes")
+        )
+        best = heads.groupBy("bucket").agg(F.max(F.struct("weight", "home")).alias("best"))
+        drawn = F.pmod(F.xxhash64("home", F.lit(turn)), F.lit(1 << 20)) * F.col("homes") <= F.lit(1 << 20) * share
+        heads = heads.join(best, "bucket").where(drawn | (F.col("best.home") == F.col("home"))).select("bucket", "home", "head.*", F.lit(False).alias("everyone"))
+        everyone = live.where(F.col("homes") <= share).select("bucket", "home", "rep", "bits", "bands", F.lit(True).alias("everyone"))
+        hubs = durable(heads.unionByName(everyone).select(
+            "bucket", F.col("home").alias("hub_home"), F.col("rep").alias("hub"), F.col("bits").alias("hub_bits"), F.col("bands").alias("hub_bands"), "everyone"
+        ))
+        # Of the buckets a pair shares only the first counts; where everyone is a hub, one of the two asks.
+        other = (F.col("home") < F.col("hub_home")) | (~F.col("everyone") & (F.col("home") > F.col("hub_home")))
+        met = live.join(hubs, "bucket").where(other & (estimate("bits", "hub_bits") >= screen(threshold)) & first_shared)
         pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
@@ -188,7 +203,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         refused = lost if refused is None else refused.unionByName(lost)
         home = durable(connected_components(nodes, links).select(F.col("id").alias("rep"), F.col("group").alias("home")))
-        members = live.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "bits")
+        members = live.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "bits", "bands", "weight")
         turn += 1
     joined = reps.select("digest", "rep", F.size("bands").alias("__n")).join(home, "rep", "left").select(
         "digest", F.when(F.col("__n") > 0, F.coalesce("home", "rep")).alias("component")
