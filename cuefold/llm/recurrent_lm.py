@@ -9,7 +9,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.llm.common import raw_text, words_of
-from cuefold.llm.term_sums import Measure, postings, summed, term_counts, together
+from cuefold.llm.term_sums import Measure, Valued, postings, summed, term_counts, together
 from cuefold.session import durable
 
 #: Symbols of the network: the most frequent words, the end of a text, and one for all other words.
@@ -290,6 +289,20 @@ def scoring(params: Broadcast, symbols: Broadcast) -> Callable[[], Measure]:
     return start
 
 
+def log_shares(n: int, v: int, rare_n: int, rare_v: int, listed: set[bytes]) -> Callable[[], Valued]:
+    """Values of terms: log10 share of all counts, whether it has any, and off the short list the log10 share of the counts there."""
+
+    def start() -> Valued:
+        def find(terms: list[bytes], counts: list[int]) -> np.ndarray:
+            c = np.array(counts, dtype=np.float64)
+            rare = np.fromiter((t not in listed for t in terms), bool, len(terms))
+            return np.array([np.log10((c + 0.5) / (n + 0.5 * (v + 1))), c > 0, np.where(rare, np.log10((c + 0.5) / (rare_n + 0.5 * (rare_v + 1))), 0.0)])
+
+        return find
+
+    return start
+
+
 def unpacked_double(column: str) -> F.Column:
     """The double whose bits are a long: sign, exponent and mantissa put together."""
     bits = F.col(column)
@@ -312,11 +325,14 @@ def language_model(docs: DataFrame) -> DataFrame:
     text are read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counts = durable(term_counts(docs, counting(True)))
-    # A top-k by count: the symbols of the network, whose number is fixed.
-    top = [(bytes(r.term), r.n) for r in counts.where(F.col("term") != F.lit(END)).orderBy(F.desc("n"), "term").limit(SYMBOLS - 2).collect()]
-    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("term") == F.lit(END), F.col("n"))).alias("ends")).first()
-    n, v, ends = totals.n or 0, totals.v, totals.ends or 0
+    counts = durable(term_counts(docs, counting(True), SYMBOLS - 1, END))
+    # A top-k by count: the symbols of the network, whose number is fixed; the end is among them where there is any.
+    best = counts.select(F.explode(F.arrays_zip("top_terms", "top_ns")).alias("x")).select(F.col("x.top_terms").alias("term"), F.col("x.top_ns").alias("n"))
+    is_end = F.col("term") == F.lit(END)
+    ends = best.where(is_end).agg(F.sum("n")).first()[0] or 0
+    top = [(bytes(r.term), r.n) for r in best.where(~is_end).orderBy(F.desc("n"), "term").limit(SYMBOLS - 2).collect()]
+    totals = counts.agg(F.sum("total").alias("n"), F.sum(F.length("lengths") / 4).cast("long").alias("v")).first()
+    n, v = totals.n or 0, totals.v or 0
     rare_n, rare_v = n - ends - sum(c for _, c in top), v - len(top) - bool(ends)
     listed = sorted([*top, (END, ends), (b"", rare_n)], key=lambda x: (-x[1], x[0]))
     names = [w for w, _ in listed]
@@ -325,14 +341,8 @@ def language_model(docs: DataFrame) -> DataFrame:
     for turn in range(ROUNDS):
         params = learn(docs, params, symbols, turn, RATE / (1 + turn))
     measure = scoring(spark.sparkContext.broadcast(params), spark.sparkContext.broadcast(symbols))
-    unseen, unseen_rare = log10(0.5 / (n + 0.5 * (v + 1))), log10(0.5 / (rare_n + 0.5 * (rare_v + 1)))
-    on_list = F.col("term").isin([F.lit(w) for w in names if w])
-    valued = postings(docs, measure).join(counts, "term", "left").withColumns({
-        "base": F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1))), F.lit(unseen)),
-        "known": F.when(F.col("n").isNotNull(), 1).otherwise(0),
-        "rare": F.when(on_list, F.lit(0.0)).otherwise(F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(rare_n + 0.5 * (rare_v + 1))), F.lit(unseen_rare))),
-    })
-    per_doc = summed(valued, ["base", "known", "rare"], ["held", "n_tokens", "bits"])
+    values = log_shares(n, v, rare_n, rare_v, {w for w in names if w})
+    per_doc = summed(postings(docs, measure), ["base", "known", "rare"], ["held", "n_tokens", "bits"], values, counts)
     return per_doc.select(
         "doc_id", (F.col("held") == 1).alias("held_out"), "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), (unpacked_double("bits") + F.col("rare")).alias("score"),

@@ -6,11 +6,10 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.llm.term_sums import Measure, postings, summed
+from cuefold.llm.term_sums import Measure, Valued, postings, summed
 
 LIMIT = 512
 
@@ -62,23 +61,16 @@ def pre_tokens(path: str) -> Callable[[], Measure]:
     return start
 
 
-def piece_counts(path: str):
-    """Pieces of each term of a batch. Terms come in order, so each is counted once: a batch's terms, and the last one is kept."""
+def piece_counts(path: str) -> Callable[[], Valued]:
+    """Pieces of terms, by the tokenizer itself."""
 
-    def start():
-        tokenizer, last = load(path), {}
+    def start() -> Valued:
+        tokenizer = load(path)
 
-        def given(terms: pa.Array) -> list[np.ndarray]:
-            names = terms.dictionary_encode()
-            listed = names.dictionary.to_pylist()
-            new = [t for t in listed if t not in last and not t.startswith(b"\xff\xff")]
-            found = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False))))
-            per = np.array([found.get(t, last.get(t, 0)) for t in listed], dtype=np.float64)
-            last.clear()
-            last[listed[-1]] = int(per[-1])
-            return [per[names.indices.to_numpy()]]
+        def find(terms: list[bytes], _: list[int]) -> np.ndarray:
+            return np.array([[len(e.ids) for e in tokenizer.encode_batch_fast([t.decode() for t in terms], add_special_tokens=False)]], dtype=np.float64)
 
-        return given
+        return find
 
     return start
 
@@ -90,9 +82,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     one. Malformed UTF-8 counts as the replacement character, n_bytes as it stands. Only doc_id and text
     are read. An empty table gives no rows.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # All frequencies of a pre-token meet in its partition, in order: there its pieces are counted once and joined to them.
-    dealt = postings(docs, pre_tokens(path)).repartition(n, "term").sortWithinPartitions("term")
-    per_doc = summed(dealt, ["pieces"], ["n_bytes", "n_single"], piece_counts(path))
+    # All frequencies of a pre-token meet in its bucket: there its pieces are counted once and joined to them.
+    per_doc = summed(postings(docs, pre_tokens(path)), ["pieces"], ["n_bytes", "n_single"], piece_counts(path))
     tokens = F.col("n_single") + F.col("pieces").cast("long")
     return per_doc.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
