@@ -38,6 +38,10 @@ def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
+def tokens_of(text: bytes | None) -> list[bytes]:
+    return [*words_of(text), END]
+
+
 def held_out(doc_id: int | None) -> bool:
     """Whether crc32(doc_id as text) leaves 1 by 5; a null id does not."""
     return doc_id is not None and fold_of(doc_id) % 5 == 1
@@ -73,62 +77,80 @@ def log_softmax(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
 
 
+def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of targets by class, and (class, start, end) of the classes that occur."""
+    classes = targets // PER_CLASS
+    ends = np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()
+    return np.argsort(classes, kind="stable"), [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends)) if hi > lo]
+
+
 def log_likelihood(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after its state: of its class, then of the symbol in the class."""
-    classes, places = targets // PER_CLASS, targets % PER_CLASS
-    out = log_softmax(states @ p["c"] + p["cb"])[np.arange(len(targets)), classes]
-    order = np.argsort(classes, kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
-    for c, hi in enumerate(ends):
-        rows = order[(ends[c - 1] if c else 0) : hi]
-        if len(rows):
-            out[rows] += log_softmax(states[rows] @ p["w"][c] + p["wb"][c])[np.arange(len(rows)), places[rows]]
+    order, runs = by_class(targets)
+    at, places = states[order], (targets % PER_CLASS)[order]
+    found = np.empty(len(targets), states.dtype)
+    for c, lo, hi in runs:
+        found[lo:hi] = log_softmax(at[lo:hi] @ p["w"][c] + p["wb"][c])[np.arange(hi - lo), places[lo:hi]]
+    out = log_softmax(states @ p["c"] + p["cb"])[np.arange(len(targets)), targets // PER_CLASS]
+    out[order] += found
     return out
 
 
+def misses(logits: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of a mean over n of -log softmax at the wanted places."""
+    delta = np.exp(logits - logits.max(axis=1, keepdims=True))
+    delta /= delta.sum(axis=1, keepdims=True)
+    delta[np.arange(len(delta)), wanted] -= 1
+    delta *= logits.dtype.type(1 / n)
+    return delta
+
+
 def gradient(p: Params, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
     """Gradient of a window's mean loss, and the state after it. inputs, targets, mask: (steps, lanes)."""
-    kept, states, first = [], [], h
+    kept, states = [], [h]
     for t in range(len(inputs)):
         h, *gates = step(p, inputs[t], h)
         kept.append(gates)
         states.append(h)
-    g = {k: np.zeros(s, dtype=np.float32) for k, s in SHAPES.items()}
-    every = np.concatenate(states)
+    before, after = np.stack(states[:-1]), np.concatenate(states[1:])
+    z, r, n, inner = (np.stack(x) for x in zip(*kept))
+    g = {k: np.zeros(s, dtype=h.dtype) for k, s in SHAPES.items()}
+
     real = np.flatnonzero(mask.ravel())
-    back = np.zeros_like(every)
-    at, want = every[real], targets.ravel()[real]
-    classes, places = want // PER_CLASS, want % PER_CLASS
-    delta = np.exp(log_softmax(at @ p["c"] + p["cb"]))
-    delta[np.arange(len(real)), classes] -= 1
-    delta /= max(len(real), 1)
+    want = targets.ravel()[real]
+    order, runs = by_class(want)
+    real, want = real[order], want[order]
+    at, places = after[real], want % PER_CLASS
+    delta = misses(at @ p["c"] + p["cb"], want // PER_CLASS, len(real))
     g["c"], g["cb"] = at.T @ delta, delta.sum(axis=0)
     into = delta @ p["c"].T
-    order = np.argsort(classes, kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
-    for c, hi in enumerate(ends):
-        rows = order[(ends[c - 1] if c else 0) : hi]
-        if len(rows):
-            d = np.exp(log_softmax(at[rows] @ p["w"][c] + p["wb"][c]))
-            d[np.arange(len(rows)), places[rows]] -= 1
-            d /= len(real)
-            g["w"][c], g["wb"][c] = at[rows].T @ d, d.sum(axis=0)
-            into[rows] += d @ p["w"][c].T
+    for c, lo, hi in runs:
+        d = misses(at[lo:hi] @ p["w"][c] + p["wb"][c], places[lo:hi], len(real))
+        g["w"][c], g["wb"][c] = at[lo:hi].T @ d, d.sum(axis=0)
+        into[lo:hi] += d @ p["w"][c].T
+    back = np.zeros_like(after)
     back[real] = into
-    back = back.reshape(len(inputs), -1, HIDDEN)
-    dh = np.zeros_like(first)
-    dx = np.empty((len(inputs), inputs.shape[1], 3 * HIDDEN), dtype=np.float32)
+    back = back.reshape(before.shape)
+
+    # What each gate's input, times the gradient of its step's state, gets of that gradient.
+    candidate = (1 - z) * (1 - n * n)
+    share = np.stack([(before - n) * z * (1 - z), candidate * inner * r * (1 - r), candidate * r], axis=2)
+    du = np.empty_like(share)
+    each = np.empty_like(before)
+    dh, ut = np.zeros_like(before[0]), p["u"].T.copy()
     for t in reversed(range(len(inputs))):
-        z, r, n, inner = kept[t]
-        before = states[t - 1] if t else first
         dh = dh + back[t]
-        da = dh * (1 - z) * (1 - n * n)
-        du = np.concatenate([dh * (before - n) * z * (1 - z), da * inner * r * (1 - r), da], axis=1)
-        dx[t] = du
-        du[:, 2 * HIDDEN :] *= r
-        g["u"] += before.T @ du
-        dh = dh * z + du @ p["u"].T
-    np.add.at(g["x"], inputs.ravel(), dx.reshape(-1, 3 * HIDDEN))
+        each[t] = dh
+        np.multiply(dh[:, None, :], share[t], out=du[t])
+        dh = dh * z[t] + du[t].reshape(-1, 3 * HIDDEN) @ ut
+    g["u"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+    du[:, :, 2] = each * candidate
+    # Steps of one symbol are added up in a row.
+    symbols = inputs.ravel()
+    by_symbol = np.argsort(symbols, kind="stable")
+    symbols = symbols[by_symbol]
+    starts = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+    g["x"][symbols[starts]] = np.add.reduceat(du.reshape(-1, 3 * HIDDEN)[by_symbol], starts, axis=0)
     return g, h
 
 
@@ -160,10 +182,8 @@ class Symbols(dict):
     def __missing__(self, word: bytes) -> int:
         return self.others
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = words_of(text)
-        words.append(END)
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
 
 def lanes(sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,7 +220,7 @@ def learn(docs: DataFrame, params: Params, symbols: Symbols, turn: int, rate: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in sent.value.items()}
         adam, seen, table = Adam(own, rate), 0, words.value
-        mine = (table.of(text) for rows in together(batches) for doc_id, text in rows if not held_out(doc_id) and fold_of(doc_id) // 5 % ROUNDS == turn)
+        mine = (table.of(tokens_of(text)) for rows in together(batches) for _, text in rows)
         for inputs, targets, mask in lanes(mine):
             h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
             for at in range(0, len(inputs), WINDOW):
@@ -213,7 +233,9 @@ def learn(docs: DataFrame, params: Params, symbols: Symbols, turn: int, rate: fl
             vector = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vector), dtype=np.int32)), pa.array(vector), pa.array(np.full(len(vector), seen))], names=["i", "v", "n"])
 
-    tasks = docs.select(F.col("doc_id").cast("long"), raw_text()).mapInArrow(run, "i int, v double, n long")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary"))
+    part = docs.select(F.col("doc_id").cast("long"), raw_text()).where((F.col("doc_id").isNull() | (fold % 5 != 1)) & (F.floor(fold / 5) % ROUNDS == turn))
+    tasks = part.mapInArrow(run, "i int, v double, n long")
     mean = {r.i: r.v for r in tasks.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toLocalIterator()}
     if not mean:
         return params
@@ -267,7 +289,7 @@ def counting(only_training: bool) -> Callable[[], Measure]:
     def start() -> Measure:
         def of(rows):
             for doc_id, text in rows:
-                yield (Counter() if only_training and held_out(doc_id) else Counter([*words_of(text), END])), ()
+                yield (Counter() if only_training and held_out(doc_id) else Counter(tokens_of(text))), ()
 
         return of
 
@@ -279,10 +301,10 @@ def scoring(params: Broadcast, symbols: Broadcast) -> Callable[[], Measure]:
 
     def start() -> Measure:
         def of(rows):
-            texts = [symbols.value.of(text) for _, text in rows]
-            bits = score(params.value, texts).view(np.int64).tolist()
-            for (doc_id, text), s, b in zip(rows, texts, bits):
-                yield Counter([*words_of(text), END]), (int(held_out(doc_id)), len(s), b)
+            texts = [tokens_of(text) for _, text in rows]
+            bits = score(params.value, [symbols.value.of(t) for t in texts]).view(np.int64).tolist()
+            for (doc_id, _), tokens, b in zip(rows, texts, bits):
+                yield Counter(tokens), (int(held_out(doc_id)), len(tokens), b)
 
         return of
 
