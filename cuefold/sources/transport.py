@@ -1,11 +1,11 @@
 """Columnar text transport of evidence: a string dictionary, masks and back references.
 
 An item is a map of field to JSON value text. Strings worth it are replaced by '~' and their
-number in the dictionary; a row is its presence mask, the mask of derived fields, and the
+number in the dictionary; a row is its presence mask, of any width, the mask of derived fields, and the
 remaining values in column order, with '^' and a column number for a value told before. It is a
 text for one request; at rest, Parquet's own encodings do this.
 
-The dictionary is a table joined on the string, the masks are bit sums, and only a row's own
+The dictionary is a table joined on the string, the masks are hexadecimal digits, and only a row's own
 fields meet in one place. Columns of a category come in name order.
 """
 
@@ -23,6 +23,19 @@ def base36(n: Column) -> Column:
     return F.lower(F.conv(n.cast("string"), 10, 36))
 
 
+def hex_mask(cols: Column) -> Column:
+    """The number whose bits are the columns, of any width, as hexadecimal digits."""
+    weight = lambda c: F.element_at(F.array(*[F.lit(w) for w in (1, 2, 4, 8)]), (c % 4 + 1).cast("int"))
+    digit = lambda d: F.lower(F.hex(F.aggregate(F.filter(cols, lambda c: F.floor(c / 4) == d), F.lit(0), lambda s, c: s + weight(c))))
+    return F.reverse(F.array_join(F.transform(F.sequence(F.lit(0), F.coalesce(F.floor(F.array_max(cols) / 4), F.lit(0)).cast("int")), digit), ""))
+
+
+def mask_bits(mask: Column) -> Column:
+    """The columns of a mask, in order."""
+    digit = lambda i: F.conv(F.substr(F.reverse(mask), (F.floor(i / 4) + 1).cast("int"), F.lit(1)), 16, 10).cast("bigint")
+    return F.filter(F.sequence(F.lit(0), F.length(mask) * 4 - 1), lambda i: F.getbit(digit(i), i % 4) == 1)
+
+
 def fields_of(items: DataFrame) -> DataFrame:
     """(row, name, value): the fields of items, the values as JSON texts. items: episode_id, category, idx, item (JSON text)."""
     whole = F.try_variant_get(F.try_parse_json("item"), "$", "map<string,variant>")
@@ -68,12 +81,11 @@ def pack(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     plain = F.when(F.col("value").rlike(r'^"[~^]'), F.concat(F.lit('"'), F.substring("value", 2, 1), F.substr(F.col("value"), F.lit(2)))).otherwise(F.col("value"))
     quoted = lambda mark, n: F.concat(F.lit(f'"{mark}'), base36(n), F.lit('"'))
     token = F.when(again, quoted("^", F.col("_first"))).when(F.col("code").isNotNull(), quoted("~", F.col("code"))).otherwise(plain)
-    bit = F.expr("shiftleft(1L, col)")
     rows = coded.withColumn("_token", token).groupBy(*ROW).agg(
-        F.sum(bit).alias("mask"), F.coalesce(F.sum(F.when(F.col("_derived"), bit)), F.lit(0)).alias("derived"),
+        F.collect_list("col").alias("_all"), F.collect_list(F.when(F.col("_derived"), F.col("col"))).alias("_from"),
         F.array_sort(F.collect_list(F.when(~F.col("_derived"), F.struct("col", "_token")))).alias("_l"),
     )
-    packed = rows.select(*ROW, F.lower(F.hex("mask")).alias("mask"), F.lower(F.hex("derived")).alias("derived"), F.transform("_l", lambda v: v["_token"]).alias("values"))
+    packed = rows.select(*ROW, hex_mask(F.col("_all")).alias("mask"), hex_mask(F.col("_from")).alias("derived"), F.transform("_l", lambda v: v["_token"]).alias("values"))
     return packed, strings.select("code", "value"), columns
 
 
@@ -82,12 +94,10 @@ def unpack(rows: DataFrame, strings: DataFrame, columns: DataFrame) -> DataFrame
 
     A row whose values do not fit its masks fails the job.
     """
-    mask, derived = F.conv("mask", 16, 10).cast("bigint"), F.conv("derived", 16, 10).cast("bigint")
-    wide = rows.select(*ROW, mask.alias("_m"), derived.alias("_d"), "values")
-    bits = lambda m: F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(m, i) == 1)
-    told = F.filter(bits(F.col("_m")), lambda i: F.getbit(F.col("_d"), i) == 0)
+    wide = rows.select(*ROW, mask_bits(F.col("mask")).alias("_m"), mask_bits(F.col("derived")).alias("_d"), "values")
+    told = F.array_except("_m", "_d")
     checked = wide.withColumn("_cols", told).withColumn("_ok", F.when(F.size("_cols") != F.size("values"), F.raise_error(F.lit("row does not fit its mask"))).otherwise(F.lit(True))).where("_ok")
-    given = checked.select(*ROW, "_m", "_d", "_cols", "values", F.explode(F.arrays_zip("_cols", "values")).alias("_c"))
+    given = checked.select(*ROW, "_cols", "values", F.explode(F.arrays_zip("_cols", "values")).alias("_c"))
     token = F.col("_c.values")
     back = token.rlike(r'^"\^[0-9a-z]+"$')
     at = F.conv(F.regexp_extract(token, r'^"\^([0-9a-z]+)"$', 1), 36, 10).try_cast("int")
@@ -98,7 +108,7 @@ def unpack(rows: DataFrame, strings: DataFrame, columns: DataFrame) -> DataFrame
     literal = F.when(F.col("_t").rlike(r'^"(~~|\^\^)'), F.concat(F.lit('"'), F.substr(F.col("_t"), F.lit(3)))).otherwise(F.col("_t"))
     named = coded.join(columns, ["col"]) if "category" not in columns.columns else coded.join(columns, ["category", "col"])
     values = named.select(*ROW, "name", F.coalesce("value", literal).alias("value"))
-    lacking = wide.select(*ROW, F.explode(bits(F.col("_d"))).alias("col")).join(columns, ["category", "col"])
+    lacking = wide.select(*ROW, F.explode("_d").alias("col")).join(columns, ["category", "col"])
     ms = values.where("name in ('start_ms', 'end_ms')").select(*ROW, F.concat(F.regexp_extract("name", "^[a-z]+", 0), F.lit("_sec")).alias("name"), F.col("value").alias("_ms"))
     rebuilt = lacking.join(ms, [*ROW, "name"], "left").select(
         *ROW, "name", F.when(F.col("name") == "episode_id", F.to_json(F.col("episode_id").cast("variant"))).otherwise(F.to_json(F.try_parse_json((F.col("_ms").cast("double") / 1000).cast("string")))).alias("value")

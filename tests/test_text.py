@@ -1,5 +1,7 @@
 """Text, name, subtitle and answer rules on their literal cases."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from cuefold.functions import answers as an
@@ -107,3 +109,13 @@ def test_transport_is_lossless(spark):
     packed = transport.pack(items)
     assert flat(transport.fields_of(items)) == flat(transport.unpack(*packed))
     assert [r.value for r in packed[1].collect()] == ['"a long repeated text"']
+
+
+def test_transport_masks_have_any_width(spark):
+    whole = {f"f{i:03d}": i * 1000 for i in range(150)}
+    rows = [("E1", "c", 0, json.dumps(whole)), ("E1", "c", 1, json.dumps({"f003": 1, "f064": 2, "f149": 3})), ("E1", "c", 2, json.dumps({"f000": 1}))]
+    items = spark.createDataFrame(rows, "episode_id string, category string, idx bigint, item string")
+    flat = lambda df: sorted((r.idx, r.name, r.value) for r in df.collect())
+    packed = transport.pack(items)
+    assert flat(transport.fields_of(items)) == flat(transport.unpack(*packed))
+    assert sorted(int(r["mask"], 16) for r in packed[0].collect()) == [1, (1 << 3) + (1 << 64) + (1 << 149), (1 << 150) - 1]
