@@ -5,7 +5,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,8 +17,8 @@ from cuefold.session import durable
 
 #: A slot is template if at least so many different pages of the host have it, and this share has one text.
 LEAST_PAGES, CONSTANT = 3, 0.5
-#: Pairs of nodes beyond which two trees are aligned by their labels in order rather than by tree matching.
-MOST_PAIRS = 1_000_000
+#: How many times longer than the text of its articles what a page has beside them must be to count too, where the host's wrapper is known.
+PRIOR = 4
 
 # Elements without content, with raw content, of running text, without main text, and words of class, id or role that name such.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -143,77 +142,136 @@ def shape(tree) -> list:
     return [tree[0], [shape(c) for c in tree[1]]]
 
 
-def size_of(tree) -> int:
-    return 1 + sum(size_of(c) for c in tree[1])
-
-
-def tree_match(a, b, pairs: list[tuple], first: int = 0) -> int:
-    """Simple tree matching: the most nodes two trees share in order, from the roots on; pairs gets (node of a, number of b)."""
-    if a[0] != b[0]:
-        return 0
-    xs, ys = a[1], b[1]
-    numbers, at = [], first + 1
-    for y in ys:
-        numbers.append(at)
-        at += size_of(y)
-    trial = [[[] for _ in ys] for _ in xs]
-    weight = [[tree_match(x, y, trial[i][j], numbers[j]) for j, y in enumerate(ys)] for i, x in enumerate(xs)]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs)):
-        for j in range(len(ys)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    pairs.append((a, first))
-    i, j = len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+def tree_match(a, b, pairs: list[tuple]) -> int:
+    """Simple tree matching: the most nodes two trees share in order, from the roots on; pairs gets (node of a, number of b).
+
+    It is exact at any size: equal subtrees, and equal children at either end, match whole; the weight of two
+    different shapes is found once, however often they meet; only pairs that match are traced.
+    """
+    shapes: dict[tuple, int] = {}
+    keys: list[tuple] = []
+    sizes: list[int] = []
+    weights: dict[tuple[int, int], int] = {}
+
+    def mark(tree, number: int) -> tuple:
+        children, at = [], number + 1
+        for c in tree[1]:
+            children.append(mark(c, at))
+            at += sizes[children[-1][0]]
+        key = (tree[0], tuple(c[0] for c in children))
+        n = shapes.setdefault(key, len(keys))
+        if n == len(keys):
+            keys.append(key)
+            sizes.append(at - number)
+        return n, tree, number, children
+
+    def ends(xs: tuple, ys: tuple) -> tuple[int, int]:
+        """Numbers of equal children at the start and, of the rest, at the end: some best matching has them all."""
+        least = min(len(xs), len(ys))
+        start = next((i for i in range(least) if xs[i] != ys[i]), least)
+        return start, next((i for i in range(least - start) if xs[-1 - i] != ys[-1 - i]), least - start)
+
+    def weight(m: int, n: int, ways: list[bytearray] | None = None) -> int:
+        """Nodes two shapes share; ways gets what to do with each pair of the children between the ends: 0 and 1 leave one, 2 match."""
+        if m == n:
+            return sizes[m]
+        (label, xs), (other, ys) = keys[m], keys[n]
+        if label != other:
+            return 0
+        if ways is None and (m, n) in weights:
+            return weights[m, n]
+        start, end = ends(xs, ys)
+        total = 1 + sum(sizes[x] for x in xs[:start]) + sum(sizes[x] for x in xs[len(xs) - end :])
+        ys = ys[start : len(ys) - end]
+        last = [0] * (len(ys) + 1)
+        for x in xs[start : len(xs) - end]:
+            row, way = [0], bytearray(len(ys))
+            for j, y in enumerate(ys):
+                both = last[j] + weight(x, y)
+                up, left = last[j + 1], row[j]
+                if both > up and both > left:
+                    row.append(both)
+                    way[j] = 2
+                else:
+                    row.append(max(up, left))
+                    way[j] = up < left
+            last = row
+            if ways is not None:
+                ways.append(way)
+        weights[m, n] = total + last[-1]
+        return weights[m, n]
+
+    def trace(x: tuple, y: tuple) -> None:
+        pairs.append((x[1], y[2]))
+        ways: list[bytearray] = []
+        xs, ys = x[3], y[3]
+        if x[0] == y[0]:
+            start, end = len(xs), 0
         else:
-            i, j = i - 1, j - 1
-            pairs.extend(trial[i][j])
-    return 1 + best[-1][-1]
+            weight(x[0], y[0], ways)
+            start, end = ends(keys[x[0]][1], keys[y[0]][1])
+        for i in range(start):
+            trace(xs[i], ys[i])
+        i, j = len(xs) - end - start, len(ys) - end - start
+        while i and j:
+            way = ways[i - 1][j - 1]
+            i, j = i - (way != 1), j - (way != 0)
+            if way == 2:
+                trace(xs[start + i], ys[start + j])
+        for i in range(end):
+            trace(xs[-1 - i], ys[-1 - i])
+
+    one, two = mark(a, 0), mark(b, 0)
+    shared = weight(one[0], two[0])
+    if shared:
+        trace(one, two)
+    return shared
 
 
 def aligned(tree, exemplar: list) -> list[tuple]:
     """(squeezed node, number of the exemplar's node) of the nodes that match."""
     pairs: list[tuple] = []
-    if size_of(tree) * size_of(exemplar) <= MOST_PAIRS:
-        tree_match(tree, exemplar, pairs)
-        return pairs
-    numbers: dict[str, list[int]] = {}
-    for n, label in enumerate(_labels(exemplar)):
-        numbers.setdefault(label, []).append(n)
-    for node in _nodes(tree):
-        if numbers.get(node[0]):
-            pairs.append((node, numbers[node[0]].pop(0)))
+    tree_match(tree, exemplar, pairs)
     return pairs
 
 
-def _nodes(tree) -> Iterator[tuple]:
-    yield tree
-    for c in tree[1]:
-        yield from _nodes(c)
+def own_text(tree) -> str:
+    """Text of a slot: of its nodes and what stands in them."""
+    return " ".join(t for node in tree[2] for t in blocks(node, []))
 
 
-def _labels(tree) -> Iterator[str]:
-    return (n[0] for n in _nodes(tree))
+def places(root: Node) -> dict[int, bool]:
+    """Nodes that may be template, by id, and whether they stand in an article or main element; such elements and what holds them may not, barred nodes never count."""
+    out: dict[int, bool] = {}
 
+    def walk(n: Node, inside: bool) -> bool:
+        holds = not inside and n.tag in MAIN
+        for part in n.parts:
+            if isinstance(part, Node) and not part.barred:
+                holds = walk(part, inside or n.tag in MAIN) or holds
+        if not holds:
+            out[id(n)] = inside
+        return holds
 
-def own_text(tree) -> str:
-    """Text of a slot: of its nodes and what stands in them."""
-    return " ".join(t for node in tree[2] for t in blocks(node, []))
+    walk(root, False)
+    return out
+
+
+def main_text(root: Node, template: set[int], wrapped: bool) -> str:
+    """Text of the page's articles less template; of the whole body less template if that is PRIOR times more beside
+    them or they have none, by a known wrapper alone. A page that is all template has no other content."""
 
+    def text(nodes: list[Node], gone: set[int] = frozenset()) -> str:
+        out: list[str] = []
+        for node in nodes:
+            blocks(node, out, gone)
+        return " ".join(out)
 
-def main_text(root: Node, template: set[int]) -> str:
-    """Text of the page's articles; without any, of the body less the nodes found to be template."""
     found = mains(root)
-    out: list[str] = []
-    for node in found or [root]:
-        blocks(node, out, frozenset() if found else template)
-    if not out and template and not found:
-        return main_text(root, set())  # pages that are all alike have no other content
-    return " ".join(out)
+    inner, whole = text(found, template), text([root], template) if wrapped else ""
+    if inner and len(whole) <= (1 + PRIOR) * len(inner):
+        return inner
+    return whole or text(found) or text([root])
 
 
 def hosts(pages: DataFrame) -> DataFrame:
@@ -234,37 +292,49 @@ def exemplars(pages: DataFrame) -> DataFrame:
     return counts.groupBy("host").agg(F.min_by("tree", F.struct(-F.col("n"), "tree")).alias("exemplar"))
 
 
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def induced(pages: DataFrame, trees: DataFrame) -> DataFrame:
-    """(host, exemplar, template): numbers of the exemplar's nodes whose text is constant over the host's different pages.
+    """(host, exemplar, template): (node, least, most) of the exemplar's nodes whose text is constant over the host's
+    different pages, and that text; where two texts have half the pages each, both.
 
-    Slots are counted by (host, node, text) before they are shuffled, so a host may hold any share of the pages.
+    Inside articles the pages count as different only if their articles are. Slots are counted by (host, node,
+    text) before they are shuffled, so a host may hold any share of the pages.
     """
     schema = pa.schema([("host", pa.string()), ("node", pa.int32()), ("text", pa.int64()), ("page", pa.int64())])
-    hashed = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
 
     def run(rows):
         for host, page, exemplar in rows:
-            whole = hashed(page)
-            for node, number in aligned(squeezed(parsed(page)), json.loads(exemplar)):
-                text = own_text(node)
+            root = parsed(page)
+            place = places(root)
+            whole, article = hashed(page), hashed(" ".join(t for node in mains(root) for t in blocks(node, [])))
+            for node, number in aligned(squeezed(root), json.loads(exemplar)):
+                inside = place.get(id(node[2][0]))
+                text = own_text(node) if inside is not None else ""
                 if text:
-                    yield host, number, hashed(text), whole
+                    yield host, number, hashed(text), article if inside else whole
 
     slots = pages.select("host", "html").join(trees, "host").select("host", "html", "exemplar").mapInArrow(arrow_rows(run, schema, 20_000), "host string, node int, text long, page long")
     texts = slots.distinct().groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("n"))
-    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max("n").alias("top"))
+    nodes = texts.groupBy("host", "node").agg(
+        F.sum("n").alias("pages"), F.max("n").alias("top"), F.min_by("text", F.struct(-F.col("n"), "text")).alias("least"), F.max_by("text", F.struct("n", "text")).alias("most")
+    )
     constant = nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("top") >= CONSTANT * F.col("pages")))
-    return trees.join(constant.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("template")), "host", "left")
+    return trees.join(constant.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("node", "least", "most"))).alias("template")), "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per page row.
 
     The trees of a host's pages are aligned with its most frequent tree by simple tree matching. A slot
-    whose text is the same on most of the host's different pages is template, the others hold content.
-    The text is that of the article or main elements, or without any of what is left of the body when template
-    is taken away; elements that are by name, class, id or role a menu, header, footer, sidebar,
-    notice, advert, form or comment never count. A null or empty html gives an empty text; a null
+    whose text is the same on most of the host's different pages is template, the others hold content; within
+    article or main elements only the text that is the same goes, and copies of one article count once.
+    A run of equal siblings is one slot. The text is what is left of the article or main elements when
+    template is taken away, or without any, or with PRIOR times more beside them, of the body; elements that
+    are by name, class, id or role a menu, header, footer, sidebar, notice, advert, form or comment never
+    count. A null or empty html gives an empty text; a null
     url is a host of its own. Repeated rows are answered one by one. Only page_id, url and html are read.
     An empty table gives no rows.
     """
@@ -274,15 +344,16 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = durable(induced(found, trees))
 
     def run(rows):
-        for page_id, url, page, exemplar, template in rows:
+        for page_id, url, page, exemplar, numbers, least, most in rows:
             root = parsed(page)
             gone: set[int] = set()
-            if template and not mains(root):
-                marked = set(template)
+            if numbers:
+                constant, place = dict(zip(numbers, zip(least, most))), places(root)
                 for node, number in aligned(squeezed(root), json.loads(exemplar)):
-                    if number in marked:
+                    inside = place.get(id(node[2][0]))
+                    if number in constant and inside is not None and (not inside or hashed(own_text(node)) in constant[number]):
                         gone.update(map(id, node[2]))
-            yield page_id, url, main_text(root, gone)
+            yield page_id, url, main_text(root, gone, bool(numbers))
 
-    texts = found.join(wrappers, "host", "left").select("page_id", "url", "html", "exemplar", "template")
+    texts = found.join(wrappers, "host", "left").select("page_id", "url", "html", "exemplar", "template.node", "template.least", "template.most")
     return texts.mapInArrow(arrow_rows(run, schema), "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -333,3 +333,44 @@ def test_tree_matching_aligns_in_order():
     pairs = []
     assert wrapper_induction.tree_match(a, b, pairs) == 5
     assert {n[0] for n, _ in pairs} == {"#root", "div", "p", "ul", "li"}
+
+
+def test_constant_slots_leave_the_article(spark):
+    page = lambda i, inner, beside="": f"<html><body>{beside}<article><h1>Title {i}</h1>{inner}<div>Share this story</div></article></body></html>"
+    rows = [(i, f"http://h.com/{i}", page(i, f"<p>words of {i}</p>")) for i in range(4)]
+    rows += [(10 + i, f"http://copies.com/{i}", page(0, "<p>one text</p>", f"<nav>{i}</nav>")) for i in range(4)]
+    rows += [(14, "http://copies.com/5", page(5, "<p>another text</p>"))]
+    rows += [(20 + i, f"http://cards.com/{i}", f"<body><article><p>promotion of the week</p></article><div>all alike</div><section><p>{'own words ' * 20}{i}</p></section></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in wrapper_induction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} words of {i}" for i in range(4))
+    assert {got[10 + i] for i in range(4)} == {"Title 0 one text Share this story"} and got[14] == "Title 5 another text Share this story"  # two articles tell nothing
+    assert all(got[20 + i] == f"promotion of the week {'own words ' * 20}{i}" for i in range(4))  # far more beside the article than in it
+
+
+def test_tree_matching_has_no_size_limit():
+    names = ["".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(1100)]
+    tree = lambda names: wrapper_induction.squeezed(wrapper_induction.parsed("".join(f'<div class="x{n}"><p>t</p></div>' for n in names)))
+    a, b = tree(names), wrapper_induction.shape(tree(names[1:]))
+    pairs = wrapper_induction.aligned(a, b)
+    of = {id(node): number for node, number in pairs}
+    assert len(pairs) == 2 * 1099 + 1 and id(a[1][0]) not in of and id(a[1][0][1][0]) not in of
+    assert all(of[id(c[1][0])] == of[id(c)] + 1 for c in a[1][1:])
+
+
+def test_tree_matching_is_as_heavy_as_plain_matching():
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1]):
+            for j, y in enumerate(b[1]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(x, y))
+        return 1 + best[-1][-1]
+
+    draw = random.Random(5)
+    tree = lambda depth: (draw.choice("ab"), [tree(depth - 1) for _ in range(draw.randint(0, 4) if depth else 0)], [])
+    for _ in range(200):
+        a, b = ("r", tree(3)[1], []), ("r", tree(3)[1], [])
+        pairs = []
+        assert wrapper_induction.tree_match(a, b, pairs) == plain(a, b) == len(pairs)
+        assert len({id(n) for n, _ in pairs}) == len({k for _, k in pairs}) == len(pairs)
