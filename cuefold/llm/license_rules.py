@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +64,52 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"^copyright (c )?[0-9]{4}\b.*"
+# Words of a sentence may stand on two lines or on either side of ; and :, where sentences may also start and end.
+BETWEEN = r"[ ;:\n]+"
+# What stands before "is licensed under" or "is free software": up to eight words that don't deny it.
+SUBJECT = r"(?!(?:no|not|none|nothing|neither|nor)\b)(?:[a-z0-9.+\-]+" + BETWEEN + "){1,8}?"
+
+
+def _known() -> str:
+    """Known sentences as one pattern of text as folded() gives it, the longest first."""
+    words = lambda sentence: BETWEEN.join(re.escape(w) for w in sentence.split(" "))
+    either = lambda found: "(?:" + "|".join(words(x) for x in sorted(found, key=lambda x: (-len(x), x))) + ")"
+    rest = {x.removeprefix("this program ") for x in SENTENCES if x.startswith("this program ")}
+    references = {re.sub("^this work is ", "", x) for x in SENTENCES if re.match("(this work is )?(licensed|released) under ", x)}
+    others = {x for x in SENTENCES if not x.startswith("this program ")}
+    reference = either(references).replace(f"under{BETWEEN}", f"under{BETWEEN}(?:{words('the terms of')}{BETWEEN})?")
+    return "|".join((
+        either(others).replace(words("name of the copyright holder nor"), words("name of") + BETWEEN + r"[\s\S]{1,120}?[ ;:\n|]" + "nor").replace("http" + BETWEEN, "https?" + BETWEEN),
+        rf"{SUBJECT}{either(rest)}",
+        rf"(?:{SUBJECT}(?:is|are){BETWEEN})?{reference}(?:[ ;:\-]+see{BETWEEN}[^|]{{1,120}}?)?",
+        rf"copyright{BETWEEN}(?:c{BETWEEN})?[0-9]{{4}}\b[^|\n]*",
+    ))
+
+
+KNOWN = rf"(?:^|[|\n;:])[ .\-]*({_known()})(?=[ .\-]*(?:[|\n;:]|$))"
+
+
+def folded(text: Column) -> Column:
+    """A text in which | is an end of a sentence and a line break need not be one.
+
+    . ! or ? before white space and blank lines are ends, but not a blank line before an address. What is
+    no letter or digit, and rem or dnl, is taken from the start of lines, so comment marks go.
+    """
+    out = F.translate(text, UPPER + "|", LOWER + " ")
+    for pattern, by in (
+        (r"(^|\n)[^a-z0-9\n]*(?:(?:rem|dnl)(?![a-z0-9])[^a-z0-9\n]*)?", "$1"),
+        (r"[.!?](?=[ \t\r\f\x0B\n]|$)", "|"),
+        (r"\n+(?=https?:)", "\n"),
+        (r"\n\n+", "|"),
+        (r"[^a-z0-9.+\-|\n;:]+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    return out
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text: lines, cut after . ! or ? before white space."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\f\x0B]+", "$1\n"), "\n")
+    """The known sentences of a text, normalised, in text order; those of a line as well as those wrapped over lines."""
+    return F.transform(F.regexp_extract_all(folded(text), F.lit(KNOWN), F.lit(1)), normalised)
 
 
 def normalised(sentence: Column) -> Column:
@@ -76,22 +119,32 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifier(sentence: Column) -> Column:
-    """Identifier of a normalised sentence, null for one that is none of the known."""
+    """Identifier of a normalised sentence, null for one that is none of the known; subjects and names of holders are free."""
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    return F.when(sentence.rlike(COPYRIGHT), F.lit("copyright")).otherwise(F.element_at(known, sentence))
+    plain = sentence
+    for pattern, by in (
+        (r"^.*? (?=is free software you |is distributed in the hope )", "this program "),
+        (r"^.*? (?:is|are) (?=(?:licensed|released) under )", ""),
+        (r"^((?:licensed|released) under )the terms of ", "$1"),
+        (r"^((?:licensed|released) under .*?) (?:- )*see .*$", "$1"),
+        (r"^neither the name of .* nor the names of ", "neither the name of the copyright holder nor the names of "),
+        (r" https (?=www)", " http "),
+    ):
+        plain = F.regexp_replace(plain, pattern, by)
+    return F.when(sentence.rlike(COPYRIGHT), F.lit("copyright")).otherwise(F.coalesce(F.element_at(known, sentence), F.element_at(known, plain)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, classes, unmatched) per document row.
 
-    sentence_ids are the identifiers of the known sentences in text order. Rules are tried in order on this
+    sentence_ids are the identifiers of the known sentences in text order, on one line or wrapped. Rules are tried in order on this
     sequence; each takes all its matches out, so a whole grant is not also read as its parts. licenses and
     classes are sorted sets; unmatched counts the known sentences no rule took. A null or empty text
     has none of either. Rows that repeat a doc_id, or have none, are scanned one by one. Every row keeps
     to its own task: there is no shuffle. Only doc_id and text are read; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ids = F.filter(F.transform(F.transform(sentences(text), normalised), identifier), lambda x: x.isNotNull())
+    ids = F.filter(F.transform(sentences(text), identifier), lambda x: x.isNotNull())
     found = docs.select("doc_id", ids.alias("ids"))
     return match_rules(found)
 

@@ -276,6 +276,73 @@ def test_license_rules(spark, none):
     assert all(s == spark.range(1).select(license_rules.normalised(F.lit(s))).first()[0] for s in list(license_rules.SENTENCES)[:5])
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Company, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+}
+
+
+def test_wrapped_licences(spark):
+    forms = (lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */", *(lambda t, m=m: "".join(f"{m} {x}\n" for x in t.split("\n")) for m in ("#", "//", "--", "!", "REM")))
+    rows = [(f"{name}{i}", name, form(text)) for name, text in WRAPPED.items() for i, form in enumerate(forms)]
+    rows += [("r1", "MIT", "words before\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details."), ("r2", "GPL-2.0-only", "All of it is licensed under the terms\nof the GNU General Public License, version 2."), ("r3", "", "This is not licensed under the MIT License."), ("r4", "", "None of it is licensed under the MIT License."), ("r5", "", "Permission is hereby granted,\n\nfree of charge")]
+    got = {r.doc_id: r for r in license_rules.scan_licenses(spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id string, text string")).collect()}
+    assert {k: got[k].licenses for k, _, _ in rows} == {k: name for k, name, _ in rows}
+    assert got["Apache-2.00"].sentence_ids == "copyright apache2_ref apache2_use apache2_copy apache2_warranty apache2_see"
+    assert got["MIT0"].sentence_ids == "mit_title copyright mit_grant mit_notice mit_warranty"
+
+
 CAPTURE = "record_id long, url string, at timestamp, kind string, etag string, last_modified string, digest string, headers map<string,string>, canonical string, range int"
 
 
