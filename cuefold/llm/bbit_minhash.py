@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,6 @@ PER_LONG = 64 // BITS
 LONGS = HASHES // PER_LONG
 #: A pair at the threshold is missed by every band with probability (1 - 0.75^4)^40 = 2.5e-7.
 THRESHOLD = 0.75
-#: Standard deviations of the estimate below the threshold at which a candidate is dropped unseen: 3e-5 of
-#: the pairs exactly at the threshold, fewer above it.
-SLACK = 4.0
 #: Hubs of a bucket grow by this factor from round to round.
 DRAW = 8
 
@@ -114,11 +112,26 @@ def estimate(a: str, b: str) -> Column:
     return ((F.lit(HASHES) - differing) / F.lit(HASHES) - chance) / (1 - chance)
 
 
-def screen(threshold: float) -> float:
-    """The estimate below which a pair at the threshold would lie SLACK deviations off."""
+def missed_by_bands(threshold: float) -> float:
+    """The share of pairs exactly at the threshold that share no band."""
+    return (1 - threshold**ROWS) ** BANDS
+
+
+def fewest_agreeing(threshold: float) -> int:
+    """The most low bits out of HASHES that may be asked to agree so that, by the exact binomial, no more pairs at the threshold are lost than the bands lose."""
     chance = 2.0**-BITS
     agree = chance + (1 - chance) * threshold
-    return threshold - SLACK * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - chance)
+    lost, k = (1 - agree) ** HASHES, 0
+    while lost <= missed_by_bands(threshold) and k < HASHES:
+        k += 1
+        lost += comb(HASHES, k) * agree**k * (1 - agree) ** (HASHES - k)
+    return k
+
+
+def screen(threshold: float) -> float:
+    """The estimate below which a candidate is dropped unseen: half a minimum under the fewest that must agree."""
+    chance = 2.0**-BITS
+    return ((fewest_agreeing(threshold) - 0.5) / HASHES - chance) / (1 - chance)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 import zlib
 from collections import Counter
-from math import log10
+from math import comb, log10
 
 import numpy as np
 import pytest
@@ -94,6 +94,14 @@ def test_near_duplicates_match_all_pairs(docs, none):
     assert bbit_minhash.near_duplicates(none).count() == 0
 
 
+def test_screen_loses_no_more_than_the_bands():
+    for threshold in (0.6, 0.75, 0.9):
+        agree = 1 / 16 + 15 / 16 * threshold
+        estimates = [(k / bbit_minhash.HASHES - 1 / 16) / (15 / 16) for k in range(bbit_minhash.HASHES + 1)]
+        lost = [comb(bbit_minhash.HASHES, k) * agree**k * (1 - agree) ** (bbit_minhash.HASHES - k) for k, e in enumerate(estimates) if e < bbit_minhash.screen(threshold)]
+        assert sum(lost) <= (1 - threshold**bbit_minhash.ROWS) ** bbit_minhash.BANDS
+
+
 def test_a_large_group_of_near_copies_is_one_component(spark):
     words = sentence(200).split()
     rows = []
