@@ -94,20 +94,21 @@ def fit_text_model(seen: DataFrame) -> np.ndarray:
 def text_likelihoods(seen: DataFrame, model: np.ndarray) -> DataFrame:
     """(doc_id, declared, host, suffix, n_grams, ll, vote): ll has a log likelihood per language, then that of UND;
     vote is the place of the likeliest language of a text long enough to vote, else null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("suffix", pa.string()), ("n_grams", pa.int64()), ("ll", pa.list_(pa.float64())), ("vote", pa.int32())])
+    named = [c for c in ("table",) if c in seen.columns]
+    schema = pa.schema([(c, pa.string()) for c in named] + [("doc_id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("suffix", pa.string()), ("n_grams", pa.int64()), ("ll", pa.list_(pa.float64())), ("vote", pa.int32())])
     sent = seen.sparkSession.sparkContext.broadcast(np.ascontiguousarray(np.vstack([model, np.full(BUCKETS, -np.log(BUCKETS))]).T))
 
     def run(rows):
-        for doc_id, declared, host, suffix, text in rows:
+        for *own, doc_id, declared, host, suffix, text in rows:
             codes = trigrams(text)
             ll = np.zeros(len(LANGUAGES) + 1)
             for at in range(0, len(codes), 8192):
                 ll += sent.value[codes[at : at + 8192]].sum(axis=0)
             best = int(ll.argmax())
-            yield doc_id, declared, host, suffix, len(codes), ll.tolist(), best if len(codes) >= VOTE and best < len(LANGUAGES) else None
+            yield *own, doc_id, declared, host, suffix, len(codes), ll.tolist(), best if len(codes) >= VOTE and best < len(LANGUAGES) else None
 
-    return seen.select("doc_id", "declared", "host", "suffix", "text").mapInArrow(
-        arrow_rows(run, schema), "doc_id long, declared string, host string, suffix string, n_grams long, ll array<double>, vote int"
+    return seen.select(*named, "doc_id", "declared", "host", "suffix", "text").mapInArrow(
+        arrow_rows(run, schema), "".join(f"`{c}` string, " for c in named) + "doc_id long, declared string, host string, suffix string, n_grams long, ll array<double>, vote int"
     )
 
 
@@ -157,7 +158,7 @@ def fuse(scored: DataFrame) -> DataFrame:
     post = df.withColumn("logs", F.array(*logs)).withColumn("top", F.array_max("logs"))
     names = F.array(*(F.lit(x) for x in (*LANGUAGES, UND)))
     return post.select(
-        "doc_id", "declared", "n_grams",
+        *(c for c in ("table",) if c in scored.columns), "doc_id", "declared", "n_grams",
         F.when(F.col("n_grams") == 0, F.lit(UND)).otherwise(F.element_at(names, F.array_position("logs", F.col("top")).cast("int"))).alias("language"),
         (F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))).alias("probability"),
         F.when(F.col("n_grams") == 0, None).otherwise(F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int"))).alias("text_language"),
@@ -170,9 +171,15 @@ def identify(seen: DataFrame, least: float = 0.5) -> DataFrame:
     A document is kept if one of LANGUAGES has at least `least` of the posterior. A null or empty text, or
     one without letters, is UND and not kept. Null or unknown declarations, hosts and suffixes speak by
     their own counts. Rows that repeat a doc_id, or have none, are answered one by one. Equal posteriors go
-    to the first language by name. Other columns are not read; an empty table gives no rows.
+    to the first language by name. A column table of the evidence is kept. Other columns are not read; an empty table gives no rows.
     """
     scored = durable(text_likelihoods(seen, fit_text_model(seen)))
     return fuse(scored).select(
-        "doc_id", "language", "probability", "text_language", "declared", ((F.col("language") != UND) & (F.col("probability") >= least)).alias("kept")
+        *(c for c in ("table",) if c in scored.columns), "doc_id", "language", "probability", "text_language", "declared", ((F.col("language") != UND) & (F.col("probability") >= least)).alias("kept")
     )
+
+
+def identify_tables(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The rows of identify for documents and pages together, and the table each is of: one model, hosts and suffixes of both."""
+    both = evidence(docs).withColumn("table", F.lit("documents")).unionByName(page_evidence(pages).withColumn("table", F.lit("pages")))
+    return identify(both)

@@ -11,7 +11,7 @@ from cuefold.llm.bbit_minhash import near_duplicates
 from cuefold.llm.best_fit import packed_documents
 from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
-from cuefold.llm.language_fusion import evidence, identify
+from cuefold.llm.language_fusion import identify_tables
 from cuefold.llm.license_rules import LOWER, RULES as LICENSE_RULES, SENTENCES, UPPER, scan_licenses
 from cuefold.llm.positional_index import decontaminate
 from cuefold.llm.recurrent_lm import language_model
@@ -161,7 +161,7 @@ def op10_best_fit(spark, folder):
 
 @query("op5_language_fusion")
 def op5_language_fusion(spark, folder):
-    return identify(evidence(table(spark, folder, "documents")))
+    return identify_tables(table(spark, folder, "documents"), table(spark, folder, "pages"))
 
 
 @query("op4_token_counts")

@@ -271,6 +271,19 @@ def test_page_evidence_reads_markup_and_address(spark):
     assert rows[2].declared is None and rows[2].host is None
 
 
+def test_language_query_has_documents_and_pages(spark):
+    import pyarrow.parquet as pq
+
+    from cuefold.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["op5_language_fusion"](spark, folder).collect()
+    for name, key in (("documents", "doc_id"), ("pages", "page_id")):
+        want = pq.read_table(f"{folder}/{name}.parquet", columns=[key]).column(key).to_pylist()
+        assert sorted(r.doc_id for r in rows if r.table == name) == sorted(want)
+    assert {r.declared for r in rows if r.table == "pages"} & set(language_fusion.LANGUAGES)
+
+
 def test_license_rules(spark, none):
     grant = next(k for k, v in license_rules.SENTENCES.items() if v == "mit_grant")
     notice = next(k for k, v in license_rules.SENTENCES.items() if v == "mit_notice")
