@@ -12,8 +12,11 @@ from cuefold.llm.best_fit import packed_documents
 from cuefold.llm.common import table, tokenizer_path
 from cuefold.llm.host_rules import RULES, host_quality
 from cuefold.llm.language_fusion import identify_tables
+from cuefold.llm.host_words import judge_urls
 from cuefold.llm.license_rules import LOWER, RULES as LICENSE_RULES, SENTENCES, UPPER, scan_licenses
+from cuefold.llm.merkle_manifest import manifest, record_digest
 from cuefold.llm.positional_index import decontaminate
+from cuefold.llm.ranked_search import ranked_search
 from cuefold.llm.recurrent_lm import language_model
 from cuefold.llm.revisits import page_captures, resolve_revisits
 from cuefold.llm.token_counts import token_counts
@@ -255,3 +258,85 @@ def op1_revisit_resolution(spark, folder):
 @query("op6_wrapper_induction")
 def op6_wrapper_induction(spark, folder):
     return extract(table(spark, folder, "pages"))
+
+
+RANKED_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM benchmark
+), size AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+), tf AS (SELECT doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), qf AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(terms) AS term FROM i) GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, sum(qf * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM qf JOIN df USING (term) JOIN tf USING (term), size GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark, folder):
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_host_words")
+def op12_host_words(spark, folder):
+    judged = judge_urls(table(spark, folder, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score", "words")
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RECORD = lambda names: "sha256(" + " || ".join(f"coalesce(octet_length(encode({n}::VARCHAR))::VARCHAR || ':' || {n}::VARCHAR, '-')" for n in names) + ")"
+MANIFEST_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT *, row_number() OVER () AS row, coalesce('1' || source, '0') AS tree,
+         xor(4294967295, list_reduce([4294967295::UBIGINT] || flatten([[x::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256] for x in list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))]),
+             lambda c, s: CASE WHEN s < 256 THEN xor(c, s) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) END)) AS crc
+  FROM documents
+), leaf AS (
+  SELECT row, doc_id, tree, {_RECORD(_FIELDS)} AS h, CASE WHEN crc % 5 = 0 THEN {_RECORD((*_FIELDS[:-1], _FOLDED))} END AS changed FROM rows
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h, row) - 1 AS i FROM leaf
+), low AS (
+  SELECT tree, 0 AS lvl, i, h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) WHERE n > 1 GROUP BY tree, lvl, i // 16
+), lows AS (SELECT *, max(lvl) OVER (PARTITION BY tree) AS top FROM low
+), subroot AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i FROM lows WHERE lvl = top
+), high AS (
+  SELECT 0 AS lvl, i, h FROM subroot
+  UNION ALL
+  SELECT lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY lvl, i // 16
+), highs AS (SELECT *, max(lvl) OVER () AS top FROM high
+), way AS (
+  -- Every leaf with its place on each level, from its own to the root; step counts levels over both trees.
+  SELECT row, lvl AS step, n.tree, n.i AS j, n.h, p.i // (16::BIGINT ** lvl)::BIGINT AS own
+  FROM placed p JOIN lows n ON n.tree = p.tree AND n.lvl < n.top AND n.i // 16 = p.i // (16::BIGINT ** (n.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT row, l.top + n.lvl, '', n.i, n.h, s.i // (16::BIGINT ** n.lvl)::BIGINT
+  FROM placed p JOIN subroot s USING (tree) JOIN (SELECT DISTINCT tree, top FROM lows) l USING (tree)
+  JOIN highs n ON n.lvl < n.top AND n.i // 16 = s.i // (16::BIGINT ** (n.lvl + 1))::BIGINT
+), run AS (
+  SELECT row, step, coalesce(string_agg(h, '' ORDER BY j) FILTER (j < own), '') AS l, coalesce(string_agg(h, '' ORDER BY j) FILTER (j > own), '') AS r FROM way GROUP BY row, step
+), proof AS (SELECT row, string_agg(l || r, '' ORDER BY step) AS proof FROM run GROUP BY row
+), fold AS (
+  SELECT row, 0 AS step, coalesce(changed, h) AS h FROM leaf
+  UNION ALL
+  SELECT fold.row, fold.step + 1, sha256(l || h || r) FROM fold JOIN run ON run.row = fold.row AND run.step = fold.step
+), last AS (SELECT row, arg_max(h, step) AS h FROM fold GROUP BY row)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, last.h AS folded_root, last.h = root.h AS verified
+FROM placed p JOIN subroot s USING (tree) JOIN last USING (row) LEFT JOIN proof USING (row), (SELECT h FROM highs WHERE lvl = top) root
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    fields = [F.col(n) for n in _FIELDS]
+    changed = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, record_digest(*fields[:-1], changed))
+    return manifest(docs.select("doc_id", "source", record_digest(*fields).alias("leaf"), tampered.alias("tampered")))
