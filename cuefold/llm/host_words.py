@@ -150,13 +150,19 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, topic
     total = max(words.agg(F.sum("n")).first()[0] or 0, 1)
     split = durable(segmented(names, words, total).join(names, "name"))
 
-    one = split.select("name", F.explode("words").alias("word"), "block", "allow", "n")
+    # A row that names a topic only inside a split name is neither sample: it is what the classifier is for.
+    topical = split.where(F.arrays_overlap("words", F.array(*map(F.lit, topics)))).select("name", "n")
+    hinted = durable(join_counted(named.where("blocked = 0").select("row", "name"), topical, "name", "n").select("row").distinct())
+    unsure = named.join(hinted, "row", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("unsure"))
+    sampled = split.join(unsure, "name", "left").withColumn("allow", F.col("allow") - F.coalesce("unsure", F.lit(0)))
+
+    one = sampled.select("name", F.explode("words").alias("word"), "block", "allow", "n")
     seen = durable(one.groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.sum("n").alias("n")))
     t = seen.agg(F.sum("block"), F.sum("allow"), F.count(F.lit(1))).first()
     n_block, n_allow, size = t[0] or 0, t[1] or 0, t[2]
     whole = urls.agg(F.sum("blocked"), F.count(F.lit(1))).first()
     blocked = whole[0] or 0
-    prior = math.floor(1e6 * math.log((blocked + 1) / (whole[1] - blocked + 1)))
+    prior = math.floor(1e6 * math.log((blocked + 1) / (whole[1] - blocked - hinted.count() + 1)))
     ratio = ((F.col("block") + 1) / (n_block + max(size, 1))) / ((F.col("allow") + 1) / (n_allow + max(size, 1)))
     weights = seen.select("word", F.floor(1e6 * F.log(ratio)).alias("weight"), "n")
     by_name = join_counted(one.select("name", "word"), weights, "word", "n").groupBy("name").agg(F.sum("weight").alias("weight"))

@@ -218,9 +218,11 @@ def plain_judgement():
     for _, host, path in parsed:
         names = [*name(host), *name(path)]
         blocked = bool(set(names) & set(host_words.TOPICS))
+        if not blocked and {w for n in names for w in split[n]} & set(host_words.TOPICS):
+            continue
         rows[blocked] += 1
         sides[blocked].update(w for n in names for w in split[n])
-    size = len(set(sides[True]) | set(sides[False]))
+    size = len({w for ws in split.values() for w in ws})
     share = lambda side, w: (sides[side][w] + 1) / (sum(sides[side].values()) + size)
     prior = math.floor(1e6 * math.log((rows[True] + 1) / (rows[False] + 1)))
     for page, host, path in parsed:
