@@ -14,6 +14,7 @@ from cuefold.operators import duplicates, gaps, packing, projects, ranking, scen
 from cuefold.operators import signatures as sg
 from cuefold.plans import bindings as b
 from cuefold.plans.registry import query
+from cuefold.plans.timeline_queries import DETECTED
 from cuefold.sources import evidence as ev
 from cuefold.sources import transport
 from cuefold.streaming import progress as pg
@@ -269,14 +270,30 @@ def second_pass_evidence(spark, folder):
     return duplicates.add_answers(one("purchase"), one("error"))
 
 
-@query("reconciled_gaps")
+@query("reconciled_gaps", f"""{T}, all_evidence AS (SELECT * FROM evidence),
+old AS (WITH evidence AS (SELECT * FROM all_evidence WHERE category <> 'failures'), {DETECTED}
+  SELECT episode_id, n AS p, 'old_' || printf('gap_%s_%02d', kind, n) AS gap_id, gap_type, start_ms, end_ms, cats, chars, act, CASE WHEN n % 2 = 0 THEN 'RESOLVED' ELSE status END AS status FROM gaps),
+found AS (WITH evidence AS (SELECT * FROM all_evidence), {DETECTED} SELECT episode_id, n AS d, printf('gap_%s_%02d', kind, n) AS gap_id, gap_type, start_ms, end_ms, cats, chars, act, status FROM gaps),
+same AS (SELECT f.episode_id, d, list(p ORDER BY p) AS ps FROM found f JOIN old o ON f.episode_id = o.episode_id AND f.gap_type = o.gap_type AND CASE f.gap_type WHEN 'CATEGORY_DEFICIT' THEN f.cats = o.cats
+  WHEN 'CHARACTER_DEFICIT' THEN f.chars = o.chars ELSE greatest(f.start_ms, o.start_ms) < least(f.end_ms, o.end_ms) OR abs(f.start_ms - o.start_ms) <= 10000 AND abs(f.end_ms - o.end_ms) <= 10000 END GROUP BY ALL),
+last AS (SELECT episode_id, max(d) AS d FROM found GROUP BY 1),
+walk(episode_id, d, used, p) AS (SELECT episode_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM last
+  UNION ALL SELECT episode_id, d, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (
+    SELECT w.episode_id, w.d + 1 AS d, used, list_filter(coalesce(ps, []), lambda x: NOT list_contains(used, x))[1] AS pick
+    FROM walk w JOIN last l ON l.episode_id = w.episode_id AND w.d < l.d LEFT JOIN same s ON s.episode_id = w.episode_id AND s.d = w.d + 1)),
+met AS (SELECT episode_id, d, p FROM walk WHERE p IS NOT NULL)
+SELECT f.episode_id, coalesce(o.gap_id, f.gap_id) AS gap_id, f.gap_type, f.d::INTEGER AS ordinal, f.start_ms, f.end_ms, f.cats AS target_categories, f.chars AS target_characters,
+  CASE WHEN o.status <> 'PENDING' THEN o.act ELSE f.act END AS is_actionable, coalesce(o.status, f.status) AS status
+FROM found f LEFT JOIN met m USING (episode_id, d) LEFT JOIN old o ON o.episode_id = f.episode_id AND o.p = m.p
+UNION ALL SELECT episode_id, gap_id, gap_type, p::INTEGER, start_ms, end_ms, cats, chars, act, status FROM old WHERE status IN ('RESOLVED', 'PERSISTENT_EMPTY') AND NOT EXISTS (SELECT 1 FROM met m WHERE m.episode_id = old.episode_id AND m.p = old.p)""")
 def reconciled_gaps(spark, folder):
     """Gaps found with all evidence against those found with the purchases only, every second settled."""
     eps, cues, vis, evidence = b.episodes(spark, folder), b.cues(spark, folder), b.visual(spark, folder), b.evidence(spark, folder)
     chunks = cov.fixed_chunks(eps)
     prior = cov.detect_gaps(cues, vis, evidence.where("category <> 'failures'"), eps, chunks)
     prior = prior.withColumns({"status": F.when(F.col("ordinal") % 2 == 0, "RESOLVED").otherwise(F.col("status")), "gap_id": F.concat(F.lit("old_"), "gap_id")})
-    return gaps.reconcile_gaps(cov.detect_gaps(cues, vis, evidence, eps, chunks), prior)
+    known = gaps.reconcile_gaps(cov.detect_gaps(cues, vis, evidence, eps, chunks), prior)
+    return known.withColumns({c: F.array_join(c, ",") for c in ("target_categories", "target_characters")})
 
 
 @query("resolved_gaps", """WITH g AS (SELECT o_orderkey AS gap_id, o_custkey AS episode_id FROM orders), r AS (SELECT l_orderkey AS gap_id, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n FROM lineitem GROUP BY 1)
