@@ -257,17 +257,48 @@ def _summary_rows(spark, folder):
     return e.select("episode_id", F.concat("category", F.lit(":"), "idx").alias("ref"), "category", "start_ms", "end_ms", "characters", "summary", F.col("category").alias("item_type"))
 
 
-@query("merged_summaries")
+_LONG = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+')), lambda w: len(w) > 1)"
+_ALIKE = """((2 * (least({x}b, {y}b) - greatest({x}a, {y}a)) >= greatest(100, least({x}b - {x}a, {y}b - {y}a)) OR (abs({x}a - {y}a) <= 5000 AND abs({x}b - {y}b) <= 5000))
+  AND (coalesce(len(list_intersect({x}w, {y}w)) / nullif(len(list_distinct(list_concat({x}w, {y}w))), 0), 0) >= 0.35::DOUBLE
+    OR (len({x}t) > 8 AND len({y}t) > 8 AND (contains(lower({x}t), lower({y}t)) OR contains(lower({y}t), lower({x}t))))))"""
+_BOTH = lambda c: f"list_sort(list_distinct(list_concat(x.{c}, i.{c})))"
+
+
+@query("merged_summaries", f"""{T}, item AS (SELECT episode_id, [category || ':' || idx] AS refs, [category] AS cats, characters AS chars, start_ms AS a, end_ms AS b, summary AS t, category AS kind, {_LONG.format('summary')} AS w,
+  row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, end_ms, category, idx) AS n FROM evidence),
+last AS (SELECT episode_id, max(n) AS n FROM item GROUP BY 1),
+walk(episode_id, n, s) AS (SELECT episode_id, 1::BIGINT, [{{'refs': refs, 'cats': cats, 'chars': chars, 'a': a, 'b': b, 't': t, 'kind': kind, 'w': w}}] FROM item WHERE n = 1
+  UNION ALL SELECT episode_id, n, CASE WHEN spot IS NULL THEN list_append(s, {{'refs': i.refs, 'cats': i.cats, 'chars': i.chars, 'a': i.a, 'b': i.b, 't': i.t, 'kind': i.kind, 'w': i.w}})
+      ELSE list_concat(list_append(s[1 : spot - 1], {{'refs': {_BOTH('refs')}, 'cats': {_BOTH('cats')}, 'chars': {_BOTH('chars')}, 'a': least(x.a, i.a), 'b': greatest(x.b, i.b), 't': joined, 'kind': x.kind, 'w': {_LONG.format('joined')}}}), s[spot + 1 :]) END
+    FROM (SELECT *, CASE WHEN contains(lower(x.t), lower(i.t)) THEN x.t WHEN contains(lower(i.t), lower(x.t)) THEN i.t ELSE left(x.t || ' | ' || i.t, 300) END AS joined
+      FROM (SELECT *, s[spot] AS x FROM (SELECT w.episode_id, i.n, w.s, i, list_filter(range(1, len(w.s) + 1), lambda k: {_ALIKE.format(x='w.s[k].', y='i.')})[1] AS spot
+        FROM walk w JOIN last l ON l.episode_id = w.episode_id AND w.n < l.n JOIN item i ON i.episode_id = w.episode_id AND i.n = w.n + 1)))),
+done AS (SELECT w.episode_id, unnest(w.s) AS x FROM walk w JOIN last l ON l.episode_id = w.episode_id AND l.n = w.n)
+SELECT episode_id, array_to_string(x.refs, ',') AS refs, array_to_string(x.cats, ',') AS categories, array_to_string(x.chars, ',') AS characters, x.a AS start_ms, x.b AS end_ms, x.t AS summary, x.kind AS item_type FROM done""")
 def merged_summaries(spark, folder):
-    return duplicates.merge_duplicates(_summary_rows(spark, folder))
-
-
-@query("second_pass_evidence")
+    out = duplicates.merge_duplicates(_summary_rows(spark, folder))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("refs", "categories", "characters")})
+
+
+@query("second_pass_evidence", f"""{T}, item AS (SELECT episode_id, idx, characters AS c, start_ms AS a, end_ms AS b, summary AS t, {_LONG.format('summary')} AS w, starts_with(summary, 'error') AS found FROM evidence),
+pair AS (SELECT f.episode_id, f.idx AS f, x.idx AS x, x.found FROM item f JOIN item x ON f.episode_id = x.episode_id AND f.found AND (NOT x.found OR x.idx < f.idx) WHERE {_ALIKE.format(x='f.', y='x.')}),
+first AS (SELECT episode_id, idx AS f, row_number() OVER (PARTITION BY episode_id ORDER BY idx) AS n, (SELECT min(x) FROM pair p WHERE p.episode_id = i.episode_id AND p.f = i.idx AND NOT p.found) AS base,
+  (SELECT coalesce(list(x ORDER BY x), []) FROM pair p WHERE p.episode_id = i.episode_id AND p.f = i.idx AND p.found) AS xs FROM item i WHERE found),
+last AS (SELECT episode_id, max(n) AS n FROM first GROUP BY 1),
+walk(episode_id, n, kept, f, target) AS (SELECT episode_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM last
+  UNION ALL SELECT episode_id, n, CASE WHEN target IS NULL THEN list_append(kept, f) ELSE kept END, f, target FROM (
+    SELECT w.episode_id, i.n, w.kept, i.f, coalesce(i.base, list_filter(i.xs, lambda x: list_contains(w.kept, x))[1]) AS target
+    FROM walk w JOIN last l ON l.episode_id = w.episode_id AND w.n < l.n JOIN first i ON i.episode_id = w.episode_id AND i.n = w.n + 1)),
+told AS (SELECT w.episode_id, target, list_distinct(flatten(list(c))) AS people FROM walk w JOIN item i ON i.episode_id = w.episode_id AND i.idx = w.f WHERE target IS NOT NULL GROUP BY ALL)
+SELECT i.episode_id, 'dialogue' AS category, i.idx AS ordinal, i.a AS start_ms, i.b AS end_ms, array_to_string(list_sort(list_distinct(list_concat(i.c, coalesce(people, [])))), ',') AS characters, i.t AS summary, i.found::INTEGER AS found
+FROM item i LEFT JOIN told ON told.episode_id = i.episode_id AND told.target = i.idx
+WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.episode_id = i.episode_id AND w.f = i.idx AND w.target IS NOT NULL)""")
 def second_pass_evidence(spark, folder):
     """Purchases as first-pass evidence, errors as the answers of the second pass, in one category."""
     rows = b.evidence(spark, folder).withColumn("ordinal", F.col("idx"))
     one = lambda kind: rows.where(F.startswith("summary", F.lit(kind))).withColumn("category", F.lit("dialogue"))
-    return duplicates.add_answers(one("purchase"), one("error"))
+    out = duplicates.add_answers(one("purchase"), one("error"))
+    return out.withColumn("characters", F.array_join("characters", ","))
 
 
 @query("reconciled_gaps", f"""{T}, all_evidence AS (SELECT * FROM evidence),

@@ -1,6 +1,7 @@
 """Order-dependent folds, packing and graph operators against plain loops on random input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,39 +13,107 @@ from cuefold.operators.grounding import keep_first_of_both
 ITEM = "episode_id string, ref string, category string, start_ms bigint, end_ms bigint, characters array<string>, summary string, item_type string"
 
 
+def words_of(text):
+    return {w for w in re.findall(r"\w+", text.lower()) if len(w) > 1}
+
+
+def alike(a, b):
+    """Restated from the survey: half of the shorter time or ends within 5 s, and words or one text in the other."""
+    (s, e, x), (t, f, y) = a, b
+    over = max(0, min(e, f) - max(s, t)) / min(max(100, e - s), max(100, f - t))
+    if over < 0.5 and max(abs(s - t), abs(e - f)) > 5_000:
+        return False
+    one, two = words_of(x), words_of(y)
+    return bool(one | two) and len(one & two) / len(one | two) >= 0.35 or min(len(x), len(y)) > 8 and (x.lower() in y.lower() or y.lower() in x.lower())
+
+
 def merge_loop(rows):
     kept = []
-    for ep, ref, cat, s, e, chars, text, kind in sorted(rows, key=lambda r: (r[3], r[4], r[2], r[1])):
-        item = {"refs": [ref], "categories": [cat], "characters": chars, "start": s, "end": e, "summary": text, "item_type": kind, "words": duplicates.long_words(text)}
-        match = next((k for k in kept if duplicates.same_event(item, k)), None)
-        if match is None:
-            kept.append(item)
-        else:
-            duplicates.absorb(match, item)
-    return sorted((k["refs"], k["categories"], k["start"], k["end"], k["summary"], k["item_type"]) for k in kept)
+    for _, ref, cat, s, e, chars, text, kind in sorted(rows, key=lambda r: (r[3], r[4], r[2], r[1])):
+        hit = next((k for k in kept if alike((s, e, text), (k[3], k[4], k[5]))), None)
+        if hit is None:
+            kept.append([{ref}, {cat}, set(chars), s, e, text, kind])
+            continue
+        old, new = hit[5].lower(), text.lower()
+        joined = hit[5] if new in old else text if old in new else (hit[5] + " | " + text)[:300]
+        strong = kind in duplicates.STRONG and hit[6] not in duplicates.STRONG
+        hit[:] = [hit[0] | {ref}, hit[1] | {cat}, hit[2] | set(chars), min(s, hit[3]), max(e, hit[4]), joined, kind if strong else hit[6]]
+    return sorted((sorted(k[0]), sorted(k[1]), sorted(k[2]), *k[3:]) for k in kept)
+
+
+def merged(spark, rows):
+    got = {}
+    for r in duplicates.merge_duplicates(spark.createDataFrame(rows, ITEM).repartition(7)).collect():
+        got.setdefault(r.episode_id, []).append((list(r.refs), list(r.categories), list(r.characters), r.start_ms, r.end_ms, r.summary, r.item_type))
+    return {k: sorted(v) for k, v in got.items()}
 
 
 def test_duplicate_fold_equals_the_unsplit_loop(spark):
     rng = random.Random(3)
-    words = "alice bob finds hidden papers under old house tonight again".split()
+    words = "alice bob finds hidden papers under old house tonight again a 42".split()
+    texts = ["ouse tonight again", "x", "", "|", "b | ho", "ab", "foo", "foob", "foo foobar", "?!?!?!?!?!?!", "aaaaaaaaaaaaaaaa", "aaaaaaaaaa", "Übergabe der Papiere", "übergabe DER"]
     rows = []
     for ep in range(25):
-        for i in range(rng.randint(0, 30)):
+        for i in range(rng.randint(0, 60)):
             s = rng.randint(0, 120_000)
-            text = " ".join(rng.sample(words, rng.randint(1, 6)))
+            text = rng.choice(texts) if rng.random() < 0.3 else " ".join(rng.sample(words, rng.randint(1, 6)))
             rows.append((f"e{ep}", f"r{i:03d}", rng.choice(["a", "b"]), s, s + rng.randint(0, 9_000), [rng.choice("xyz")], text, rng.choice(["scene", "reveal"])))
-    got = {}
-    for r in duplicates.merge_duplicates(spark.createDataFrame(rows, ITEM).repartition(7)).collect():
-        got.setdefault(r.episode_id, []).append((list(r.refs), list(r.categories), r.start_ms, r.end_ms, r.summary, r.item_type))
-    for ep in {r[0] for r in rows}:
-        assert sorted(got[ep]) == merge_loop([r for r in rows if r[0] == ep])
+    got = merged(spark, rows)
+    assert got == {ep: merge_loop([r for r in rows if r[0] == ep]) for ep in {r[0] for r in rows}}
+    assert merged(spark, rows[:0]) == {}
+
+
+def test_a_capped_text_still_meets_by_its_cut_word(spark):
+    """Texts of dots join up to the cap, which cuts `foobar` to `foob`; an item of that word alone then meets it."""
+    rows = [("e", "r0", "a", 0, 1_000, [], "foo" + "." * 290, "scene"), ("e", "r1", "a", 10, 1_000, [], "foo foobar", "scene"), ("e", "r2", "a", 20, 1_000, [], "foo", "scene")]
+    for cut in ("f", "fo", "foo", "foob", "fooba"):
+        rows.append(("e", f"s{cut}", "a", 30, 1_000, [], cut, "scene"))
+    assert merged(spark, rows) == {"e": merge_loop(rows)}
+
+
+def test_items_of_one_chain_without_common_words_are_folded_apart(spark):
+    rows = [(i, "e", 0, f"word{i // 2} other{i // 2} third{i // 2} fourth{i // 2}") for i in range(40)]
+    groups = duplicates.text_components(spark.createDataFrame(rows, "id bigint, episode_id string, chain bigint, summary string"), ["episode_id"])
+    assert {r.id: r.group for r in groups.collect()} == {i: i // 2 * 2 for i in range(40)}
+
+
+ANSWER = "episode_id string, category string, ordinal bigint, start_ms bigint, end_ms bigint, characters array<string>, summary string"
+
+
+def answers_loop(base, found):
+    kept = [[list(r), False] for r in base]
+    for r in found:
+        text = lambda row: (row[3], row[4], row[6].strip())
+        hit = next((k for k in kept if k[0][:2] == list(r[:2]) and alike(text(r), text(k[0]))), None)
+        if hit is None:
+            kept.append([list(r), True])
+        elif r[5]:
+            hit[0][5] = sorted(set(hit[0][5]) | set(r[5]))
+    return sorted((*map(repr, k[0]), k[1]) for k in kept)
+
+
+def test_answers_equal_the_walk(spark):
+    rng = random.Random(12)
+    words = "alice bob finds hidden papers under old house tonight again".split()
+    texts = ["", " ", "x!", "same text told twice ", "ouse tonight again", "told twice again", "?!?!?!?!?!?!"]
+
+    def make(n, first):
+        rows = []
+        for i in range(n):
+            s = rng.choice([0, 1_000, rng.randint(0, 60_000)])
+            text = rng.choice(texts) if rng.random() < 0.4 else " ".join(rng.sample(words, rng.randint(1, 6)))
+            rows.append((f"e{rng.randint(0, 4)}", rng.choice("ab"), first + i, s, s + rng.choice([0, 900, rng.randint(0, 9_000)]), rng.sample("zyxw", rng.randint(0, 2)), text))
+        return rows
+
+    base, found = make(150, 0), make(250, 1_000)
+    got = duplicates.add_answers(spark.createDataFrame(base, ANSWER).repartition(5), spark.createDataFrame(found, ANSWER).repartition(3)).collect()
+    assert sorted((*map(repr, [*r[:5], list(r[5]), r[6]]), bool(r[7])) for r in got) == answers_loop(base, found)
 
 
 def test_second_pass_case(spark):
-    shape = "episode_id string, category string, ordinal bigint, start_ms bigint, end_ms bigint, characters array<string>, summary string"
-    base = spark.createDataFrame([("e", "conflicts", 0, 10_000, 20_000, ["Alice", "Bob"], "Alice confronts Bob about the missing documents")], shape)
+    base = spark.createDataFrame([("e", "conflicts", 0, 10_000, 20_000, ["Alice", "Bob"], "Alice confronts Bob about the missing documents")], ANSWER)
     new = spark.createDataFrame(
-        [("e", "conflicts", 0, 11_000, 20_500, ["Charlie"], "Alice confronts Bob about missing documents"), ("e", "conflicts", 1, 50_000, 60_000, [], "A storm begins")], shape
+        [("e", "conflicts", 0, 11_000, 20_500, ["Charlie"], "Alice confronts Bob about missing documents"), ("e", "conflicts", 1, 50_000, 60_000, [], "A storm begins")], ANSWER
     )
     rows = {r.start_ms: r for r in duplicates.add_answers(base, new).collect()}
     assert sorted(rows) == [10_000, 50_000]
