@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -11,17 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.llm.common import arrow_rows, pack, raw_text, rows_of
+from cuefold.llm.common import arrow_rows, raw_text
 from cuefold.session import durable
 
 CAPACITY = 2048
-#: Bins open at once in a packer, and pieces a packer gets: with fewer pieces than bins none closes early.
-OPEN_BINS = 16_384
+#: Bins open at once in a packer; one more and the fullest closes.
+OPEN_BINS = 256
+#: Pieces a packer should get at least, so that the bins left open at its end are few.
 PIECES = 20_000
 #: Bins of a packer with more free space than this share are emptied and packed again, all packers together.
 LOOSE = 0.04
-#: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct chunks of text whose ids a task remembers: some 60 MB.
+REMEMBERED = 200_000
 
 
 class ChunkIds(dict):
@@ -32,16 +35,15 @@ class ChunkIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        new = [c for c in set(chunks) if c not in self]
+    def learn(self, texts: list[list[bytes]]) -> None:
+        chunks = set(chain.from_iterable(texts))
+        new = list(chunks.difference(self))
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list(set(chunks))
+            new = list(chunks)
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)):
             self[chunk] = np.array(found.ids, dtype="<u4").tobytes()
 
@@ -49,14 +51,12 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
-_kept: dict[str, ChunkIds] = {}
-
+@lru_cache(maxsize=1)
+def tokenizer(path: str):
+    """The tokenizer, kept by a worker from task to task; the ids it gave are a task's own and go with it."""
+    from tokenizers import Tokenizer
 
-def chunk_ids(path: str) -> ChunkIds:
-    """The ids of this worker, kept from task to task."""
-    if path not in _kept:
-        _kept[path] = ChunkIds(path)
-    return _kept[path]
+    return Tokenizer.from_file(path)
 
 
 def word_ids(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -66,7 +66,7 @@ def word_ids(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY)
 
     def cut(rows: list[tuple], ids: ChunkIds) -> Iterator[tuple]:
         split = [(doc_id, (text or b"").split()) for doc_id, text in rows]
-        ids.learn([c for _, chunks in split for c in chunks])
+        ids.learn([chunks for _, chunks in split])
         for doc_id, chunks in split:
             found = ids.ids(chunks) + last
             for piece, at in enumerate(range(0, len(found), 4 * capacity)):
@@ -77,7 +77,7 @@ def word_ids(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY)
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        ids, held, size = chunk_ids(path), [], 0
+        ids, held, size = ChunkIds(path), [], 0
         for row in rows:
             held.append(row)
             size += len(row[1] or b"")
@@ -113,8 +113,8 @@ class OpenBins:
         self.by_free[free].append(number)
         self.open += 1
 
-    def place(self, length: int) -> tuple[int, int]:
-        """Bin and offset for a piece: the open bin with the least sufficient space, or a new one.
+    def place(self, length: int) -> tuple[int, int, int | None]:
+        """Bin and offset for a piece, and the bin that closes: the open bin with the least sufficient space, or a new one.
 
         A full bin is closed at once; one bin too many closes the fullest.
         """
@@ -125,11 +125,11 @@ class OpenBins:
         else:
             free, number = self.capacity, self.made
             self.made += 1
-        if free > length:
-            self.put(free - length, number)
-            if self.open > self.most:
-                self.take((self.bits & -self.bits).bit_length() - 1)
-        return number, self.capacity - free
+        if free == length:
+            return number, self.capacity - free, number
+        self.put(free - length, number)
+        full = self.take((self.bits & -self.bits).bit_length() - 1) if self.open > self.most else None
+        return number, self.capacity - free, full
 
 
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
@@ -139,40 +139,49 @@ PLACED_SCHEMA = pa.schema(
 
 
 def pack_once(pieces: DataFrame, capacity: int, packers: int, open_bins: int, turn: int) -> DataFrame:
-    """Pieces with sequence_id, offset and fill (tokens in their sequence): each packer takes its partition, longest first.
+    """Pieces with sequence_id, offset and fill (tokens in their sequence): each packer takes its pieces as they arrive.
 
-    A hash of the piece deals pieces out, so packers are alike even if one source holds a third of the rows.
+    A hash of the piece deals pieces out, so packers are alike even if one source holds a third of the rows. A
+    bin's rows go out when it closes: a packer holds its open bins, however many pieces pass.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(rows: Iterator[tuple]) -> Iterator[tuple]:
         from pyspark import TaskContext
 
         base = (turn << 56) | (TaskContext.get().partitionId() << 32)
-        bins, out, fill = OpenBins(capacity, open_bins), [], {}
-        for batch in batches:
-            for row in rows_of(batch):
-                number, offset = bins.place(row[3])
-                fill[number] = offset + row[3]
-                out.append((*row, base + number, offset))
-        for at in range(0, len(out), 20_000):
-            yield pack([(*r, fill[r[5] - base]) for r in out[at : at + 20_000]], PLACED_SCHEMA)
+        bins, held = OpenBins(capacity, open_bins), {}
+
+        def closed(number: int) -> Iterator[tuple]:
+            members = held.pop(number)
+            fill = members[-1][-1] + members[-1][3]
+            return ((*m[:5], base + number, m[5], fill) for m in members)
+
+        for row in rows:
+            number, offset, done = bins.place(row[3])
+            held.setdefault(number, []).append((*row, offset))
+            if done is not None:
+                yield from closed(done)
+        for number in list(held):
+            yield from closed(number)
 
     dealt = pieces.repartition(packers, F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, PLACED)
+    return dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32").mapInArrow(arrow_rows(placed, PLACED_SCHEMA, 20_000), PLACED)
 
 
 def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_packer: int = PIECES, loose: float = LOOSE) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset, no sequence above capacity.
 
-    Pieces of full length are sequences of their own. Packers of about `per_packer` pieces work side by side;
-    the few bins each leaves loosely filled are emptied and packed again by far fewer packers.
+    Pieces are packed as they come, by doc_id, in `open_bins` bins at a time. As many packers as the session
+    shuffles into work side by side, fewer if they would get less than `per_packer` pieces; the bins that
+    were closed or left loosely filled are emptied and packed again, by fewer packers.
     """
+    most = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packers = lambda n: max(1, min(most, ceil(n / per_packer)))
     pieces = durable(pieces)
-    n = pieces.count()
-    first = durable(pack_once(pieces, capacity, max(1, ceil(n / per_packer)), open_bins, 0))
-    tight = (F.col("fill") >= capacity * (1 - loose))
+    first = durable(pack_once(pieces, capacity, packers(pieces.count()), open_bins, 0))
+    tight = F.col("fill") >= capacity * (1 - loose)
     rest = durable(first.where(~tight).select("doc_id", "piece", "start", "length", "ids_crc32"))
-    again = pack_once(rest, capacity, max(1, ceil(rest.count() / per_packer)), open_bins, 1)
+    again = pack_once(rest, capacity, packers(rest.count()), open_bins, 1)
     return first.where(tight).unionByName(again).drop("fill")
 
 

@@ -85,14 +85,27 @@ def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents whose id is not among `rejected`, with their own columns.
+ROW = "__pipeline_row"
 
-    The ids are written first, so that the planner knows their size: a short list is broadcast by
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a number of their own in `ROW`, written with them: ids may be null or repeat, these don't."""
+    return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Numbered documents under their row numbers in place of their ids, so that each row is judged as its own."""
+    return rows.withColumn("doc_id", F.col(ROW)).drop(ROW)
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Numbered documents whose row number is not among the `doc_id`s of `rejected`, with their own columns.
+
+    The numbers are written first, so that the planner knows their size: a short list is broadcast by
     its measured size and the texts stay where they are, a long one is joined by a shuffle.
     """
-    ids = durable(rejected.select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(ids, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = durable(rejected.select(F.col("doc_id").alias("__gone")))
+    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
 
 
 def tokenizer_path(name: str) -> str:
