@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,60 +33,59 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     )
 
 
-def _trim_edge(text: str) -> str:
-    return text.rstrip(" ._")
+def _numbered(base: str, number: Column, limit: int | None) -> Column:
+    """The base, or the base with its number at the end; the base is cut for it, and its edge trimmed, under a limit."""
+    ending = F.concat(F.lit("_"), number)
+    stem = F.col(base)
+    if limit is not None:
+        stem = F.regexp_replace(F.substr(stem, F.lit(1), F.lit(limit) - F.length(ending)), r"[ ._]+$", "")
+    return F.when(number == 0, F.col(base)).otherwise(F.concat(stem, ending))
 
 
-def unique_name(base: str, seen: set[str], nexts: dict[str, int], limit: int) -> str:
-    """The base, or the base with the first free number; remembers where each base got to."""
-    if base not in seen:
-        seen.add(base)
-        return base
-    number = nexts.get(base, 1)
-    while True:
-        ending = f"_{number}"
-        number += 1
-        name = _trim_edge(base[: limit - len(ending)]) + ending
-        if name not in seen:
-            seen.add(name)
-            nexts[base] = number
-            return name
-
+def _skipped(placed: DataFrame, taken: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(on, shifts): from which row of a base on each number that it skips shifts the rows.
 
-def unique_names(rows: DataFrame, keys: Sequence[str], ordinal: str, base: str, name: str, limit: int = 120) -> DataFrame:
-    """First holder of a name keeps it, later ones get '_1', '_2', ... skipping taken names.
-
-    Only names of one family (equal but for trailing numbers) can meet. A family with a single
-    distinct name is numbered by its order; only families that mix a repeated name with numbered
-    namesakes are walked in order, streamed from sorted partitions.
+    taken: on, number, holder. A number is skipped by the row that comes to it if the holder is earlier. The j-th
+    number not skipped is j and one more for each shift at or below j.
     """
-    trail = F.regexp_replace(F.col(base), r"([ ._]*_[0-9]+)+$", "")
-    family = F.regexp_replace(F.substring(trail, 1, 80), r"[ ._]+$", "")
-    tagged = rows.withColumn("_family", family)
-    stats = tagged.groupBy(*keys, "_family").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(base).alias("_lo"), F.max(base).alias("_hi"),
-        F.count_distinct(base).alias("_names"),
-    )
-    known = tagged.join(stats, [*keys, "_family"])
-    keep = [*rows.columns]
-    free = known.where(F.col("_rows") == F.col("_names")).select(*keep, F.col(base).alias(name))
-    single = known.where((F.col("_rows") > 1) & (F.col("_names") == 1)).select(*keep)
-    numbered = ranked(single, [*keys, base], [ordinal], "_n")
-    ending = F.concat(F.lit("_"), F.col("_n") - 1)
-    cut = F.regexp_replace(F.substr(F.col(base), F.lit(1), F.lit(limit) - F.length(ending)), r"[ ._]+$", "")
-    plain = numbered.select(*keep, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(cut, ending)).alias(name))
-    mixed = known.where((F.col("_rows") > F.col("_names")) & (F.col("_names") > 1)).select(*keep, "_family")
-    schema = mixed.drop("_family").withColumn(name, F.lit("")).schema
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, seen, nexts = None, set(), {}
-        for batch in batches:
-            out = []
-            for at, text in zip(batch[[*keys, "_family"]].itertuples(index=False, name=None), batch[base]):
-                if at != current:
-                    current, seen, nexts = at, set(), {}
-                out.append(unique_name(text, seen, nexts, limit))
-            yield batch.drop(columns="_family").assign(**{name: out})
-
-    walked = mixed.repartition(*keys, "_family").sortWithinPartitions(*keys, "_family", ordinal).mapInPandas(walk, schema)
-    return free.unionByName(plain).unionByName(walked)
+    marks = taken.select(*on, F.col("holder").alias("_at"), "number", F.lit(1).alias("_mark"))
+    rows = placed.join(taken.select(*on).distinct(), list(on), "left_semi").select(*on, "_at", F.lit(None).cast("bigint").alias("number"), F.lit(0).alias("_mark"))
+    met = ranked(rows.unionByName(marks), on, ["_at", F.desc("_mark"), "number"], "_both").where("_mark = 1")
+    before = F.row_number().over(Window.partitionBy(*on).orderBy("_at", "number"))
+    # How many rows of the base are earlier than the holder: they may still take the number.
+    told = met.select(*on, "number", (F.col("_both") - before).alias("free_for"))
+    step = lambda acc, x: F.when(
+        x["number"] - acc["n"] >= x["free_for"],
+        F.struct((acc["n"] + 1).alias("n"), F.array_append(acc["shifts"], x["number"] - acc["n"]).alias("shifts")),
+    ).otherwise(acc)
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("shifts"))
+    numbers = F.array_sort(F.collect_list(F.struct("number", "free_for")))
+    return told.groupBy(*on).agg(F.aggregate(numbers, start, step, lambda acc: acc["shifts"]).alias("shifts"))
+
+
+def unique_names(rows: DataFrame, keys: Sequence[str], ordinal: str, base: str, name: str, limit: int | None = 120) -> DataFrame:
+    """First holder of a name keeps it, later ones get '_1', '_2', ... skipping names that earlier rows hold.
+
+    All rows bid at once: the n-th row of a base for the n-th number that is free for it. Where two bases come to one
+    name, the earlier row has it and the number counts as taken for later rows of the other base. Names only
+    ever go to earlier rows, so bids are never taken back; rounds end when no name is bid for twice. A base
+    costs a row number and one array of its taken numbers, however many rows it has.
+    """
+    on = [*keys, base]
+    placed = durable(ranked(ranked(rows, keys, [ordinal, base], "_at"), on, ["_at"], "_rank"))
+    shifts, taken = None, None
+    while True:
+        rank = F.col("_rank") - 1
+        if shifts is None:
+            bids = placed.withColumn("_number", rank)
+        else:
+            later = F.size(F.filter("shifts", lambda x: x <= F.col("_rank") - 1))
+            bids = placed.join(shifts, on, "left").withColumn("_number", rank + F.coalesce(later, F.lit(0))).drop("shifts")
+        bids = durable(bids.withColumn(name, _numbered(base, F.col("_number"), limit)))
+        held = bids.groupBy(*keys, name).agg(F.min("_at").alias("holder"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        lost = durable(bids.join(held, [*keys, name]).where("_at <> holder").select(*on, F.col("_number").alias("number"), "holder"))
+        if lost.isEmpty():
+            return bids.select(*rows.columns, name)
+        known = lost if taken is None else taken.unionByName(lost)
+        taken = durable(known.groupBy(*on, "number").agg(F.min("holder").alias("holder")))
+        shifts = durable(_skipped(placed, taken, on))

@@ -373,9 +373,15 @@ def unique_titles(spark, folder):
     return ranking.unique_names(b.table(spark, folder, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand"], "p_partkey", "p_name", "title").drop("p_name")
 
 
-@query("unique_output_ids")
+@query("unique_output_ids", """WITH RECURSIVE t AS (SELECT p_partkey // 50 AS project, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'out_' || (p_size % 5) ELSE 'out' END AS output_id FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY p_partkey) AS n FROM t),
+walk(project, n, seen, unique_id) AS (SELECT project, n, [output_id], output_id FROM r WHERE n = 1
+  UNION ALL SELECT project, n, list_append(seen, id), id FROM (SELECT w.project, r.n, w.seen, CASE WHEN list_contains(w.seen, r.output_id)
+      THEN r.output_id || '_' || list_filter(range(1, len(w.seen) + 2), lambda k: NOT list_contains(w.seen, r.output_id || '_' || k))[1] ELSE r.output_id END AS id
+    FROM walk w JOIN r ON r.project = w.project AND r.n = w.n + 1))
+SELECT project, p_partkey, output_id, unique_id FROM r JOIN walk USING (project, n)""")
 def unique_output_ids(spark, folder):
-    """Brand and size as ids, half of them already numbered, so that names collide across bases."""
+    """Ids of which half are numbered already, so that names collide across bases; ids are never cut."""
     ids = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("out_"), F.col("p_size") % 5)).otherwise(F.lit("out"))
     rows = b.table(spark, folder, "part").select(F.floor(F.col("p_partkey") / 50).alias("project"), "p_partkey", ids.alias("output_id"))
-    return ranking.unique_names(rows, ["project"], "p_partkey", "output_id", "unique_id")
+    return ranking.unique_names(rows, ["project"], "p_partkey", "output_id", "unique_id", None)

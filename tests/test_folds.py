@@ -207,18 +207,33 @@ def test_capped_text_is_the_longest_that_fits(spark):
         assert r.c == cap_loop(r.t, r.room)
 
 
-def test_unique_names_equal_the_walk(spark):
+def first_free(base, seen, limit):
+    """Restated from the survey: the base, or the first of its numbered forms that is not taken."""
+    forms = (base if n == 0 else (base if limit is None else base[: limit - len(f"_{n}")].rstrip(" ._")) + f"_{n}" for n in range(10**6))
+    return next(f for f in forms if f not in seen)
+
+
+@pytest.mark.parametrize("limit", [120, None])
+def test_unique_names_equal_the_walk(spark, limit):
     rng = random.Random(6)
     rows, want = [], {}
+    many = [f"x_{n}" for n in range(30)]
     for p in range(8):
-        seen, nexts = set(), {}
-        for i in range(60):
-            base = rng.choice(["x", "x_1", "x_2", "x_1_1", "other", "y" * 120, "y" * 118 + "_1", f"solo{i}"])
+        seen = set()
+        for i in range(120):
+            base = rng.choice(["x", "x", "x_1", "x_2", "x_1_1", "other", "y" * 120, "y" * 119 + "z", "y" * 118 + "_1", "y" * 117 + " _", f"solo{i}", *many[: p * 4]])
+            rows.append((p, i, base))
+            want[(p, i)] = first_free(base, seen, limit)
+            seen.add(want[(p, i)])
+    # Numbered namesakes first, the repeated base after them; and the other way round.
+    for p, bases in ((8, [*many[1:], *["x"] * 30]), (9, [*["x"] * 30, *many[1:]]), (10, ["x", "x_1", "x", "x", "x_2", "x_1", "x"])):
+        seen = set()
+        for i, base in enumerate(bases):
             rows.append((p, i, base))
-            want[(p, i)] = ranking.unique_name(base, seen, nexts, 120)
-    got = ranking.unique_names(spark.createDataFrame(rows, "p int, i int, base string").repartition(6), ["p"], "i", "base", "name")
+            want[(p, i)] = first_free(base, seen, limit)
+            seen.add(want[(p, i)])
+    got = ranking.unique_names(spark.createDataFrame(rows, "p int, i int, base string").repartition(6), ["p"], "i", "base", "name", limit)
     assert {(r.p, r.i): r.name for r in got.collect()} == want
-    assert all(len(n) <= 120 for n in want.values()) and len({(k[0], n) for k, n in want.items()}) == len(want)
 
 
 def test_components_and_chains(spark):
