@@ -42,8 +42,8 @@ def resolve_chains(targets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
     targets: keys, id, target with one row per id. Pointer jumping doubles the reach of every
     walk per round, so a chain of n ends after log n rounds; each round ends some walk unless
-    only cycles are left. Walks into a cycle then go step by step with the ids they visited and
-    stop where the next step would repeat one.
+    only walks into cycles are left. Those stop where the next step would repeat an id: a walk from a cycle
+    before its own start, one from outside before the id where it entered.
     """
     on = [*keys, "id"]
     base = targets.select(*on, "target")
@@ -60,18 +60,29 @@ def resolve_chains(targets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
             break
         ended = now
     loose = hop.where("not open").select(*on, F.col("at").alias("target"))
-    caught = base.join(hop.where("open"), on, "left_semi")
-    return loose.unionByName(_walk_cycles(caught, keys))
+    endless = hop.where("open").select(*on, "at")
+    return loose if endless.isEmpty() else loose.unionByName(_cycle_ends(base, endless, keys))
 
 
-def _walk_cycles(caught: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Targets of ids on or into a cycle, one step per round, carrying the visited ids."""
-    step = caught.select(*keys, F.col("id").alias("at"), F.col("target").alias("next"))
-    walk = caught.select(*keys, "id", F.col("target").alias("at"), F.array("id").alias("seen"))
-    out = caught.select(*keys, "id", "target").limit(0)
-    while not walk.isEmpty():
-        ahead = durable(walk.join(step, [*keys, "at"], "left"))
-        closed = F.col("next").isNull() | F.array_contains("seen", F.col("next"))
-        out = out.unionByName(ahead.where(closed).select(*keys, "id", F.col("at").alias("target")))
-        walk = ahead.where(~closed).select(*keys, "id", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
-    return out
+def _cycle_ends(base: DataFrame, endless: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, id, target): where the walks stop that never end.
+
+    They keep doubling until the ids they are at grow no fewer: then those are the ids on cycles, since jumping
+    as far again only permutes them. What leads into a cycle is a chain that ends at its first id there.
+    """
+    on = [*keys, "id"]
+    reached = None
+    while True:
+        n = endless.select(*keys, "at").distinct().count()
+        if n == reached:
+            break
+        reached = n
+        ahead = endless.select(*keys, F.col("id").alias("at"), F.col("at").alias("far"))
+        endless = durable(endless.join(ahead, [*keys, "at"]).select(*on, F.col("far").alias("at")))
+    cycle = durable(endless.select(*keys, F.col("at").alias("id")).distinct())
+    steps = durable(base.join(endless, on, "left_semi"))
+    last = durable(steps.join(cycle, on, "left_semi").select(*keys, F.col("target").alias("id"), F.col("id").alias("target")))
+    outside = steps.join(cycle, on, "left_anti")
+    entries = resolve_chains(outside, keys).select(*on, F.col("target").alias("entry"))
+    ends = last.select(*keys, F.col("id").alias("entry"), "target")
+    return last.select(*on, "target").unionByName(entries.join(ends, [*keys, "entry"]).select(*on, "target"))

@@ -265,6 +265,18 @@ def test_components_and_chains(spark):
 
     got = graph.resolve_chains(spark.createDataFrame(line + cycle, "id string, target string")).collect()
     assert {r.id: r.target for r in got} == {i: walk(i) for i in target}
+    target = {f"r{i}": f"r{rng.randint(0, 149)}" for i in range(150)}
+    keyed = spark.createDataFrame([(k, i, t) for k in "ab" for i, t in target.items()] + [("c", "r0", "r1")], "k string, id string, target string")
+    assert {(r.k, r.id): r.target for r in graph.resolve_chains(keyed, ("k",)).collect()} == {**{(k, i): walk(i) for k in "ab" for i in target}, ("c", "r0"): "r1"}
+
+
+def test_a_long_cycle_is_found_in_few_rounds(spark, monkeypatch):
+    rounds, plain = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: rounds.append(1) or plain(df))
+    ring = spark.range(100_000).select(F.format_string("n%06d", "id").alias("id"), F.format_string("n%06d", (F.col("id") + 1) % 100_000).alias("target"))
+    ends = graph.resolve_chains(ring)
+    assert ends.count() == 100_000 and ends.where("int(substring(target, 2)) <> (int(substring(id, 2)) + 99999) % 100000").isEmpty()
+    assert len(rounds) <= 20
 
 
 def test_keep_first_of_both_equals_the_walk(spark):
