@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefold.session import durable
+from cuefold.session import discard, durable
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         # Small star: v and its smaller neighbours hang on the lowest of them.
         low2 = hung.groupBy("v").agg(F.min("m").alias("lo"))
         kids = hung.join(low2, "v").where(F.col("m") != F.col("lo")).select(F.col("m").alias("v"), F.col("lo").alias("m"))
-        star = durable(kids.unionByName(low2.select("v", F.col("lo").alias("m"))).distinct())
+        before, star = star, durable(kids.unionByName(low2.select("v", F.col("lo").alias("m"))).distinct())
+        discard(before)
     roots = star.groupBy(F.col("v").alias("id")).agg(F.min("m").alias("group"))
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 

@@ -50,7 +50,20 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuefold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete durable tables that nothing will read again: those a later round has replaced.
+
+    Only what `durable` gave itself is deleted, not what was derived of it.
+    """
+    for path, spark in ((getattr(t, "_durable_path", None), t.sparkSession) for t in tables if t is not None):
+        if path is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
