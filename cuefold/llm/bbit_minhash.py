@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cuefold.llm.common import WordHashes, arrow_rows, mixed, raw_text, words_of
 from cuefold.operators.graph import connected_components
-from cuefold.session import durable
+from cuefold.session import discard, durable
 
 SHINGLE = 5
 BITS = 4
@@ -24,6 +24,8 @@ LONGS = HASHES // PER_LONG
 THRESHOLD = 0.75
 #: Hubs of a bucket grow by this factor from round to round.
 DRAW = 8
+#: Members of a bucket compared with as many hubs at once.
+BLOCK = 64
 
 _generator = np.random.default_rng(20_24)
 FACTORS = _generator.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,8 +69,8 @@ def band_keys(least: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_shingles, bits, bands) per row: digest names the word sequence; no words, no bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, digest, n_shingles, code, bands) per row: digest names the word sequence, code packs the low bits and the bands; no words, no bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("code", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(rows):
         hashes = WordHashes()
@@ -78,12 +80,13 @@ def signatures(docs: DataFrame) -> DataFrame:
             digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
             if len(shingles):
                 least = minima(shingles)
-                yield doc_id, digest, len(shingles), packed_bits(least), band_keys(least)
+                bands = band_keys(least)
+                yield doc_id, digest, len(shingles), np.array([*packed_bits(least), *bands], np.int64).tobytes(), bands
             else:
-                yield doc_id, digest, 0, [], []
+                yield doc_id, digest, 0, b"", []
 
     return docs.select(F.col("doc_id").cast("long"), raw_text()).where("doc_id IS NOT NULL").mapInArrow(
-        arrow_rows(run, schema), "doc_id long, digest binary, n_shingles long, bits array<long>, bands array<long>"
+        arrow_rows(run, schema), "doc_id long, digest binary, n_shingles long, code binary, bands array<long>"
     )
 
 
@@ -99,17 +102,18 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", raw_text()).mapInArrow(arrow_rows(run, schema, 500), "doc_id long, shingles binary")
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from two packed signatures, corrected for chance: low bits of different minima agree once in 2^b."""
-    differing = F.lit(0)
-    ones = F.lit(0x1111111111111111)
-    for i in range(LONGS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differing = differing + F.bit_count(x.bitwiseAND(ones))
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many low bits agree, for each row of packed signatures `a` with each row of `b`: by bit counts of the differing ones."""
+    x = a[:, None, :] ^ b[None, :, :]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return HASHES - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities by packed signatures, corrected for chance: low bits of different minima agree once in 2^b."""
     chance = 2.0**-BITS
-    return ((F.lit(HASHES) - differing) / F.lit(HASHES) - chance) / (1 - chance)
+    return (agreeing(a, b) / HASHES - chance) / (1 - chance)
 
 
 def missed_by_bands(threshold: float) -> float:
@@ -134,23 +138,77 @@ def screen(threshold: float) -> float:
     return ((fewest_agreeing(threshold) - 0.5) / HASHES - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), by intersection and union of the full sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+def blocks(rows: DataFrame, size: Column, name: str) -> DataFrame:
+    """(bucket, `name`): the members of a bucket in blocks of about `BLOCK`, dealt by a hash; size: how many the bucket has."""
+    at = F.pmod(F.xxhash64("rep"), F.ceil(size / BLOCK))
+    return rows.groupBy("bucket", at.alias(f"{name}_at")).agg(F.collect_list(F.struct("rep", "home", "n", "code")).alias(name))
+
+
+def candidates(live: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
+    """(tile, a, b): pairs of members with hubs of their bucket that may reach the threshold, all of two blocks in a row.
+
+    A pair counts in the first bucket it shares, if it is not connected yet, if its sizes allow the threshold and
+    its signatures agree often enough. Where everyone is a hub, one of the two asks.
+    """
+    sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_live")).join(hubs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_hubs"), F.first("everyone").alias("everyone")), "bucket")
+    mine = blocks(live.join(sizes.select("bucket", "n_live"), "bucket"), F.col("n_live"), "members")
+    theirs = blocks(hubs.join(sizes.select("bucket", "n_hubs"), "bucket"), F.col("n_hubs"), "hubs")
+    met = mine.join(theirs, "bucket").join(sizes.select("bucket", "everyone"), "bucket").select("bucket", "everyone", "members", "hubs")
+    schema = pa.schema([("tile", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+    fewest, per_cent = fewest_agreeing(threshold), round(threshold * 100)
+
+    def unpacked(members: list[dict]) -> tuple[np.ndarray, ...]:
+        column = lambda name: np.array([m[name] for m in members], dtype=np.int64)
+        codes = np.frombuffer(b"".join(m["code"] for m in members), np.uint64).reshape(len(members), -1)
+        return column("rep"), column("home"), column("n"), codes[:, :LONGS], codes[:, LONGS:].view(np.int64)
+
+    def run(rows):
+        from pyspark import TaskContext
+
+        tile = TaskContext.get().partitionId() << 40
+        for bucket, everyone, members, heads in rows:
+            rep, home, n, bits, bands = unpacked(members)
+            hub, hub_home, hub_n, hub_bits, hub_bands = unpacked(heads)
+            other = home[:, None] < hub_home if everyone else home[:, None] != hub_home
+            fits = other & (100 * np.minimum(n[:, None], hub_n) >= per_cent * np.maximum(n[:, None], hub_n))
+            if not fits.any():
+                continue
+            i, j = np.nonzero(fits & (agreeing(bits, hub_bits) >= fewest))
+            same = bands[i] == hub_bands[j]
+            first = bands[i, same.argmax(axis=1)] == bucket
+            i, j = i[first], j[first]
+            if len(i):
+                tile += 1
+                yield tile, np.minimum(rep[i], hub[j]).tolist(), np.maximum(rep[i], hub[j]).tolist()
+
+    return met.mapInArrow(arrow_rows(run, schema, 500), "tile long, a array<long>, b array<long>")
+
+
+def confirmed(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of the tiles that reach the threshold, by intersection and union of the full sets.
+
+    A set travels once a tile, however many pairs it is in there.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     per_cent = round(threshold * 100)
 
+    def reaches(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= per_cent * (len(x) + len(y) - both)
+
     def run(rows):
-        for a, b, one, two in rows:
-            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            yield a, b, 100 * both >= per_cent * (len(x) + len(y) - both)
-
-    return (
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a")
-        .select("a", "b", "one", "two")
-        .mapInArrow(arrow_rows(run, schema, 10_000), "a long, b long, linked boolean")
-    )
+        for a, b, members in rows:
+            # Rows that repeat an id are one document's texts: any of them may link it.
+            held: dict[int, list] = {}
+            for m in members:
+                held.setdefault(m["doc_id"], []).append(np.frombuffer(m["shingles"], np.uint64))
+            for one, two in zip(a, b):
+                if any(reaches(x, y) for x in held[one] for y in held[two]):
+                    yield one, two
+
+    needed = tiles.select("tile", F.explode(F.array_union("a", "b")).alias("doc_id"))
+    brought = needed.join(sets, "doc_id").groupBy("tile").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("members"))
+    return tiles.join(brought, "tile").select("a", "b", "members").mapInArrow(arrow_rows(run, schema, 10_000), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -169,7 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts and share its links. Only doc_id and text are read. An empty table gives no rows.
     """
     signed = durable(signatures(docs))
-    copies = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    copies = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("code").alias("code"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     reps = durable(copies)
     members = reps.where(F.size("bands") > 0).select("rep", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -177,47 +235,46 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # How many others a document meets over all its buckets: the original of many copies meets the most.
     weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
     # Most documents meet nobody; signatures travel only with the rest.
-    members = durable(shared.select("bucket", "rep").join(reps.select("rep", "bits", "bands"), "rep").join(weight, "rep"))
+    members = first_members = durable(shared.select("bucket", "rep").join(reps.where(F.size("bands") > 0).select("rep", "n", "code"), "rep").join(weight, "rep"))
+    discard(shared)
     nodes = durable(members.select(F.col("rep").alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(shingle_sets(texts.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")))
-    home = nodes.select(F.col("id").alias("rep"), F.col("id").alias("home"))
-    first_shared = F.element_at("bands", F.array_position(F.zip_with("bands", "hub_bands", lambda x, y: x == y), True).cast("int")) == F.col("bucket")
-    links = None
-    refused = None
+    home = durable(nodes.select(F.col("id").alias("rep"), F.col("id").alias("home")))
+    before: list[DataFrame] = [first_members]
     turn = 0
     while True:
         homed = members.join(home, "rep")
         open_buckets = homed.groupBy("bucket").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.approx_count_distinct("home").alias("homes")).where("lo <> hi")
         live = durable(homed.join(open_buckets.select("bucket", "homes"), "bucket"))
+        discard(*before)
         if live.isEmpty():
             break
         # The most central component of a bucket sends its hub first; then more are drawn, alike in all their
         # buckets; once that would be all components, every member is a hub and the bucket is done.
         share = F.lit(float(DRAW ** (turn - 1) if turn else 0))
         heads = live.where(F.col("homes") > share).groupBy("bucket", "home").agg(
-            F.max_by(F.struct("rep", "bits", "bands"), F.struct("weight", "rep")).alias("head"), F.max("weight").alias("weight"), F.first("homes").alias("homes")
+            F.max_by(F.struct("rep", "n", "code"), F.struct("weight", "rep")).alias("head"), F.max("weight").alias("weight"), F.first("homes").alias("homes")
         )
         best = heads.groupBy("bucket").agg(F.max(F.struct("weight", "home")).alias("best"))
         drawn = F.pmod(F.xxhash64("home", F.lit(turn)), F.lit(1 << 20)) * F.col("homes") <= F.lit(1 << 20) * share
         heads = heads.join(best, "bucket").where(drawn | (F.col("best.home") == F.col("home"))).select("bucket", "home", "head.*", F.lit(False).alias("everyone"))
-        everyone = live.where(F.col("homes") <= share).select("bucket", "home", "rep", "bits", "bands", F.lit(True).alias("everyone"))
-        hubs = durable(heads.unionByName(everyone).select(
-            "bucket", F.col("home").alias("hub_home"), F.col("rep").alias("hub"), F.col("bits").alias("hub_bits"), F.col("bands").alias("hub_bands"), "everyone"
-        ))
-        # Of the buckets a pair shares only the first counts; where everyone is a hub, one of the two asks.
-        other = (F.col("home") < F.col("hub_home")) | (~F.col("everyone") & (F.col("home") > F.col("hub_home")))
-        met = live.join(hubs, "bucket").where(other & (estimate("bits", "hub_bits") >= screen(threshold)) & first_shared)
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        looked = durable(confirmed(pairs, sets, threshold))
-        found, lost = looked.where("linked").select("a", "b"), looked.where("NOT linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        refused = lost if refused is None else refused.unionByName(lost)
-        home = durable(connected_components(nodes, links).select(F.col("id").alias("rep"), F.col("group").alias("home")))
-        members = live.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "bits", "bands", "weight")
+        everyone = live.where(F.col("homes") <= share).select("bucket", "home", "rep", "n", "code", F.lit(True).alias("everyone"))
+        hubs = durable(heads.unionByName(everyone))
+        tiles = durable(candidates(live, hubs, threshold))
+        links = durable(confirmed(tiles, sets, threshold))
+        discard(tiles)
+        # Links join components: only those they touch are resolved anew.
+        at = lambda end: home.select(F.col("rep").alias(end), F.col("home").alias(f"{end}_home"))
+        joins = durable(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_home").alias("a"), F.col("b_home").alias("b")).where("a <> b").distinct())
+        touched = joins.select(F.col("a").alias("id")).unionByName(joins.select(F.col("b").alias("id"))).distinct()
+        moved = connected_components(touched, joins).select(F.col("id").alias("home"), "group")
+        old, home = home, durable(home.join(moved, "home", "left").select("rep", F.coalesce("group", "home").alias("home")))
+        discard(old, links, joins)
+        members = live.join(hubs.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "code", "weight")
+        before = [live, hubs]
         turn += 1
+    discard(live, sets, nodes)
     joined = reps.select("digest", "rep", F.size("bands").alias("__n")).join(home, "rep", "left").select(
         "digest", F.when(F.col("__n") > 0, F.coalesce("home", "rep")).alias("component")
     )

@@ -102,6 +102,21 @@ def test_screen_loses_no_more_than_the_bands():
         assert sum(lost) <= (1 - threshold**bbit_minhash.ROWS) ** bbit_minhash.BANDS
 
 
+def test_copies_below_the_threshold_of_each_other_stay_apart(spark, monkeypatch):
+    """Texts alike at 0.5 to 0.7, some of them linked: more than a block of members meets in a bucket."""
+    monkeypatch.setattr(bbit_minhash, "BLOCK", 8)
+    base = sentence(150).split()
+    rows = []
+    for i in range(50):
+        copy = list(base)
+        for k in range(rng.choice([1, 4, 5, 6, 7])):
+            copy[rng.randrange(150)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    got = bbit_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain_components(rows)
+    assert len({r.component_id for r in got}) > 5
+
+
 def test_a_large_group_of_near_copies_is_one_component(spark):
     words = sentence(200).split()
     rows = []
@@ -121,8 +136,8 @@ def test_bit_estimate_is_near_the_similarity(spark):
     b = a[:900] + [f"b{i}".encode() for i in range(100)]
     x, y = (bbit_minhash.shingle_set(w, hashes) for w in (a, b))
     true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    df = spark.createDataFrame([tuple(bbit_minhash.packed_bits(bbit_minhash.minima(s)) for s in (x, y))], "a array<long>, b array<long>")
-    assert abs(df.select(bbit_minhash.estimate("a", "b")).first()[0] - true) < 0.12
+    packed = [np.array([bbit_minhash.packed_bits(bbit_minhash.minima(s))], np.int64).view(np.uint64) for s in (x, y)]
+    assert abs(bbit_minhash.estimate(*packed)[0, 0] - true) < 0.12 and bbit_minhash.agreeing(packed[0], packed[0])[0, 0] == bbit_minhash.HASHES
 
 
 def test_decontamination_matches_a_plain_search(spark, docs, none):
