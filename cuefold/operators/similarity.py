@@ -8,13 +8,17 @@ Scoring all pairs is quadratic, and so is listing all pairs of a popular tag or
 copies. Groups need only links that keep the components, so:
 
 1. *Hub links.* A shared reference, an equal tag set or an equal thesis reaches the threshold
-   alone. All holders of one are joined by linking each to the smallest id, a map-side combined
+   alone; so does a shared tag under one primary character, if neither has more than two tags. All
+   holders of one are joined by linking each to the smallest id, a map-side combined
    minimum, linear in the rows whatever the size of the group.
 2. *Cross links.* What is left are pairs of different hub groups. Each way to reach the
    threshold without a hub gives an exact block: the words a thesis must share (prefix filter
-   in order of rarity), alone or together with the character, tag or primary character that
+   in order of rarity), alone or together with the character, tag, episode or primary character that
    lowers the needed overlap. A block whose rows are all of one hub group is dropped, and in
-   the others only rows outside the block's largest hub group look for partners.
+   the others only rows outside the block's largest hub group look for partners, in tiles of `TILE` of
+   them. Two rows that meet at a word go on only if what is left of both theses from there allows the overlap.
+
+A candidate's project, where there is one, is part of its id: nothing meets across projects.
 """
 
 from __future__ import annotations
@@ -28,6 +32,11 @@ from cuefold.session import durable, spread
 
 THRESHOLD = 0.25
 W_THESIS, W_TAGS, W_REFS, W_CHARS = 0.40, 0.25, 0.20, 0.15
+#: Thesis overlaps that suffice under one primary character, in any and in a shared episode; tag overlap that does.
+SAME, SAME_NEAR, SAME_TAGS = 0.35, 0.20, 0.30
+#: Rows of a block that look for partners in one task.
+TILE = 2_000
+SEPARATOR = "\x1f"
 
 
 def _clean(values: str) -> Column:
@@ -35,20 +44,31 @@ def _clean(values: str) -> Column:
 
 
 def features(candidates: DataFrame) -> DataFrame:
-    """id, words, tags, refs, chars, primary, eps of each candidate; arrays are distinct.
+    """id, project, words, tags, refs, chars, primary, eps of each candidate; arrays are distinct.
 
-    `marks` are the words as 64-bit hashes, for screening pairs without moving their texts.
+    `marks` are the words as 64-bit hashes, for screening pairs without moving their texts. The id leads with the project.
     """
     words = tokens(F.concat_ws(" ", "title", "thesis", "subject"))
     held = F.filter(F.transform("ranges", lambda r: r["ref"]), lambda r: r.isNotNull() & (r != ""))
+    project = F.coalesce(F.col("project"), F.lit("")) if "project" in candidates.columns else F.lit("")
     worded = candidates.withColumn("words", words)
     return worded.select(
-        F.col("proposal_id").alias("id"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("marks"), _clean("tags").alias("tags"),
+        F.concat(project, F.lit(SEPARATOR), F.col("proposal_id")).alias("id"), project.alias("project"),
+        "words", F.transform("words", lambda w: F.xxhash64(w)).alias("marks"), _clean("tags").alias("tags"),
         F.array_union("refs", F.coalesce(held, F.array().cast("array<string>"))).alias("refs"), _clean("characters").alias("chars"),
         F.lower(F.trim(F.coalesce("primary_character", F.lit("")))).alias("primary"), F.array_distinct("episodes").alias("eps"),
     )
 
 
+def _own_id(column: str) -> Column:
+    """The candidate's own id, without its project."""
+    return F.substring_index(column, SEPARATOR, -1)
+
+
+def _project(column: str) -> Column:
+    return F.substring_index(column, SEPARATOR, 1)
+
+
 def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     """(a, b, score) for the given id pairs. Each overlap is counted once, then scored."""
     held = feats.select("id", F.struct("words", "tags", "refs", "chars", "primary", "eps").alias("f"))
@@ -64,7 +84,7 @@ def score_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     j = {c: F.when(F.col(f"{c}_n") > 0, F.col(c) / (F.col(f"{c}_n") - F.col(c))).otherwise(F.lit(0.0)) for c in ("words", "tags", "refs", "chars")}
     base = j["words"] * W_THESIS + j["tags"] * W_TAGS + j["refs"] * W_REFS + j["chars"] * W_CHARS
     same, near = F.col("same"), F.col("near")
-    lift = F.when(same & (j["words"] >= 0.35), 0.70).when(same & near & (j["words"] >= 0.2), 0.55).when(same & (j["tags"] >= 0.3), 0.50).otherwise(0.0)
+    lift = F.when(same & (j["words"] >= SAME), 0.70).when(same & near & (j["words"] >= SAME_NEAR), 0.55).when(same & (j["tags"] >= SAME_TAGS), 0.50).otherwise(0.0)
     proof = F.when(F.col("refs") > 0, 0.65).otherwise(0.0)
     return counted.select("a", "b", F.least(F.lit(1.0), F.greatest(base, lift, proof)).alias("score"))
 
@@ -73,7 +93,7 @@ def _may_reach(words: Column, threshold: float) -> Column:
     """Whether a pair without shared references can reach the threshold with `words` shared words."""
     jw = F.when(F.col("n") > 0, words / (F.col("n") - words)).otherwise(F.lit(0.0))
     base = jw * W_THESIS + F.col("jt") * W_TAGS + F.col("jc") * W_CHARS
-    lift = F.when(jw >= 0.35, 0.70).when(F.col("near") & (jw >= 0.2), 0.55).when(F.col("jt") >= 0.3, 0.50).otherwise(0.0)
+    lift = F.when(jw >= SAME, 0.70).when(F.col("near") & (jw >= SAME_NEAR), 0.55).when(F.col("jt") >= SAME_TAGS, 0.50).otherwise(0.0)
     return F.greatest(base, F.when(F.col("same"), lift).otherwise(0.0)) >= threshold - 1e-9
 
 
@@ -102,11 +122,12 @@ def screen_pairs(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFr
 
 def hub_links(feats: DataFrame) -> DataFrame:
     """(a, b): each candidate linked to the smallest id that shares a deciding feature with it."""
-    refs = feats.select("id", F.explode("refs").alias("v")).select("id", F.xxhash64(F.lit("ref"), "v").alias("k"), F.col("v").alias("k2"))
-    whole = lambda kind, column: feats.where(F.size(column) > 0).select(
-        "id", F.xxhash64(F.lit(kind), F.array_sort(column)).alias("k"), F.sha2(F.array_join(F.array_sort(column), "\x01"), 256).alias("k2")
-    )
-    marks = refs.unionByName(whole("tags", "tags")).unionByName(whole("words", "words"))
+    mark = lambda rows, kind, value: rows.select("id", F.xxhash64(F.lit(kind), "project", value).alias("k"), F.sha2(F.concat_ws("\x01", "project", value), 256).alias("k2"))
+    whole = lambda kind, column: mark(feats.where(F.size(column) > 0), kind, F.array_join(F.array_sort(column), "\x02"))
+    refs = mark(feats.select("id", "project", F.explode("refs").alias("v")), "ref", F.col("v"))
+    # One of at most three tags together is shared: an overlap of a third at least.
+    tagged = feats.where((F.col("primary") != "") & (F.size("tags") <= 2)).select("id", "project", "primary", F.explode("tags").alias("t"))
+    marks = refs.unionByName(whole("tags", "tags")).unionByName(whole("words", "words")).unionByName(mark(tagged, "told", F.concat_ws("\x02", "primary", "t")))
     hubs = marks.groupBy("k", "k2").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return (
         marks.join(hubs, ["k", "k2"]).where("id <> hub")
@@ -132,30 +153,58 @@ def rare_first(feats: DataFrame) -> DataFrame:
 
 
 def _blocks(feats: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(k, id): every block in which a pair over the threshold without a hub must meet.
+    """(k, id, size, rank, need, tags): every block in which a pair over the threshold without a hub must meet.
 
-    Block names are hashed to 64 bits; two names that collide only add pairs to verify.
+    Where a block is of a word, size and rank are the thesis's and the word's in it and `need` is the overlap that the
+    pair must have; where it depends on the tags, their number. Block names are hashed to 64 bits; two names that
+    collide only add pairs to verify.
     """
     prefix = lambda overlap: ranked.where(F.col("rank") <= _needed(F.col("size"), overlap))
-    key = lambda df, kind, *names: df.select(F.xxhash64(F.lit(kind), *names).alias("k"), "id")
+    none = F.lit(None)
+
+    def key(df: DataFrame, kind: str, names: tuple[str, ...], need: float | None = None, tags: Column = none) -> DataFrame:
+        size, rank = (F.col("size"), F.col("rank")) if "word" in names else (none, none)
+        return df.select(
+            F.xxhash64(F.lit(kind), "project", *names).alias("k"), "id", size.cast("int").alias("size"), rank.cast("int").alias("rank"),
+            F.lit(need).cast("double").alias("need"), tags.cast("int").alias("tags"),
+        )
+
+    named = feats.select("id", "project")
     # The thesis alone: 0.25 / 0.40.
-    alone = key(prefix(THRESHOLD / W_THESIS), "w", "word")
+    alone = key(prefix(THRESHOLD / W_THESIS).join(named, "id"), "w", ("word",), THRESHOLD / W_THESIS)
     # With a shared character: (0.25 - 0.15) / 0.40.
-    by_char = prefix((THRESHOLD - W_CHARS) / W_THESIS).join(feats.select("id", F.explode("chars").alias("c")), "id")
-    # Same primary character: thesis J of at least 0.20.
-    by_primary = prefix(0.2).join(feats.where("primary <> ''").select("id", "primary"), "id")
+    low = (THRESHOLD - W_CHARS) / W_THESIS
+    by_char = key(prefix(low).join(feats.select("id", "project", F.explode("chars").alias("c")), "id"), "c", ("c", "word"), low)
+    # Same primary character: a thesis overlap that does in any episode, or less in a shared one.
+    led = feats.where("primary <> ''")
+    by_primary = key(prefix(SAME).join(led.select("id", "project", "primary"), "id"), "p", ("primary", "word"), SAME)
+    by_episode = key(prefix(SAME_NEAR).join(led.select("id", "project", "primary", F.explode("eps").alias("e")), "id"), "e", ("primary", "e", "word"), SAME_NEAR)
     # With a shared tag among n: unequal tag sets have J of at most n / (n + 1).
-    tagged = feats.select("id", F.size("tags").alias("n"), F.explode("tags").alias("t"))
-    by_tag = ranked.join(tagged, "id").where(F.col("rank") <= _needed(F.col("size"), (THRESHOLD / W_THESIS) / (F.col("n") + 1)))
+    tagged = feats.select("id", "project", F.size("tags").alias("n"), F.explode("tags").alias("t"))
+    of_tag = ranked.join(tagged, "id").where(F.col("rank") <= _needed(F.col("size"), (THRESHOLD / W_THESIS) / (F.col("n") + 1)))
+    by_tag = key(of_tag, "t", ("t", "word"), None, F.col("n"))
     # Tags with the primary character, or with another shared character, may do without words.
-    tags = feats.select("id", "primary", "chars", F.explode("tags").alias("t"))
+    tags = feats.select("id", "project", "primary", "chars", F.explode("tags").alias("t"))
     return (
-        alone.unionByName(key(by_char, "c", "c", "word")).unionByName(key(by_primary, "p", "primary", "word"))
-        .unionByName(key(by_tag, "t", "t", "word")).unionByName(key(tags.where("primary <> ''"), "pt", "primary", "t"))
-        .unionByName(key(tags.select("id", "t", F.explode("chars").alias("c")), "tc", "t", "c"))
+        alone.unionByName(by_char).unionByName(by_primary).unionByName(by_episode).unionByName(by_tag)
+        .unionByName(key(tags.where("primary <> ''"), "pt", ("primary", "t"))).unionByName(key(tags.select("id", "project", "t", F.explode("chars").alias("c")), "tc", ("t", "c")))
     )
 
 
+def _may_overlap() -> Column:
+    """Whether two rows that meet at a word of theirs may have the overlap they need.
+
+    Words come in one order everywhere. Of a pair's shared words the first is the one that counts here: up to it nothing is
+    shared, so what is shared is no more than that word and the rest of the shorter remainder.
+    """
+    n, m = F.col("l.tags"), F.col("r.tags")
+    shared = F.when(n == m, n - 1).otherwise(F.least(n, m))
+    by_tags = (THRESHOLD - W_TAGS * shared / (n + m - shared)) / W_THESIS
+    need = F.coalesce("l.need", by_tags)
+    possible = 1 + F.least(F.col("l.size") - F.col("l.rank"), F.col("r.size") - F.col("r.rank"))
+    return F.coalesce(possible >= need / (1 + need) * (F.col("l.size") + F.col("r.size")) - 1e-6, F.lit(True))
+
+
 def cross_links(feats: DataFrame, hub_groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score): linked pairs of different hub groups.
 
@@ -164,27 +213,31 @@ def cross_links(feats: DataFrame, hub_groups: DataFrame, threshold: float = THRE
     marked = _blocks(feats, durable(rare_first(feats))).join(hub_groups, "id")
     mixed = marked.groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("k")
     live = durable(marked.join(mixed, "k", "left_semi"))
-    main = live.groupBy("k", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("group", "n").alias("main"))
+    counts = live.groupBy("k", "group").agg(F.count(F.lit(1)).alias("n"))
     # Every pair of different groups has a row outside the largest one: only those seek partners.
-    told = live.join(main, "k")
-    seekers = told.where(F.col("group") != F.col("main")).select("k", F.col("id").alias("s"), F.col("group").alias("gs"))
-    others = told.select("k", F.col("id").alias("o"), F.col("group").alias("go"), "main")
-    met = seekers.join(others, "k").where((F.col("gs") != F.col("go")) & ((F.col("go") == F.col("main")) | (F.col("s") < F.col("o"))))
-    pairs = met.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    main = counts.groupBy("k").agg(F.max_by("group", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    tiles = F.ceil((F.col("all") - F.col("most")) / TILE).cast("int")
+    told = live.join(main.select("k", "main", tiles.alias("tiles")), "k")
+    seekers = told.where(F.col("group") != F.col("main")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).alias("l")
+    others = told.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("r")
+    apart = (F.col("l.group") != F.col("r.group")) & ((F.col("r.group") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+    met = seekers.join(others, (F.col("l.k") == F.col("r.k")) & (F.col("l.tile") == F.col("r.tile")) & apart & _may_overlap())
+    pairs = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     likely = durable(screen_pairs(pairs, feats, threshold))
     return score_pairs(likely, feats).where(F.col("score") >= threshold)
 
 
 def similar_links(candidates: DataFrame) -> DataFrame:
-    """(a, b, score): hub links and cross links, which have the components of all linked pairs."""
+    """(project, a, b, score): hub links and cross links, which have the components of all linked pairs."""
     feats = durable(features(candidates))
     hubs = durable(hub_links(feats))
-    groups = connected_components(feats, hubs)
-    return score_pairs(hubs, feats).unionByName(cross_links(feats, groups))
+    groups = durable(connected_components(feats, hubs))
+    links = score_pairs(hubs, feats).unionByName(cross_links(feats, groups))
+    return links.select(_project("a").alias("project"), _own_id("a").alias("a"), _own_id("b").alias("b"), "score")
 
 
 def candidate_groups(candidates: DataFrame) -> DataFrame:
-    """(proposal_id, group_id): candidates with the smallest id of their group; singletons stay."""
+    """(project, proposal_id, group_id): candidates with the smallest id of their group; singletons stay."""
     feats = durable(features(candidates))
     hubs = durable(hub_links(feats))
     groups = durable(connected_components(feats, hubs))
@@ -193,4 +246,4 @@ def candidate_groups(candidates: DataFrame) -> DataFrame:
     left, right = groups.select(F.col("id").alias("a"), F.col("group").alias("ga")), groups.select(F.col("id").alias("b"), F.col("group").alias("gb"))
     lifted = across.join(left, "a").join(right, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
     top = connected_components(groups.select(F.col("group").alias("id")).distinct(), lifted).select(F.col("group").alias("top"), F.col("id").alias("group"))
-    return groups.join(top, "group").select(F.col("id").alias("proposal_id"), F.col("top").alias("group_id"))
+    return groups.join(top, "group").select(_project("id").alias("project"), _own_id("id").alias("proposal_id"), _own_id("top").alias("group_id"))

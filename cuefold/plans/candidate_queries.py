@@ -36,11 +36,12 @@ def _components_sql(links: str, name: str) -> str:
 
 @query("candidate_groups", f"{C}, {SCORES}, linked AS MATERIALIZED (SELECT a, b FROM scored WHERE score >= 0.25), {_components_sql('linked', 'comp')} SELECT id AS proposal_id, grp AS group_id FROM comp")
 def candidate_groups(spark, folder):
-    return sim.candidate_groups(b.candidates(spark, folder))
+    return sim.candidate_groups(b.candidates(spark, folder)).drop("project")
 
 
 @query("similar_links", f"""{C}, {SCORES}, marks AS (SELECT id, 'r' || unnest(refs) AS k FROM cand UNION ALL SELECT id, 't' || array_to_string(list_sort(tags), '|') FROM cand
-  UNION ALL SELECT id, 'w' || array_to_string(list_sort(words), '|') FROM cand WHERE len(words) > 0),
+  UNION ALL SELECT id, 'w' || array_to_string(list_sort(words), '|') FROM cand WHERE len(words) > 0
+  UNION ALL SELECT id, 'p' || prim || '|' || unnest(tags) FROM cand WHERE prim <> '' AND len(tags) <= 2),
 hubs AS (SELECT DISTINCT h.hub AS a, m.id AS b FROM marks m JOIN (SELECT k, min(id) AS hub FROM marks GROUP BY k) h USING (k) WHERE m.id <> h.hub),
 {_components_sql('hubs', 'hc')}
 SELECT s.a, s.b, floor(s.score * 1000000000 + 0.5) AS score_nano FROM scored s JOIN hubs USING (a, b)

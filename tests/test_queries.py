@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-SLOW = {"similar_links", "candidate_groups"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n in ORACLES and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n in ORACLES))
 def test_query_matches_its_oracle(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     rel = con.execute(ORACLES[name])
