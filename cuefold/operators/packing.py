@@ -20,6 +20,8 @@ from cuefold.operators.ranking import ranked
 from cuefold.session import durable
 
 BLOCK = 4096
+#: Blocks whose functions one task composes.
+FAN = 64
 EP = ["episode_id"]
 
 
@@ -87,7 +89,7 @@ def greedy_groups(units: DataFrame, keys: Sequence[str], room: int, max_items: i
 
     Greedy packing is sequential, but a block of positions is a small function from where a group
     starts in it to where the next block is entered. Those functions are found per (key, block)
-    in parallel, composed per key (one short row per block), and applied per block.
+    in parallel, composed in a tree of `FAN` blocks a node, and applied per block: no task holds a key.
     """
     block = max(BLOCK, max_items)
     at = F.floor(F.col("pos") / block).cast("bigint")
@@ -114,14 +116,6 @@ def greedy_groups(units: DataFrame, keys: Sequence[str], room: int, max_items: i
         entry = [int(out[e]) if e < n_own else e - n_own for e in range(max_items)]
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "exits": entry}])
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block", kind="stable")
-        entry, entries = 0, []
-        for row in pdf["exits"]:
-            entries.append(entry)
-            entry = int(row[entry])
-        return pdf[by].assign(entry=entries)
-
     def starts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, n_own, nxt = steps(pdf)
         flag = np.zeros(n_own, np.int64)
@@ -132,13 +126,46 @@ def greedy_groups(units: DataFrame, keys: Sequence[str], room: int, max_items: i
         return pdf.iloc[:n_own][[*keys, "pos"]].assign(opens=flag)
 
     maps = rows.groupBy(*by).applyInPandas(exits, f"{key_schema}, _block bigint, exits array<bigint>")
-    entered = maps.groupBy(*keys).applyInPandas(compose, f"{key_schema}, _block bigint, entry bigint")
+    entered = block_entries(maps, keys, key_schema)
     flags = rows.join(entered, by).groupBy(*by).applyInPandas(starts, f"{key_schema}, pos bigint, opens bigint")
     numbered = running_sum(flags, keys, "pos", F.col("opens"), "_before")
     group = numbered.select(*keys, "pos", (F.col("_before") + F.col("opens") - 1).alias("group_no"))
     return units.join(group, [*keys, "pos"])
 
 
+def block_entries(maps: DataFrame, keys: Sequence[str], key_schema: str) -> DataFrame:
+    """(keys, _block, entry): where each block is entered, from 0 into the first.
+
+    maps: keys, _block, exits: for every place where a block may be entered the place in the next one.
+    `FAN` neighbours make one such function, these make functions again until one is left; then
+    each node, entered at a known place, passes its members theirs.
+    """
+    maps = durable(maps)
+    if maps.where("_block > 0").isEmpty():
+        return maps.select(*keys, "_block", F.lit(0).cast("bigint").alias("entry"))
+    grouped = maps.withColumn("_node", F.floor(F.col("_block") / FAN))
+    at = [*keys, "_node"]
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        chain = [np.asarray(e) for e in pdf.sort_values("_block")["exits"]]
+        place = np.arange(len(chain[0]))
+        for exits in chain:
+            place = exits[place]
+        return pdf[at].head(1).assign(exits=[place])
+
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        place, entries = int(pdf["entry"].iloc[0]), []
+        for exits in pdf["exits"]:
+            entries.append(place)
+            place = int(exits[place])
+        return pdf[[*keys, "_block"]].assign(entry=entries)
+
+    nodes = grouped.groupBy(*at).applyInPandas(joined, f"{key_schema}, _node bigint, exits array<bigint>").withColumnRenamed("_node", "_block")
+    higher = block_entries(nodes, keys, key_schema).withColumnRenamed("_block", "_node")
+    return grouped.join(higher, at).groupBy(*at).applyInPandas(passed, f"{key_schema}, _block bigint, entry bigint")
+
+
 def season_batches(items: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """Batches of three or four in order (five make three and two); adds `batch_no`.
 

@@ -134,6 +134,7 @@ def greedy_loop(sizes, room, most):
 @pytest.mark.parametrize("most", [1, 4, 50])
 def test_greedy_groups_equal_a_walk_across_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(packing, "BLOCK", 64)
+    monkeypatch.setattr(packing, "FAN", 3)
     rng = random.Random(most)
     data = {"hot": [rng.randint(1, 120) for _ in range(900)], "b": [200], "c": [rng.randint(1, 30) for _ in range(64)]}
     rows = [(k, i, v) for k, vs in data.items() for i, v in enumerate(vs)]
