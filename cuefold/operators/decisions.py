@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.functions.text import jaccard, tokens
+from cuefold.operators.graph import resolve_chains
 from cuefold.operators.grounding import corrected_scope
 from cuefold.session import durable
 
@@ -59,6 +60,18 @@ def first_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def chained(decisions: DataFrame) -> DataFrame:
+    """One decision per candidate, the first given, in which a merge names where its target was merged to in the end.
+
+    A merge into a cycle ends where the walk would come back to an id.
+    """
+    said = decisions.withColumn("candidate_id", F.trim("candidate_id")).where("candidate_id <> ''")
+    first = durable(said.groupBy("candidate_id").agg(F.min_by(F.struct("ordinal", "action", "reason_code", "target_id"), "ordinal").alias("_d")).select("candidate_id", "_d.*"))
+    merges = first.where("action = 'MERGE' AND target_id <> ''")
+    ends = resolve_chains(merges.select(F.col("candidate_id").alias("id"), F.col("target_id").alias("target"))).select(F.col("id").alias("candidate_id"), F.col("target").alias("_end"))
+    return first.join(ends, "candidate_id", "left").withColumn("target_id", F.coalesce("_end", "target_id")).drop("_end")
+
+
 def constituents(candidates: DataFrame, decisions: DataFrame, consolidated: DataFrame) -> DataFrame:
     """(proposal_id, input_id): inputs behind each consolidated candidate.
 
@@ -79,13 +92,28 @@ def _tenth(ms: str) -> Column:
     return F.bround(F.col(ms) / 100).cast("bigint")
 
 
+PEOPLE = {"primary_character": "string", "supporting_characters": "array<string>", "facts": "array<string>", "hooks": "array<string>"}
+
+
+def _with_people(df: DataFrame) -> DataFrame:
+    """The table with every column of `PEOPLE`, none of them null."""
+    empty = {c: F.lit("") if t == "string" else F.array().cast(t) for c, t in PEOPLE.items()}
+    return df.withColumns({c: F.coalesce(F.col(c), e) if c in df.columns else e for c, e in empty.items()})
+
+
 def merge_unions(parts: DataFrame, candidates: DataFrame, consolidated: DataFrame) -> DataFrame:
     """Grounded union of each consolidated candidate and its inputs.
 
     Its own ranges count only near an input's range in the same episode (starts within two
-    seconds) or with a reference of an input; every input range is kept once per tenth of a second.
+    seconds) or with a reference of an input; every input range is kept once per tenth of a second. The characters
+    are those of the inputs, the primary and supporting ones too, and its own; so are facts and hooks. Without a
+    primary character it takes that of its first input, itself before others; without supporting ones all others.
+    Columns that a table lacks count as empty.
     """
+    candidates, consolidated = (_with_people(df) for df in (candidates, consolidated))
     inputs = parts.join(candidates.withColumnRenamed("proposal_id", "input_id"), "input_id")
+    led = F.filter(F.array("primary_character"), lambda c: c != "")
+    inputs = inputs.withColumn("characters", F.array_distinct(F.concat("characters", led, "supporting_characters")))
     refs = inputs.select("proposal_id", F.explode("refs").alias("ref")).distinct()
     allowed = inputs.select("proposal_id", F.explode("ranges").alias("r")).select("proposal_id", "r.episode_id", "r.start_ms", "r.end_ms")
     allowed = allowed.groupBy("proposal_id", "episode_id", _tenth("start_ms").alias("s"), _tenth("end_ms").alias("e")).agg(
@@ -112,29 +140,36 @@ def merge_unions(parts: DataFrame, candidates: DataFrame, consolidated: DataFram
             rows = rows.unionByName(consolidated.join(parts.select("proposal_id").distinct(), "proposal_id", "left_semi").select("proposal_id", F.explode(column).alias("v")))
         return rows.distinct().groupBy("proposal_id").agg(F.array_sort(F.collect_list("v")).alias(column))
 
-    out = consolidated.select("proposal_id", "scope").join(parts.select("proposal_id").distinct(), "proposal_id", "left_semi")
-    out = out.join(spans, "proposal_id", "left")
-    for column in ("episodes", "characters", "refs"):
+    unions = ("episodes", "characters", "refs", "facts", "hooks")
+    first = inputs.groupBy("proposal_id").agg(F.min_by("primary_character", F.struct(F.col("input_id") != F.col("proposal_id"), "input_id")).alias("_led"))
+    out = consolidated.select("proposal_id", "scope", "primary_character", "supporting_characters").join(parts.select("proposal_id").distinct(), "proposal_id", "left_semi")
+    out = out.join(spans, "proposal_id", "left").join(first, "proposal_id", "left")
+    for column in unions:
         out = out.join(union(column), "proposal_id", "left")
-    empty = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("episodes", "characters", "refs")}
-    out = out.withColumns(empty)
+    out = out.withColumns({c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in unions})
+    out = out.withColumn("primary_character", F.when(F.col("primary_character") != "", F.col("primary_character")).otherwise(F.coalesce("_led", F.lit("")))).drop("_led")
+    others = F.array_except("characters", F.array("primary_character"))
+    out = out.withColumn("supporting_characters", F.when(F.size("supporting_characters") > 0, F.col("supporting_characters")).otherwise(others))
     return out.withColumn("scope", corrected_scope(F.col("scope"), F.size("episodes")))
 
 
 def reconcile(candidates: DataFrame, decisions: DataFrame, consolidated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(final decisions, survivors). Every input is decided once; nothing made up survives."""
+    """(final decisions, survivors). Every input is decided once; nothing made up survives.
+
+    Merges are followed to their end first, so A into B into C gives A's ranges and people to C.
+    """
     # Decisions and parts are narrow and used several times: made durable, not recomputed.
-    decided = durable(first_decisions(candidates, decisions))
+    decided = durable(first_decisions(candidates, chained(decisions)))
     parts = constituents(candidates, decided, consolidated)
     actions = decided.select(F.col("candidate_id").alias("input_id"), "action")
     dead = parts.join(actions, "input_id", "left").groupBy("proposal_id").agg(F.bool_and(F.col("action") == "REJECT").alias("dead")).where("dead")
     parts = durable(parts.join(dead, "proposal_id", "left_anti"))
     merged = durable(merge_unions(parts, candidates, consolidated))
     kept = decided.where("action = 'KEEP'").join(merged.select(F.col("proposal_id").alias("candidate_id")), "candidate_id", "left_anti")
-    judged = kept.select(F.col("candidate_id").alias("proposal_id")).join(candidates, "proposal_id").withColumn("_issue", quality_issue())
+    judged = kept.select(F.col("candidate_id").alias("proposal_id")).join(_with_people(candidates), "proposal_id").withColumn("_issue", quality_issue())
     alone = judged.where("_issue is null").select(
         "proposal_id", "scope", F.transform("ranges", lambda r: F.struct(r["episode_id"].alias("episode_id"), r["start_ms"].alias("start_ms"), r["end_ms"].alias("end_ms"))).alias("ranges"),
-        "episodes", "characters", "refs",
+        "episodes", "characters", "refs", *PEOPLE,
     )
     weak = judged.where("_issue is not null").select(F.col("proposal_id").alias("candidate_id"), F.lit(True).alias("_weak"))
     bad = F.coalesce("_weak", F.lit(False))

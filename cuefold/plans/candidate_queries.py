@@ -90,14 +90,19 @@ def recovered_candidates(spark, folder):
     return out.select("proposal_id", F.size("refs").cast("bigint").alias("refs"), "issue")
 
 
-DECIDED = f"""{b.DECISIONS_SQL}, fd AS (SELECT candidate_id, arg_min(action, ordinal) AS action, arg_min(reason_code, ordinal) AS reason_code, arg_min(target_id, ordinal) AS target_id FROM dec GROUP BY 1),
+_DECIDED = """fd AS (SELECT candidate_id, arg_min(action, ordinal) AS action, arg_min(reason_code, ordinal) AS reason_code, arg_min(target_id, ordinal) AS target_id FROM dec GROUP BY 1),
+ch(id, hop, n) AS (SELECT candidate_id, target_id, 0 FROM fd WHERE action = 'MERGE' AND target_id <> '' UNION ALL SELECT ch.id, fd.target_id, n + 1 FROM ch JOIN fd ON fd.candidate_id = ch.hop AND fd.action = 'MERGE' AND fd.target_id <> ''),
+ends AS (SELECT id, arg_max(hop, n) AS hop FROM ch GROUP BY id),
+cd AS (SELECT candidate_id, action, reason_code, coalesce(hop, target_id) AS target_id FROM fd LEFT JOIN ends ON id = candidate_id),
 d1 AS (SELECT c.id AS candidate_id, coalesce(action, 'KEEP') AS action, CASE WHEN action IS NULL THEN 'conservative_keep' WHEN action = 'REJECT' AND reason_code = '' THEN 'weak_evidence' ELSE reason_code END AS reason_code,
-  coalesce(target_id, '') AS target_id FROM cand c LEFT JOIN fd ON c.id = fd.candidate_id),
+  coalesce(target_id, '') AS target_id FROM cand c LEFT JOIN given ON c.id = given.candidate_id),
 d2 AS (SELECT d.candidate_id, d.target_id, d.action, d.reason_code, action = 'MERGE' AND a.prim = t.prim AND trim(a.thesis) <> trim(t.thesis)
    AND len(list_intersect(a.words, t.words)) / len(list_distinct(list_concat(a.words, t.words))) < 0.20 AS apart
   FROM d1 d JOIN cand a ON a.id = d.candidate_id LEFT JOIN cand t ON t.id = d.target_id),
 decided AS (SELECT candidate_id, CASE WHEN coalesce(apart, false) THEN 'KEEP' ELSE action END AS action, CASE WHEN coalesce(apart, false) THEN 'distinct_thesis' ELSE reason_code END AS reason_code,
   CASE WHEN coalesce(apart, false) THEN '' ELSE target_id END AS target_id FROM d2)"""
+#: Decisions as given, and with merges followed to their ends.
+DECIDED, CHAINED = (f"{b.DECISIONS_SQL}, {_DECIDED.replace('given', name)}" for name in ("fd", "cd"))
 
 
 @query("first_decisions", f"{C}, {DECIDED} SELECT * FROM decided")
@@ -111,9 +116,9 @@ def _consolidated(spark, folder):
     number = F.substring("proposal_id", 2, 7).try_cast("bigint")
     moved = F.transform("ranges", lambda r: F.struct(r["episode_id"].alias("episode_id"), (r["start_ms"] + 1500).alias("start_ms"), r["end_ms"].alias("end_ms"), r["ref"].alias("ref")))
     invented = F.array(F.struct(F.lit("2024-01-01").alias("episode_id"), F.lit(90000000).cast("bigint").alias("start_ms"), F.lit(90001000).cast("bigint").alias("end_ms"), F.lit("made up").alias("ref")))
-    real = c.where((number % 10).isin(0, 2)).withColumn("ranges", F.concat(moved, invented)).withColumn("characters", F.array(F.lit("zed")))
-    fake = c.where(number % 10 == 5).withColumn("proposal_id", F.concat(F.lit("x"), "proposal_id")).withColumn("title", F.lit("No such title"))
-    return real.unionByName(fake).select("proposal_id", "title", "scope", "episodes", "characters", "refs", "ranges")
+    real = c.where((number % 10).isin(0, 2)).withColumn("ranges", F.concat(moved, invented)).withColumn("characters", F.array(F.lit("zed"))).withColumn("facts", F.array(F.concat(F.lit("fact of "), "proposal_id")))
+    fake = c.where(number % 10 == 5).withColumn("facts", F.array().cast("array<string>")).withColumn("proposal_id", F.concat(F.lit("x"), "proposal_id")).withColumn("title", F.lit("No such title"))
+    return real.unionByName(fake).select("proposal_id", "title", "scope", "episodes", "characters", "refs", "ranges", "facts")
 
 
 SURVIVED = """cons AS (SELECT * FROM cand WHERE doc_id % 10 IN (0, 2)),
@@ -121,39 +126,40 @@ parts AS (SELECT id AS pid, id AS input FROM cons UNION SELECT target_id, candid
 live AS (SELECT pid FROM parts JOIN decided ON candidate_id = input GROUP BY pid HAVING NOT bool_and(action = 'REJECT')),
 lp AS (SELECT * FROM parts WHERE pid IN (SELECT pid FROM live)),
 epu AS (SELECT pid, unnest(c.eps) AS v FROM lp JOIN cand c ON c.id = input UNION SELECT id, unnest(eps) FROM cons WHERE id IN (SELECT pid FROM live)),
-chu AS (SELECT pid, unnest(c.chars) AS v FROM lp JOIN cand c ON c.id = input UNION SELECT pid, 'zed' FROM live),
+chu AS (SELECT pid, unnest(list_append(c.chars, c.prim)) AS v FROM lp JOIN cand c ON c.id = input UNION SELECT pid, 'zed' FROM live),
 rfu AS (SELECT DISTINCT pid, unnest(c.refs) AS v FROM lp JOIN cand c ON c.id = input),
 m AS (SELECT l.pid AS id, c.scope, (SELECT string_agg(v, ',' ORDER BY v) FROM epu WHERE epu.pid = l.pid) AS episodes, (SELECT count(*) FROM epu WHERE epu.pid = l.pid) AS n_eps,
   (SELECT string_agg(v, ',' ORDER BY v) FROM chu WHERE chu.pid = l.pid) AS characters, (SELECT count(*) FROM rfu WHERE rfu.pid = l.pid) AS n_refs,
   1 + (SELECT count(DISTINCT (k.eps[1], round_even(k.start_ms / 100, 0), round_even(k.end_ms / 100, 0))) FROM lp JOIN cand k ON k.id = lp.input WHERE lp.pid = l.pid) AS n_ranges
-  FROM live l JOIN cons c ON c.id = l.pid),
-alone AS (SELECT c.id, c.scope, array_to_string(c.eps, ',') AS episodes, len(c.eps) AS n_eps, c.chars[1] AS characters, len(c.refs) AS n_refs, 1 AS n_ranges, c.confidence < 0.35 AS weak
+  , c.prim, (SELECT string_agg(v, ',' ORDER BY v) FROM chu WHERE chu.pid = l.pid AND v <> c.prim) AS supporting FROM live l JOIN cons c ON c.id = l.pid),
+alone AS (SELECT c.id, c.scope, array_to_string(c.eps, ',') AS episodes, len(c.eps) AS n_eps, c.chars[1] AS characters, len(c.refs) AS n_refs, 1 AS n_ranges, c.confidence < 0.35 AS weak, c.prim
   FROM decided JOIN cand c ON c.id = candidate_id WHERE action = 'KEEP' AND candidate_id NOT IN (SELECT id FROM m)),
 final AS (SELECT d.candidate_id, CASE WHEN coalesce(a.weak, false) THEN 'REJECT' ELSE action END AS action, CASE WHEN coalesce(a.weak, false) THEN 'weak_evidence' ELSE reason_code END AS reason_code, target_id
   FROM decided d LEFT JOIN alone a ON a.id = d.candidate_id),
 survivors AS (SELECT id AS proposal_id, CASE WHEN n_eps > 1 AND scope = 'SINGLE_EPISODE' THEN 'CROSS_EPISODE' WHEN n_eps = 1 AND scope <> 'SINGLE_EPISODE' THEN 'SINGLE_EPISODE' ELSE scope END AS scope, episodes, characters,
-    CAST(n_refs AS BIGINT) AS refs, CAST(n_ranges AS BIGINT) AS ranges FROM m
-  UNION ALL SELECT id, scope, episodes, characters, CAST(n_refs AS BIGINT), n_ranges FROM alone WHERE NOT weak)"""
+    CAST(n_refs AS BIGINT) AS refs, CAST(n_ranges AS BIGINT) AS ranges, prim AS primary_character, supporting AS supporting_characters, 'fact of ' || id AS facts FROM m
+  UNION ALL SELECT id, scope, episodes, characters, CAST(n_refs AS BIGINT), n_ranges, prim, '', '' FROM alone WHERE NOT weak)"""
 
 
 def _reconciled(spark, folder):
     return dc.reconcile(b.candidates(spark, folder), b.decisions(spark, folder), _consolidated(spark, folder))
 
 
-@query("final_decisions", f"{C}, {DECIDED}, {SURVIVED} SELECT * FROM final")
+@query("final_decisions", f"{C}, {CHAINED}, {SURVIVED} SELECT * FROM final")
 def final_decisions(spark, folder):
     return _reconciled(spark, folder)[0]
 
 
-@query("surviving_candidates", f"{C}, {DECIDED}, {SURVIVED} SELECT * FROM survivors")
+@query("surviving_candidates", f"{C}, {CHAINED}, {SURVIVED} SELECT * FROM survivors")
 def surviving_candidates(spark, folder):
     s = _reconciled(spark, folder)[1]
-    flat = {c: F.array_join(c, ",") for c in ("episodes", "characters")}
+    flat = {c: F.array_join(c, ",") for c in ("episodes", "characters", "supporting_characters", "facts")}
+    s = s.drop("hooks")
     sizes = {c: F.size(c).cast("bigint") for c in ("refs", "ranges")}
     return s.withColumns({**flat, **sizes})
 
 
-@query("decision_counts", f"{C}, {DECIDED}, {SURVIVED} SELECT count(*) FILTER (action = 'KEEP') AS kept, count(*) FILTER (action = 'MERGE') AS merged, count(*) FILTER (action = 'REJECT') AS rejected, (SELECT count(*) FROM survivors) AS eligible FROM final")
+@query("decision_counts", f"{C}, {CHAINED}, {SURVIVED} SELECT count(*) FILTER (action = 'KEEP') AS kept, count(*) FILTER (action = 'MERGE') AS merged, count(*) FILTER (action = 'REJECT') AS rejected, (SELECT count(*) FROM survivors) AS eligible FROM final")
 def decision_counts(spark, folder):
     return dc.decision_counts(*_reconciled(spark, folder))
 
