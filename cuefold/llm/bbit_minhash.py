@@ -24,8 +24,8 @@ LONGS = HASHES // PER_LONG
 THRESHOLD = 0.75
 #: Hubs of a bucket grow by this factor from round to round.
 DRAW = 8
-#: Members of a bucket compared with as many hubs at once.
-BLOCK = 64
+#: Members of a bucket that are compared with its hubs at once; those of larger ones stand in blocks of about `TILE`.
+BLOCK, TILE = 64, 128
 
 _generator = np.random.default_rng(20_24)
 FACTORS = _generator.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,37 +138,34 @@ def screen(threshold: float) -> float:
     return ((fewest_agreeing(threshold) - 0.5) / HASHES - chance) / (1 - chance)
 
 
-def blocks(rows: DataFrame, size: Column, name: str) -> DataFrame:
-    """(bucket, `name`): the members of a bucket in blocks of about `BLOCK`, dealt by a hash; size: how many the bucket has."""
-    at = F.pmod(F.xxhash64("rep"), F.ceil(size / BLOCK))
-    return rows.groupBy("bucket", at.alias(f"{name}_at")).agg(F.collect_list(F.struct("rep", "home", "n", "code")).alias(name))
+def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+    """(bucket, `name`): a bucket's members, together if they are few, else block by block; size: how many the bucket has."""
+    at = F.when(F.col(size) > BLOCK, F.col("block")).otherwise(F.lit(0).cast("bigint"))
+    return rows.groupBy("bucket", at.alias(f"{name}_at")).agg(F.collect_list(F.struct("rep", "home", "n", "block", "code")).alias(name))
 
 
-def candidates(live: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
-    """(tile, a, b): pairs of members with hubs of their bucket that may reach the threshold, all of two blocks in a row.
+def candidates(live: DataFrame, hubs: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """(one, two, a, b): pairs of members with hubs of their bucket that may reach the threshold, all of two blocks in a row.
 
     A pair counts in the first bucket it shares, if it is not connected yet, if its sizes allow the threshold and
     its signatures agree often enough. Where everyone is a hub, one of the two asks.
     """
     sizes = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_live")).join(hubs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_hubs"), F.first("everyone").alias("everyone")), "bucket")
-    mine = blocks(live.join(sizes.select("bucket", "n_live"), "bucket"), F.col("n_live"), "members")
-    theirs = blocks(hubs.join(sizes.select("bucket", "n_hubs"), "bucket"), F.col("n_hubs"), "hubs")
+    mine = blocks(live.join(sizes.select("bucket", "n_live"), "bucket").join(codes, "rep"), "n_live", "members")
+    theirs = blocks(hubs.join(sizes.select("bucket", "n_hubs"), "bucket").join(codes, "rep"), "n_hubs", "hubs")
     met = mine.join(theirs, "bucket").join(sizes.select("bucket", "everyone"), "bucket").select("bucket", "everyone", "members", "hubs")
-    schema = pa.schema([("tile", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+    schema = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
     fewest, per_cent = fewest_agreeing(threshold), round(threshold * 100)
 
     def unpacked(members: list[dict]) -> tuple[np.ndarray, ...]:
         column = lambda name: np.array([m[name] for m in members], dtype=np.int64)
         codes = np.frombuffer(b"".join(m["code"] for m in members), np.uint64).reshape(len(members), -1)
-        return column("rep"), column("home"), column("n"), codes[:, :LONGS], codes[:, LONGS:].view(np.int64)
+        return column("rep"), column("home"), column("n"), column("block"), codes[:, :LONGS], codes[:, LONGS:].view(np.int64)
 
     def run(rows):
-        from pyspark import TaskContext
-
-        tile = TaskContext.get().partitionId() << 40
         for bucket, everyone, members, heads in rows:
-            rep, home, n, bits, bands = unpacked(members)
-            hub, hub_home, hub_n, hub_bits, hub_bands = unpacked(heads)
+            rep, home, n, block, bits, bands = unpacked(members)
+            hub, hub_home, hub_n, hub_block, hub_bits, hub_bands = unpacked(heads)
             other = home[:, None] < hub_home if everyone else home[:, None] != hub_home
             fits = other & (100 * np.minimum(n[:, None], hub_n) >= per_cent * np.maximum(n[:, None], hub_n))
             if not fits.any():
@@ -177,11 +174,17 @@ def candidates(live: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
             same = bands[i] == hub_bands[j]
             first = bands[i, same.argmax(axis=1)] == bucket
             i, j = i[first], j[first]
-            if len(i):
-                tile += 1
-                yield tile, np.minimum(rep[i], hub[j]).tolist(), np.maximum(rep[i], hub[j]).tolist()
+            found: dict[tuple[int, int], tuple[list, list]] = {}
+            pairs = (np.minimum(block[i], hub_block[j]), np.maximum(block[i], hub_block[j]), np.minimum(rep[i], hub[j]), np.maximum(rep[i], hub[j]))
+            for one, two, a, b in zip(*(p.tolist() for p in pairs)):
+                lists = found.setdefault((one, two), ([], []))
+                lists[0].append(a)
+                lists[1].append(b)
+            for (one, two), (a, b) in found.items():
+                yield one, two, a, b
 
-    return met.mapInArrow(arrow_rows(run, schema, 500), "tile long, a array<long>, b array<long>")
+    pairs = met.mapInArrow(arrow_rows(run, schema, 500), "one long, two long, a array<long>, b array<long>")
+    return pairs.groupBy("one", "two").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
 
 
 def confirmed(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -206,9 +209,9 @@ def confirmed(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 if any(reaches(x, y) for x in held[one] for y in held[two]):
                     yield one, two
 
-    needed = tiles.select("tile", F.explode(F.array_union("a", "b")).alias("doc_id"))
-    brought = needed.join(sets, "doc_id").groupBy("tile").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("members"))
-    return tiles.join(brought, "tile").select("a", "b", "members").mapInArrow(arrow_rows(run, schema, 10_000), "a long, b long")
+    needed = tiles.select("one", "two", F.explode(F.array_union("a", "b")).alias("doc_id"))
+    brought = needed.join(sets, "doc_id").groupBy("one", "two").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("members"))
+    return tiles.join(brought, ["one", "two"]).select("a", "b", "members").mapInArrow(arrow_rows(run, schema, 10_000), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -232,12 +235,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = reps.where(F.size("bands") > 0).select("rep", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = durable(members.join(full, "bucket"))
-    # How many others a document meets over all its buckets: the original of many copies meets the most.
-    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    # Most documents meet nobody; signatures travel only with the rest.
-    members = first_members = durable(shared.select("bucket", "rep").join(reps.where(F.size("bands") > 0).select("rep", "n", "code"), "rep").join(weight, "rep"))
+    # How many others a document meets over all its buckets: the original of many copies meets the most. Documents
+    # whose largest bucket is the same stand in blocks of it, so that those alike stand together.
+    top = F.max(F.struct("n", "bucket"))
+    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"), top.alias("top")).select(
+        "rep", "weight", F.xxhash64("top.bucket", F.pmod(F.xxhash64("rep"), F.ceil(F.col("top.n") / TILE))).alias("block")
+    )
+    members = first_members = durable(shared.select("bucket", "rep").join(weight, "rep"))
     discard(shared)
     nodes = durable(members.select(F.col("rep").alias("id")).distinct())
+    # Most documents meet nobody; signatures and sets are kept only of the rest.
+    codes = durable(reps.where(F.size("bands") > 0).select("rep", "n", "code").join(nodes.withColumnRenamed("id", "rep"), "rep"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(shingle_sets(texts.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")))
     home = durable(nodes.select(F.col("id").alias("rep"), F.col("id").alias("home")))
@@ -254,27 +262,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # buckets; once that would be all components, every member is a hub and the bucket is done.
         share = F.lit(float(DRAW ** (turn - 1) if turn else 0))
         heads = live.where(F.col("homes") > share).groupBy("bucket", "home").agg(
-            F.max_by(F.struct("rep", "n", "code"), F.struct("weight", "rep")).alias("head"), F.max("weight").alias("weight"), F.first("homes").alias("homes")
+            F.max_by(F.struct("rep", "block"), F.struct("weight", "rep")).alias("head"), F.max("weight").alias("weight"), F.first("homes").alias("homes")
         )
         best = heads.groupBy("bucket").agg(F.max(F.struct("weight", "home")).alias("best"))
         drawn = F.pmod(F.xxhash64("home", F.lit(turn)), F.lit(1 << 20)) * F.col("homes") <= F.lit(1 << 20) * share
         heads = heads.join(best, "bucket").where(drawn | (F.col("best.home") == F.col("home"))).select("bucket", "home", "head.*", F.lit(False).alias("everyone"))
-        everyone = live.where(F.col("homes") <= share).select("bucket", "home", "rep", "n", "code", F.lit(True).alias("everyone"))
+        everyone = live.where(F.col("homes") <= share).select("bucket", "home", "rep", "block", F.lit(True).alias("everyone"))
         hubs = durable(heads.unionByName(everyone))
-        tiles = durable(candidates(live, hubs, threshold))
-        links = durable(confirmed(tiles, sets, threshold))
-        discard(tiles)
+        tiles = durable(candidates(live, hubs, codes, threshold))
+        links = confirmed(tiles, sets, threshold)
         # Links join components: only those they touch are resolved anew.
         at = lambda end: home.select(F.col("rep").alias(end), F.col("home").alias(f"{end}_home"))
         joins = durable(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_home").alias("a"), F.col("b_home").alias("b")).where("a <> b").distinct())
         touched = joins.select(F.col("a").alias("id")).unionByName(joins.select(F.col("b").alias("id"))).distinct()
         moved = connected_components(touched, joins).select(F.col("id").alias("home"), "group")
         old, home = home, durable(home.join(moved, "home", "left").select("rep", F.coalesce("group", "home").alias("home")))
-        discard(old, links, joins)
-        members = live.join(hubs.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n", "code", "weight")
+        discard(old, tiles, joins)
+        members = live.join(hubs.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "weight", "block")
         before = [live, hubs]
         turn += 1
-    discard(live, sets, nodes)
+    discard(live, sets, codes, nodes)
     joined = reps.select("digest", "rep", F.size("bands").alias("__n")).join(home, "rep", "left").select(
         "digest", F.when(F.col("__n") > 0, F.coalesce("home", "rep")).alias("component")
     )

@@ -105,6 +105,7 @@ def test_screen_loses_no_more_than_the_bands():
 def test_copies_below_the_threshold_of_each_other_stay_apart(spark, monkeypatch):
     """Texts alike at 0.5 to 0.7, some of them linked: more than a block of members meets in a bucket."""
     monkeypatch.setattr(bbit_minhash, "BLOCK", 8)
+    monkeypatch.setattr(bbit_minhash, "TILE", 8)
     base = sentence(150).split()
     rows = []
     for i in range(50):
