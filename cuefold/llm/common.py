@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuefold.operators.ranking import ranked
 from cuefold.session import durable
 
 # Upper-case ASCII letters to lower case, on bytes.
@@ -85,12 +87,21 @@ def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-ROW = "__pipeline_row"
+ROW, FILE, PLACE = "__pipeline_row", "__pipeline_file", "__pipeline_place"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a number of their own in `ROW`, written with them: ids may be null or repeat, these don't."""
-    return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """Documents with a number of their own in `ROW`: ids may be null or repeat, these don't.
+
+    Where the documents are read from files, it is the number of the file and the row's place in it, the same in
+    every plan; nothing is copied. Other documents are written with numbers first.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+    except AnalysisException:
+        return durable(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    files = ranked(placed.select(FILE).distinct().withColumn("all", F.lit(0)), ["all"], [FILE], ROW).select(FILE, ROW)
+    return placed.join(durable(files), FILE).withColumn(ROW, F.shiftleft(ROW, 40) + F.col(PLACE)).select(*docs.columns, ROW)
 
 
 def by_row(rows: DataFrame) -> DataFrame:
@@ -104,8 +115,8 @@ def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     The numbers are written first, so that the planner knows their size: a short list is broadcast by
     its measured size and the texts stay where they are, a long one is joined by a shuffle.
     """
-    gone = durable(rejected.select(F.col("doc_id").alias("__gone")))
-    return rows.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
+    gone = durable(rejected.select(F.col("doc_id").alias(ROW)))
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def tokenizer_path(name: str) -> str:

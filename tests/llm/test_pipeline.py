@@ -40,3 +40,21 @@ def test_stages_keep_columns_and_take_effect(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
     assert corpus_pipeline.STAGES[-1][0] == "packing" and kept
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_rows_are_judged_one_by_one_whatever_their_ids(spark, written):
+    """Null ids are rejected like others; of rows that repeat an id only the bad one goes; copies leave one."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    good = " ".join(f"plain{i} words{i}" for i in range(40))
+    other = " ".join(f"further{i} text{i}" for i in range(40))
+    rows = [(None, item * 3, "en", "s"), (5, item * 3, "en", "s"), (5, good, "en", "s"), (None, good, "en", "s"), (None, "", "en", "s"), (7, None, None, None), (3, other, "en", "s"), (3, other, "en", "s")]
+    docs = spark.createDataFrame([(*r, 0, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __gone string").repartition(3)
+    docs = corpus_pipeline.durable(docs) if written else docs
+    left = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, docs, FOLDER).collect()), key=repr)
+    want = lambda keep: sorted(((i, t) for i, t, _, _ in rows if keep(t)), key=repr)
+    assert left(corpus_pipeline.decontamination) == want(lambda t: t is None or item not in t)
+    assert left(corpus_pipeline.quality_rules) == want(lambda t: t in (good, other))
+    deduped = left(corpus_pipeline.near_dedup)
+    assert deduped == sorted([(5, item * 3), (5, good), (None, ""), (7, None), (3, other)], key=repr)
+    assert left(corpus_pipeline.language_id) is not None and corpus_pipeline.near_dedup(spark, docs.limit(0), FOLDER).count() == 0
