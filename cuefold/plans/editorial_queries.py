@@ -194,15 +194,16 @@ def policy_routes(spark, folder):
     return po.route_clauses(clauses).select("p_partkey", "position", "clause", F.array_join("routes", ",").alias("routes"), F.array_join("schema_categories", ",").alias("schema_categories"))
 
 
-@query("capped_directives", f"""WITH c AS (SELECT conv_id, turn, '- ' || replace(text, chr(10), ' ') AS line FROM conversations), s AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM c)
-SELECT conv_id, least(CAST(sum(CASE WHEN upto <= 600 THEN strlen(line) + 1 ELSE 0 END) AS BIGINT) - 1, 600) AS bytes, count(*) FILTER (upto <= 600) AS clauses FROM s GROUP BY conv_id HAVING count(*) FILTER (upto <= 600) > 0""")
+@query("capped_directives", """WITH c AS (SELECT conv_id, turn, '- ' || replace(text, chr(10), ' ') AS line FROM conversations),
+s AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM c),
+d AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS whole, count(*) AS clauses FROM s WHERE upto <= 600 OR r = 1 GROUP BY conv_id),
+k AS (SELECT *, CASE WHEN strlen(whole) <= 600 THEN whole ELSE left(whole, list_max(list_filter(range(0, 601), lambda n: strlen(left(whole, n)) <= 600))) END AS directive FROM d)
+SELECT conv_id, directive, CAST(strlen(directive) AS BIGINT) AS bytes, clauses FROM k""")
 def capped_directives(spark, folder):
+    """Every conversation's directive; where the first clause alone is too long, what fits of it."""
     clauses = b.table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("position"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("clause"))
     out = po.capped_directive(clauses, "conv_id", 600)
-    first = clauses.groupBy("conv_id").agg(F.min_by(F.octet_length("clause") + 2, "position").alias("_f"))
-    fitting = out.join(first, "conv_id").where("_f <= 600")
-    lines = F.size(F.split("directive", "\n"))
-    return fitting.select("conv_id", F.octet_length("directive").cast("bigint").alias("bytes"), lines.cast("bigint").alias("clauses"))
+    return out.select("conv_id", "directive", F.octet_length("directive").cast("bigint").alias("bytes"), F.size(F.split("directive", "\n")).cast("bigint").alias("clauses"))
 
 
 # Scan answers: two turns become an answer of one list each, in seconds or milliseconds.
@@ -405,12 +406,15 @@ def chunk_transcripts(spark, folder):
     return scenes.transcripts(whole, cues, ["episode_id"]).select("episode_id", "transcript")
 
 
-@query("scan_events", f"""{T}, n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY idx) - 1 AS rk FROM evidence)
-SELECT episode_id, rk AS "at", greatest(20000000, least(60000000, start_ms)) AS start_ms, greatest(greatest(20000000, least(60000000, start_ms)), least(60000000, end_ms)) AS end_ms, summary FROM n WHERE rk < 50""")
+@query("scan_events", f"""{T}, n AS (SELECT *, start_ms // 600000 AS chunk, row_number() OVER (PARTITION BY episode_id, start_ms // 600000 ORDER BY idx) - 1 AS rk FROM evidence),
+m AS (SELECT *, chunk * 600000 AS lo, least((chunk + 1) * 600000, 86400000) AS hi FROM n WHERE rk < 50)
+SELECT episode_id, chunk, rk AS "at", greatest(lo, least(hi, start_ms)) AS start_ms, greatest(greatest(lo, least(hi, start_ms)), least(hi, end_ms)) AS end_ms, summary FROM m""")
 def scan_events(spark, folder):
-    e = packing.dense(b.evidence(spark, folder), ["episode_id"], ["idx"], "at")
-    bounds = {"chunk_start_ms": F.lit(20_000_000).cast("bigint"), "chunk_end_ms": F.lit(60_000_000).cast("bigint"), "quotes": F.array("summary"), "exclude": F.lit(False)}
-    return scenes.scan_events(e.withColumns(bounds)).select("episode_id", "at", "start_ms", "end_ms", "summary")
+    """The evidence of a day as the answers to its ten-minute chunks."""
+    chunk = F.floor(F.col("start_ms") / 600_000).cast("bigint")
+    e = packing.dense(b.evidence(spark, folder).withColumn("chunk", chunk), ["episode_id", "chunk"], ["idx"], "at")
+    bounds = {"chunk_start_ms": F.col("chunk") * 600_000, "chunk_end_ms": F.least((F.col("chunk") + 1) * 600_000, F.lit(b.DAY_MS).cast("bigint")), "quotes": F.array("summary"), "exclude": F.lit(False)}
+    return scenes.scan_events(e.withColumns(bounds)).select("episode_id", "chunk", "at", "start_ms", "end_ms", "summary")
 
 
 # Final plans: an order is a plan of one output whose lines are segments of one clip each.
