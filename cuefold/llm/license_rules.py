@@ -99,7 +99,7 @@ def folded(text: Column) -> Column:
     for pattern, by in (
         (r"(^|\n)[^a-z0-9\n]*(?:(?:rem|dnl)(?![a-z0-9])[^a-z0-9\n]*)?", "$1"),
         (r"[.!?](?=[ \t\r\f\x0B\n]|$)", "|"),
-        (r"\n+(?=https?:)", "\n"),
+        (r"(?<!\n)\n++(?=https?:)", "\n"),
         (r"\n\n+", "|"),
         (r"[^a-z0-9.+\-|\n;:]+", " "),
     ):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuefold.llm import host_words, merkle_manifest, queries, ranked_search
+from cuefold.llm import host_words, license_rules, merkle_manifest, queries, ranked_search
 
 rng = random.Random(11)
 DDL = "doc_id long, text string, lang string, source string, n_chars long, item long, terms string, n long, tree string, idx long, row long, rank long, score long"
@@ -263,3 +264,11 @@ def test_frequent_keys_are_held_apart_without_loss(spark):
 def test_the_new_queries_are_registered():
     assert {"op11_ranked_search", "op12_host_words", "op13_merkle_manifest"} <= set(queries.QUERIES)
     assert {"op11_ranked_search", "op13_merkle_manifest"} <= set(queries.ORACLES)
+
+
+@pytest.mark.parametrize("separator", ["\n", " ", ":", ";", ".", "-", "|", "\r\n", " \n"])
+def test_long_runs_of_separators_take_linear_time(spark, separator):
+    text = f"a{separator * 300_000}Licensed under the MIT License.{separator * 300_000}\n\n\nhttps:x"
+    start = time.monotonic()
+    license_rules.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.monotonic() - start < 60
