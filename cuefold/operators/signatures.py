@@ -7,11 +7,16 @@ hashed as an ordered list, so keys of keys follow the hierarchy.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuefold.session import discard, durable
+
 MTIME_MS = 1
+#: Children hashed together; more are hashed in runs of as many first.
+FAN = 256
 
 
 def signature(**parts: Column) -> Column:
@@ -59,3 +64,63 @@ def stale_outputs(outputs: DataFrame, stored: DataFrame, sound: DataFrame) -> Da
     """
     done = stored.where("status = 'COMPLETED'").select("output_id", "render_signature").join(sound.select("output_id"), "output_id", "left_semi")
     return outputs.join(done, ["output_id", "render_signature"], "left_anti")
+
+
+def ordered_digest(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, digest): one hash of each key's `signature`s by their dense position `at` from 0.
+
+    Runs of `FAN` are hashed, then the hashes in runs of as many, until one is left: a task holds a
+    run, however many a key has. How often depends on the key's own number alone.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    level, done = rows.select(key, "at", "signature").join(sizes, key).withColumn("left", F.col("n")), []
+    while True:
+        run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "signature"))), lambda c: c["signature"]), "")
+        at = F.floor(F.col("at") / FAN)
+        level = durable(level.groupBy(key, "n", at.alias("at"), F.ceil(F.col("left") / FAN).alias("left")).agg(F.sha2(run, 256).alias("signature")))
+        done.append(level.where("left = 1").select(key, "n", F.col("signature").alias("digest")))
+        level = level.where("left > 1")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def node_signatures(nodes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(id, signature) of every node of a tree from its own inputs and its children's signatures in order.
+
+    nodes: id, parent (null at a root), at (dense position among its siblings), own (text of its inputs).
+    A leaf is the hash of its own text, an inner node that of its own text and the hash of its children.
+    Levels are computed from the leaves up, a round each; in a round a parent is computed once all its children
+    are. `stored` (id, signature) gives nodes whose signatures still hold, see `stale_nodes`: only the
+    others are computed, from stored ones where they meet them. A node under a missing parent is a root; what
+    hangs on a cycle, or above it, has no signature and is left out.
+    """
+    counts = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    places = nodes.select("id", "parent", "at")
+    leaves = nodes.join(counts, "id", "left_anti").select("id", F.sha2("own", 256).alias("signature"))
+    held = stored.select("id", "signature") if stored is not None else leaves.limit(0)
+    known = durable(held.unionByName(leaves.join(held, "id", "left_anti")))
+    todo = durable(nodes.select("id", "own").join(known, "id", "left_anti").join(counts, "id"))
+    asked = lambda found: found.join(places, "id").join(todo.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent", "at", "signature")
+    parts, waiting = [known], durable(asked(known))
+    while not waiting.isEmpty():
+        full = ordered_digest(waiting, "parent").withColumnRenamed("parent", "id").join(todo, ["id", "n"])
+        found = durable(full.select("id", F.sha2(F.concat_ws("|", "own", "digest"), 256).alias("signature")))
+        if found.isEmpty():
+            break
+        parts.append(found)
+        rest = waiting.join(found.select(F.col("id").alias("parent")), "parent", "left_anti")
+        before, waiting = waiting, durable(rest.unionByName(asked(found)))
+        discard(before)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stale_nodes(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id): the changed nodes and all above them, a round a level. changed: id."""
+    up = nodes.where("parent IS NOT NULL").select("id", "parent")
+    front = durable(changed.select("id").distinct().join(nodes.select("id"), "id", "left_semi"))
+    parts = []
+    while not front.isEmpty():
+        parts.append(front)
+        seen = reduce(DataFrame.unionByName, parts)
+        front = durable(front.join(up, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"))
+    return reduce(DataFrame.unionByName, parts) if parts else front

@@ -15,6 +15,7 @@ from cuefold.operators import signatures as sg
 from cuefold.plans import bindings as b
 from cuefold.plans.registry import query
 from cuefold.plans.timeline_queries import DETECTED
+from cuefold.session import durable
 from cuefold.sources import evidence as ev
 from cuefold.sources import transport
 from cuefold.streaming import progress as pg
@@ -578,6 +579,52 @@ def transcript_changes(spark, folder):
     return before.join(after, "episode_id").where("transcript_hash <> _h").select("episode_id")
 
 
+TREE = """own AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS parent, l_linenumber AS k, min(l_returnflag || l_linestatus) AS own, 0 AS lvl FROM lineitem GROUP BY l_orderkey, l_linenumber
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderkey, o_orderstatus, 1 FROM orders
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey, c_name, 2 FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, n_name, 3 FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL, r_regionkey, r_name, 4 FROM region),
+node AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY k) - 1 AS at FROM own)"""
+
+
+def _tree_sql() -> str:
+    """Signatures level by level; children in runs of 256 where there are more."""
+    steps = ["s0 AS (SELECT id, parent, \"at\", sha256(own) AS h FROM node WHERE lvl = 0)"]
+    for i in range(1, 5):
+        steps.append(f"""r{i} AS (SELECT parent, "at" // 256 AS run, count(*) AS n, sha256(string_agg(h, '' ORDER BY "at")) AS h FROM s{i - 1} GROUP BY ALL),
+d{i} AS (SELECT parent, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY run)) END AS d FROM r{i} GROUP BY parent),
+s{i} AS (SELECT id, node.parent, "at", CASE WHEN d IS NULL THEN sha256(own) ELSE sha256(own || '|' || d) END AS h FROM node LEFT JOIN d{i} ON d{i}.parent = id WHERE lvl = {i})""")
+    return ", ".join(steps)
+
+
+def _tree(spark, folder):
+    """Lines under orders under customers under nations under regions, each in key order."""
+    t = lambda name: b.table(spark, folder, name)
+    mark = lambda letter, *columns: F.concat(F.lit(letter), *[c for pair in zip([F.lit("-")] * len(columns), map(F.col, columns)) for c in pair][1:])
+    node = lambda df, i, parent, k, own: df.select(i.alias("id"), parent.alias("parent"), F.col(k).cast("bigint").alias("k"), own.alias("own"))
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("flags"))
+    whole = (
+        node(lines, mark("l", "l_orderkey", "l_linenumber"), mark("o", "l_orderkey"), "l_linenumber", F.col("flags"))
+        .unionByName(node(t("orders"), mark("o", "o_orderkey"), mark("c", "o_custkey"), "o_orderkey", F.col("o_orderstatus")))
+        .unionByName(node(t("customer"), mark("c", "c_custkey"), mark("n", "c_nationkey"), "c_custkey", F.col("c_name")))
+        .unionByName(node(t("nation"), mark("n", "n_nationkey"), mark("r", "n_regionkey"), "n_nationkey", F.col("n_name")))
+    )
+    inner = ranking.ranked(whole, ["parent"], ["k"], "at").withColumn("at", F.col("at") - 1).drop("k")
+    roots = t("region").select(mark("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("own"), F.lit(0).cast("bigint").alias("at"))
+    return durable(inner.unionByName(roots))
+
+
+@query("node_signatures", f"WITH {TREE}, {_tree_sql()} SELECT id, h AS signature FROM s0 UNION ALL SELECT id, h FROM s1 UNION ALL SELECT id, h FROM s2 UNION ALL SELECT id, h FROM s3 UNION ALL SELECT id, h FROM s4")
+def node_signatures(spark, folder):
+    return sg.node_signatures(_tree(spark, folder))
+
+
+@query("stale_nodes", f"""WITH RECURSIVE {TREE}, up(id) AS (SELECT id FROM node WHERE lvl = 0 AND own LIKE 'R%' AND k = 4 UNION SELECT parent FROM up JOIN node USING (id) WHERE parent IS NOT NULL) SELECT id FROM up""")
+def stale_nodes(spark, folder):
+    """What is to be computed anew when all fourth lines that were returned change."""
+    nodes = _tree(spark, folder)
+    return sg.stale_nodes(nodes, nodes.where("id LIKE 'l%-4' AND own LIKE 'R%'").select("id"))
+
+
 @query("layered_signatures", "SELECT count(DISTINCT o_orderkey) AS plans, count(DISTINCT (o_orderkey, o_orderpriority)) AS renders FROM orders")
 def layered_signatures(spark, folder):
     """Analysis and render keys: a render setting moves only the second."""
