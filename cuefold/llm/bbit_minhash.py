@@ -23,7 +23,7 @@ LONGS = HASHES // PER_LONG
 #: A pair at the threshold is missed by every band with probability (1 - 0.75^4)^40 = 2.5e-7.
 THRESHOLD = 0.75
 #: Hubs of a bucket grow by this factor from round to round.
-DRAW = 8
+DRAW = 32
 #: Members of a bucket that are compared with its hubs at once; those of larger ones stand in blocks of about `TILE`.
 BLOCK, TILE = 64, 128
 
@@ -183,7 +183,7 @@ def candidates(live: DataFrame, hubs: DataFrame, codes: DataFrame, threshold: fl
             for (one, two), (a, b) in found.items():
                 yield one, two, a, b
 
-    pairs = met.mapInArrow(arrow_rows(run, schema, 500), "one long, two long, a array<long>, b array<long>")
+    pairs = met.mapInArrow(arrow_rows(run, schema, 500, 8), "one long, two long, a array<long>, b array<long>")
     return pairs.groupBy("one", "two").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
 
 
@@ -211,7 +211,7 @@ def confirmed(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     needed = tiles.select("one", "two", F.explode(F.array_union("a", "b")).alias("doc_id"))
     brought = needed.join(sets, "doc_id").groupBy("one", "two").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("members"))
-    return tiles.join(brought, ["one", "two"]).select("a", "b", "members").mapInArrow(arrow_rows(run, schema, 10_000), "a long, b long")
+    return tiles.join(brought, ["one", "two"]).select("a", "b", "members").mapInArrow(arrow_rows(run, schema, 10_000, 8), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents of one word sequence are one class, named by its least id; only that one goes on. Bands of
     four minima propose: the members of a bucket are compared with hubs, never all with all. A hub that
     has met everybody leaves its bucket, and a bucket whose members are one component is done. The most
-    central component of a bucket sends its hub first, then DRAW times as many each round, so every pair that
+    central component of a bucket sends its hub first, then DRAW are drawn and DRAW times as many each round, so every pair that
     shares a band and is not yet connected is compared in the end, in the first bucket it shares, after
     log(components) rounds. Compared means: estimated from packed
     low bits, then confirmed on the full sets.
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         # The most central component of a bucket sends its hub first; then more are drawn, alike in all their
         # buckets; once that would be all components, every member is a hub and the bucket is done.
-        share = F.lit(float(DRAW ** (turn - 1) if turn else 0))
+        share = F.lit(float(DRAW**turn if turn else 0))
         heads = live.where(F.col("homes") > share).groupBy("bucket", "home").agg(
             F.max_by(F.struct("rep", "block"), F.struct("weight", "rep")).alias("head"), F.max("weight").alias("weight"), F.first("homes").alias("homes")
         )
@@ -274,10 +274,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # Links join components: only those they touch are resolved anew.
         at = lambda end: home.select(F.col("rep").alias(end), F.col("home").alias(f"{end}_home"))
         joins = durable(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_home").alias("a"), F.col("b_home").alias("b")).where("a <> b").distinct())
-        touched = joins.select(F.col("a").alias("id")).unionByName(joins.select(F.col("b").alias("id"))).distinct()
-        moved = connected_components(touched, joins).select(F.col("id").alias("home"), "group")
-        old, home = home, durable(home.join(moved, "home", "left").select("rep", F.coalesce("group", "home").alias("home")))
-        discard(old, tiles, joins)
+        if not joins.isEmpty():
+            touched = joins.select(F.col("a").alias("id")).unionByName(joins.select(F.col("b").alias("id"))).distinct()
+            moved = connected_components(touched, joins).select(F.col("id").alias("home"), "group")
+            old, home = home, durable(home.join(moved, "home", "left").select("rep", F.coalesce("group", "home").alias("home")))
+            discard(old)
+        discard(tiles, joins)
         members = live.join(hubs.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "weight", "block")
         before = [live, hubs]
         turn += 1

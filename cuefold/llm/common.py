@@ -66,12 +66,16 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(column.to_pylist() for column in batch.columns)) if batch.num_columns else iter(())
 
 
-def arrow_rows(make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, size: int = 2000):
-    """A function for `mapInArrow` from one over row tuples; output goes out in batches of `size` rows."""
+def arrow_rows(make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, size: int = 2000, at_once: int | None = None):
+    """A function for `mapInArrow` from one over row tuples; output goes out in batches of `size` rows.
+
+    `at_once` rows of a batch are Python values at a time, all if it is None: few for rows of long lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for row in make(row for batch in batches for row in rows_of(batch)):
+        parts = (batch.slice(i, at_once) for batch in batches for i in range(0, batch.num_rows, at_once)) if at_once else batches
+        for row in make(row for part in parts for row in rows_of(part)):
             held.append(row)
             if len(held) >= size:
                 yield pack(held, schema)
