@@ -666,31 +666,41 @@ def evidence_totals(spark, folder):
     return projects.evidence_totals(b.evidence(spark, folder).withColumn("project", F.substring("episode_id", 1, 9)))
 
 
-def _item_fields(spark, folder):
-    e = b.evidence(spark, folder)
-    item = F.to_json(F.struct(
-        "episode_id", "start_ms", "end_ms", (F.col("start_ms") / 1000).alias("start_sec"), F.when(F.col("idx") % 2 == 0, F.col("end_ms") / 1000).alias("end_sec"),
+def _transport_documents(spark, folder):
+    """What a user's day says, as one document of a project that reuses its episodes: objects, other members, nesting, empties, scalars."""
+    e = b.evidence(spark, folder).withColumn("project", F.col("characters")[0])
+    item = F.struct(
+        "characters", "episode_id", "start_ms", "end_ms", (F.col("start_ms") / 1000).alias("start_sec"), F.when(F.col("idx") % 2 == 0, F.col("end_ms") / 1000).alias("end_sec"),
         F.col("summary"), F.col("summary").alias("detail"), F.when(F.col("idx") % 3 == 0, F.concat(F.lit("~"), F.col("idx"))).otherwise("^same words").alias("note"),
-    ))
-    return e.select("episode_id", "category", "idx", item.alias("item"))
+        F.struct("characters", F.array(F.struct("summary")).alias("list")).alias("nested"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.to_json(item).alias("item")))), lambda x: x["item"])
+    lists = e.groupBy("project", "episode_id", "category").agg(listed.alias("_l"), F.count(F.lit(1)).alias("_n"))
+    member = F.concat(F.lit('"'), F.col("category"), F.lit('":["~'), F.col("category"), F.lit('",'), F.array_join("_l", ","), F.lit(",null]"))
+    days = lists.groupBy("project", "episode_id").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("_m"), F.sum("_n").alias("_n"))
+    return days.select("project", "episode_id", F.concat(F.lit('{"$empty":[],"$note":"^scalar","$total":'), "_n", F.lit(","), "_m", F.lit("}")).alias("content"))
+
+
+TRANSPORT = f"""{T}, item AS (SELECT characters[1] AS project, *, CASE WHEN idx % 3 = 0 THEN '~' || idx ELSE '^same words' END AS note FROM evidence)"""
+_SECONDS = r"regexp_replace(printf('%.3f', {0} / 1000.0), '\.?0+$', '')"
 
 
-@query("string_dictionary", f"""{T}, v AS (SELECT to_json(episode_id)::VARCHAR AS v FROM evidence UNION ALL SELECT to_json(summary)::VARCHAR FROM evidence UNION ALL SELECT to_json(summary)::VARCHAR FROM evidence
-  UNION ALL SELECT to_json(CASE WHEN idx % 3 = 0 THEN '~' || idx ELSE '^same words' END)::VARCHAR FROM evidence), c AS (SELECT v, count(*) AS n, strlen(v) AS size FROM v GROUP BY v)
-SELECT v AS value, CAST((size - 4) * n - size AS BIGINT) AS saving, row_number() OVER (ORDER BY (size - 4) * n - size DESC, v) - 1 AS code FROM c WHERE n >= 2 AND size >= 8 AND (size - 4) * n - size > 0""")
+@query("string_dictionary", f"""{TRANSPORT}, v AS (SELECT project, unnest([episode_id, summary, summary, summary, note, characters[1], characters[1]]) AS v FROM item
+  UNION ALL SELECT DISTINCT ON (project, episode_id, category) project, '~' || category FROM item UNION ALL SELECT DISTINCT ON (project, episode_id) project, '^scalar' FROM item),
+c AS (SELECT project, to_json(v)::VARCHAR AS v, count(*) AS n, strlen(to_json(v)::VARCHAR) AS size FROM v GROUP BY ALL)
+SELECT project, v AS value, CAST((size - 4) * n - size AS BIGINT) AS saving, row_number() OVER (PARTITION BY project ORDER BY (size - 4) * n - size DESC, v) - 1 AS code FROM c WHERE n >= 2 AND size >= 8 AND (size - 4) * n - size > 0""")
 def string_dictionary(spark, folder):
-    return transport.dictionary(transport.fields_of(_item_fields(spark, folder)))
+    return transport.dictionary(transport.fields_of(transport.shred(_transport_documents(spark, folder))))
 
 
-@query("transport_round_trip", f"{T} SELECT episode_id, category, idx, CAST(7 + CASE WHEN idx % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS fields, 0 AS changed FROM evidence")
+@query("transport_round_trip", f"""{TRANSPORT}, lists AS (SELECT project, episode_id, category, count(*) AS n, string_agg('{{"characters":' || to_json(characters) || ',"detail":' || to_json(summary) || ',"end_ms":' || end_ms
+    || CASE WHEN idx % 2 = 0 THEN ',"end_sec":' || {_SECONDS.format('end_ms')} ELSE '' END || ',"episode_id":' || to_json(episode_id) || ',"nested":{{"characters":' || to_json(characters) || ',"list":[{{"summary":' || to_json(summary)
+    || '}}]}},"note":' || to_json(note) || ',"start_ms":' || start_ms || ',"start_sec":' || {_SECONDS.format('start_ms')} || ',"summary":' || to_json(summary) || '}}', ',' ORDER BY idx) AS l FROM item GROUP BY ALL)
+SELECT project, episode_id, '{{"$empty":[],"$note":"^scalar","$total":' || CAST(sum(n) AS BIGINT) || ',' || string_agg('"' || category || '":["~' || category || '",' || l || ',null]', ',' ORDER BY category) || '}}' AS content
+FROM lists GROUP BY project, episode_id""")
 def transport_round_trip(spark, folder):
-    """Fields of every item after packing and unpacking, and how many came back different."""
-    items = _item_fields(spark, folder)
-    before = transport.fields_of(items)
-    after = transport.unpack(*transport.pack(items)).withColumnRenamed("value", "_after")
-    met = before.join(after, [*transport.ROW, "name"], "full_outer")
-    changed = ~F.coalesce(F.col("value") == F.col("_after"), F.lit(False))
-    return met.groupBy(*transport.ROW).agg(F.count(F.lit(1)).alias("fields"), F.sum(F.when(changed, 1).otherwise(0)).cast("int").alias("changed"))
+    """Whole documents after shredding, packing, unpacking and assembling."""
+    return transport.assemble(transport.unpack(*transport.pack(transport.shred(_transport_documents(spark, folder)))))
 
 
 @query("project_progress", """WITH e AS (SELECT user_id AS project, event_id AS seq, CASE event_type WHEN 'view' THEN 'scanner' WHEN 'click' THEN 'candidate_discovery' WHEN 'signup' THEN 'finalizer' WHEN 'purchase' THEN 'json_validation' ELSE 'idle' END AS phase, props FROM events)

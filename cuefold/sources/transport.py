@@ -1,12 +1,15 @@
-"""Columnar text transport of evidence: a string dictionary, masks and back references.
-
-An item is a map of field to JSON value text. Strings worth it are replaced by '~' and their
-number in the dictionary; a row is its presence mask, of any width, the mask of derived fields, and the
-remaining values in column order, with '^' and a column number for a value told before. It is a
-text for one request; at rest, Parquet's own encodings do this.
-
-The dictionary is a table joined on the string, the masks are hexadecimal digits, and only a row's own
-fields meet in one place. Columns of a category come in name order.
+"""Columnar text transport of evidence: a string dictionary per project, masks and back references.
+
+A document is one JSON object per (project, episode) of category to value, of any nesting. It is shredded to
+units: an object in a category's list is a `row`, any other member of a list a `literal`, a value that is no list a `scalar`, and
+an `empty` list or a document of `none` keeps a unit too, so nothing is lost. A row is its presence mask, of any width, the mask of
+derived fields, and the remaining values in column order, with '^' and a column number for a value told before.
+Strings worth it, at any depth, are replaced by '~' and their number in the project's dictionary; others that begin with one of
+the marks double it. It is a text for one request; at rest, Parquet's own encodings do this.
+
+What one row says about itself is found by array functions where it stands; JSON texts travel as pieces (strings, keys, the rest), a
+dictionary is a table joined on the piece. Columns of a category come in name order, numbers as VARIANT writes them. Project,
+episode and category are not null; content that is no JSON object fails the job.
 """
 
 from __future__ import annotations
@@ -15,102 +18,182 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuefold.operators.ranking import ranked
+from cuefold.session import durable
 
-ROW = ["episode_id", "category", "idx"]
+DOC = ["project", "episode_id"]
+UNIT = [*DOC, "category", "idx"]
+# A string with the colon that makes it a key, or what stands between strings.
+PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+":?|[^"]++'
+WORD_BITS = 60
+WORD_DIGITS = WORD_BITS // 4
 
 
 def base36(n: Column) -> Column:
     return F.lower(F.conv(n.cast("string"), 10, 36))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column computed once per row: the optimiser does not merge expressions through the generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def _whole(parts: Column, sep: str, around: str) -> Column:
+    return F.concat(F.lit(around[0]), F.array_join(parts, sep), F.lit(around[1]))
+
+
 def hex_mask(cols: Column) -> Column:
-    """The number whose bits are the columns, of any width, as hexadecimal digits."""
-    weight = lambda c: F.element_at(F.array(*[F.lit(w) for w in (1, 2, 4, 8)]), (c % 4 + 1).cast("int"))
-    digit = lambda d: F.lower(F.hex(F.aggregate(F.filter(cols, lambda c: F.floor(c / 4) == d), F.lit(0), lambda s, c: s + weight(c))))
-    return F.reverse(F.array_join(F.transform(F.sequence(F.lit(0), F.coalesce(F.floor(F.array_max(cols) / 4), F.lit(0)).cast("int")), digit), ""))
+    """The number whose bits are the columns, of any width, as hexadecimal digits: summed in words of 60 bits."""
+    size = F.lit(WORD_BITS)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % size).cast("int"))
+    word = lambda w: F.aggregate(F.filter(cols, lambda c: F.floor(c / size) == w), F.lit(0).cast("bigint"), lambda s, c: s + bit(c))
+    last = F.coalesce(F.floor(F.array_max(cols) / size), F.lit(0)).cast("int")
+    digits = F.transform(F.sequence(last, F.lit(0), F.lit(-1)), lambda w: F.lpad(F.lower(F.hex(word(w))), WORD_DIGITS, "0"))
+    return F.regexp_replace(F.array_join(digits, ""), "^0+(?=.)", "")
 
 
 def mask_bits(mask: Column) -> Column:
     """The columns of a mask, in order."""
-    digit = lambda i: F.conv(F.substr(F.reverse(mask), (F.floor(i / 4) + 1).cast("int"), F.lit(1)), 16, 10).cast("bigint")
-    return F.filter(F.sequence(F.lit(0), F.length(mask) * 4 - 1), lambda i: F.getbit(digit(i), i % 4) == 1)
+    count = F.ceil(F.length(mask) / WORD_DIGITS).cast("int")
+    padded = F.lpad(mask, count * WORD_DIGITS, F.lit("0"))
+    word = lambda w: F.conv(F.substr(padded, (count - 1 - w) * WORD_DIGITS + 1, F.lit(WORD_DIGITS)), 16, 10).cast("bigint")
+    words = F.transform(F.sequence(F.lit(0), count - 1), word)
+    bits = lambda n, w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.getbit(n, i) == 1), lambda i: w * WORD_BITS + i)
+    return F.flatten(F.transform(words, bits))
+
+
+def shred(documents: DataFrame) -> DataFrame:
+    """Units of documents (project, episode_id, content): project, episode_id, category, idx, kind, item (JSON text, null where there is nothing)."""
+    members = F.try_variant_get(F.try_parse_json("content"), "$", "map<string,variant>")
+    checked = F.when(members.isNull(), F.raise_error(F.lit("content is no JSON object")).cast("map<string,variant>")).otherwise(members)
+    lists = documents.select(*DOC, F.explode_outer(checked).alias("category", "_v")).withColumn("_l", F.try_variant_get("_v", "$", "array<variant>"))
+    spread = lists.select(*DOC, "category", "_v", F.col("_l").isNull().alias("_single"), F.posexplode_outer("_l").alias("_at", "_item"))
+    is_object = F.try_variant_get("_item", "$", "map<string,variant>").isNotNull()
+    kind = F.when(F.col("category").isNull(), "none").when(F.col("_single"), "scalar").when(F.col("_at").isNull(), "empty").when(is_object, "row").otherwise("literal")
+    return spread.select(
+        *DOC, F.coalesce("category", F.lit("")).alias("category"), F.coalesce("_at", F.lit(0)).cast("bigint").alias("idx"), kind.alias("kind"),
+        F.when(kind == "scalar", F.to_json("_v")).when(kind.isin("row", "literal"), F.coalesce(F.to_json("_item"), F.lit("null"))).alias("item"),
+    )
+
+
+def assemble(units: DataFrame) -> DataFrame:
+    """Documents (project, episode_id, content) of units; content in VARIANT's own form. A document came as one value, so it meets in one place."""
+    together = units.repartition(*DOC)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda u: u["item"])
+    values = together.groupBy(*DOC, "category", F.when(F.col("kind").isin("row", "literal"), "list").otherwise(F.col("kind")).alias("kind")).agg(listed.alias("_l"))
+    value = F.when(F.col("kind") == "list", _whole(F.col("_l"), ",", "[]")).when(F.col("kind") == "empty", "[]").when(F.col("kind") == "scalar", F.col("_l")[0])
+    member = F.when(value.isNotNull(), F.concat(F.to_json(F.col("category").cast("variant")), F.lit(":"), value))
+    content = _whole(F.array_sort(F.collect_list("_m")), ",", "{}")
+    return values.withColumn("_m", member).groupBy(*DOC).agg(content.alias("_c")).select(*DOC, F.to_json(F.parse_json("_c")).alias("content"))
+
+
+def _seconds(ms: Column) -> Column:
+    """The JSON text of a JSON number of milliseconds in seconds."""
+    return F.to_json(F.try_parse_json((ms.try_cast("double") / 1000).cast("string")))
 
 
-def fields_of(items: DataFrame) -> DataFrame:
-    """(row, name, value): the fields of items, the values as JSON texts. items: episode_id, category, idx, item (JSON text)."""
-    whole = F.try_variant_get(F.try_parse_json("item"), "$", "map<string,variant>")
-    return items.select(*ROW, F.explode(whole).alias("name", "_v")).select(*ROW, "name", F.to_json("_v").alias("value"))
+def fields_of(units: DataFrame) -> DataFrame:
+    """(unit, kind, name, value, derived, told): fields of rows, and the whole of literals and scalars, as JSON texts.
+
+    `derived`: the value follows from the episode or from milliseconds, to the letter. `told`: the first field of the row with
+    the same value that is not derived, where that is worth a reference. Units without fields keep one row without a name.
+    """
+    members = F.map_entries(F.try_variant_get(F.try_parse_json("item"), "$", "map<string,variant>"))
+    own = F.array_sort(F.transform(members, lambda e: F.struct(e["key"].alias("name"), F.to_json(e["value"]).alias("value"))))
+    single = F.array(F.struct(F.lit("").alias("name"), F.col("item").alias("value")))
+    rows = _once(units, "_f", F.when(F.col("kind") == "row", own).when(F.col("kind").isin("literal", "scalar"), single))
+    at = lambda name: F.try_element_at(F.filter("_f", lambda f: f["name"] == name), F.lit(1))["value"]
+    rows = _once(rows, "_k", F.struct(F.to_json(F.col("episode_id").cast("variant")).alias("episode"), _seconds(at("start_ms")).alias("start"), _seconds(at("end_ms")).alias("end")))
+    follows = lambda f: F.when(F.col("kind") != "row", False).otherwise(F.coalesce(
+        ((f["name"] == "episode_id") & (f["value"] == F.col("_k.episode")))
+        | ((f["name"] == "start_sec") & (f["value"] == F.col("_k.start"))) | ((f["name"] == "end_sec") & (f["value"] == F.col("_k.end"))), F.lit(False)))
+    marked = _once(rows, "_d", F.transform("_f", lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"), follows(f).alias("derived"))))
+    marked = _once(marked, "_given", F.transform("_d", lambda f: F.when(~f["derived"], f["value"])))
+    first = lambda f: F.array_position("_given", f["value"])
+    told = lambda f, i: F.when(~f["derived"] & (F.octet_length(f["value"]) > 4) & (first(f) < i + 1), F.get("_d", (first(f) - 1).cast("int"))["name"])
+    full = F.transform("_d", lambda f, i: F.struct(f["name"].alias("name"), f["value"].alias("value"), f["derived"].alias("derived"), told(f, i).alias("told")))
+    return marked.select(*UNIT, "kind", F.explode_outer(full).alias("_x")).select(*UNIT, "kind", "_x.*")
+
+
+def _pieces(value: Column) -> Column:
+    return F.regexp_extract_all(value, F.lit(PIECE), F.lit(0))
+
+
+def _is_string(piece: Column) -> Column:
+    return F.startswith(piece, F.lit('"')) & ~F.endswith(piece, F.lit('":'))
 
 
 def dictionary(fields: DataFrame) -> DataFrame:
-    """(value, code): strings that repeat and are long enough to save bytes, the best first.
+    """(project, value, saving, code): strings of a project, at any depth, that repeat and are long enough to save bytes, the best first.
 
     Counts combine map-side; the numbering runs over what is kept, which repeats at least twice.
     """
-    texts = fields.where(F.startswith("value", F.lit('"')))
+    texts = fields.select("project", F.explode(F.filter(_pieces(F.col("value")), _is_string)).alias("value"))
     size = F.octet_length("value")
     saving = (size - 4) * F.col("n") - size
-    kept = texts.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (size >= 8) & (saving > 0)).withColumn("saving", saving)
-    numbered = ranked(kept.withColumn("_all", F.lit(0)), ["_all"], [F.desc("saving"), F.asc("value")], "_n")
-    return numbered.select("value", "saving", (F.col("_n") - 1).alias("code"))
+    kept = texts.groupBy("project", "value").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (size >= 8) & (saving > 0)).withColumn("saving", saving)
+    numbered = ranked(kept, ["project"], [F.desc("saving"), F.asc("value")], "_n")
+    return numbered.select("project", "value", "saving", (F.col("_n") - 1).alias("code"))
 
 
 def columns_of(fields: DataFrame) -> DataFrame:
-    """(category, name, col): field numbers from 0 per category, in name order. Field names are few."""
-    names = fields.select("category", "name").distinct()
-    return names.withColumn("col", F.row_number().over(Window.partitionBy("category").orderBy("name")) - 1)
+    """(project, category, name, col): field numbers from 0 per category, in name order. Field names are few."""
+    names = fields.where("kind = 'row' AND name IS NOT NULL").select("project", "category", "name").distinct()
+    return names.withColumn("col", F.row_number().over(Window.partitionBy("project", "category").orderBy("name")) - 1)
 
 
-def pack(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, strings, columns): rows hold episode_id, category, idx, mask, derived, values (array of texts)."""
-    fields = fields_of(items)
+def pack(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, strings, columns) of units as `shred` gives them.
+
+    rows: the unit's key, kind, mask and derived (rows only), values (array of JSON texts); strings: project, code, value; columns: project, category, name, col.
+    """
+    # Counted, numbered and coded: read three times, so worked out once.
+    fields = durable(fields_of(units))
     strings, columns = dictionary(fields), columns_of(fields)
-    # Which fields follow from others: the row's own episode, seconds equal to milliseconds.
-    number = lambda n: F.max(F.when(F.col("name") == n, F.col("value").try_cast("double"))).over(Window.partitionBy(*ROW))
-    told = fields.withColumns({"_s": number("start_ms"), "_e": number("end_ms")}).join(columns, ["category", "name"])
-    seconds = F.col("value").try_cast("double")
-    derived = F.coalesce(
-        ((F.col("name") == "episode_id") & (F.col("value") == F.to_json(F.col("episode_id").cast("variant"))))
-        | ((F.col("name") == "start_sec") & (seconds == F.col("_s") / 1000)) | ((F.col("name") == "end_sec") & (seconds == F.col("_e") / 1000)),
-        F.lit(False),
-    )
-    rest = told.withColumn("_derived", derived)
-    earlier = F.min(F.when(~F.col("_derived"), F.col("col"))).over(Window.partitionBy(*ROW, "value"))
-    coded = rest.withColumn("_first", earlier).join(strings.select("value", "code"), "value", "left")
-    again = (F.col("_first") < F.col("col")) & (F.octet_length("value") > 4)
-    plain = F.when(F.col("value").rlike(r'^"[~^]'), F.concat(F.lit('"'), F.substring("value", 2, 1), F.substr(F.col("value"), F.lit(2)))).otherwise(F.col("value"))
-    quoted = lambda mark, n: F.concat(F.lit(f'"{mark}'), base36(n), F.lit('"'))
-    token = F.when(again, quoted("^", F.col("_first"))).when(F.col("code").isNotNull(), quoted("~", F.col("code"))).otherwise(plain)
-    rows = coded.withColumn("_token", token).groupBy(*ROW).agg(
-        F.collect_list("col").alias("_all"), F.collect_list(F.when(F.col("_derived"), F.col("col"))).alias("_from"),
-        F.array_sort(F.collect_list(F.when(~F.col("_derived"), F.struct("col", "_token")))).alias("_l"),
-    )
-    packed = rows.select(*ROW, hex_mask(F.col("_all")).alias("mask"), hex_mask(F.col("_from")).alias("derived"), F.transform("_l", lambda v: v["_token"]).alias("values"))
-    return packed, strings.select("code", "value"), columns
+    apart = F.when(~F.col("derived") & F.col("told").isNull(), _pieces(F.col("value")))
+    pieces = fields.join(columns, ["project", "category", "name"], "left").select(*UNIT, "kind", "name", "col", "derived", "told", F.posexplode_outer(apart).alias("_i", "_p"))
+    lookup = strings.select("project", F.col("value").alias("_p"), "code")
+    escaped = F.when(_is_string(F.col("_p")) & F.col("_p").rlike(r'^"[~^]'), F.concat(F.lit('"'), F.substring("_p", 2, 1), F.substr("_p", F.lit(2)))).otherwise(F.col("_p"))
+    token = F.when(F.col("code").isNotNull(), F.concat(F.lit('"~'), base36(F.col("code")), F.lit('"'))).otherwise(escaped)
+    # One shuffle serves both groupings: values out of pieces, rows out of values.
+    coded = pieces.join(lookup, ["project", "_p"], "left").withColumn("_t", token).repartition(*UNIT)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), "")
+    values = coded.groupBy(*UNIT, "kind", "name", "col", "derived", "told").agg(text.alias("_t"))
+    entry = F.when(F.col("name").isNotNull(), F.struct(F.coalesce("col", F.lit(0)).alias("col"), "name", "derived", "told", "_t"))
+    rows = _once(values.groupBy(*UNIT, "kind").agg(F.array_sort(F.collect_list(entry)).alias("_l")), "_names", F.transform("_l", lambda f: f["name"]))
+    back = lambda f: F.concat(F.lit('"^'), base36(F.get("_l", (F.array_position("_names", f["told"]) - 1).cast("int"))["col"]), F.lit('"'))
+    given = F.transform(F.filter("_l", lambda f: ~f["derived"]), lambda f: F.when(f["told"].isNotNull(), back(f)).otherwise(f["_t"]))
+    mask = lambda kept: F.when(F.col("kind") == "row", hex_mask(F.transform(kept, lambda f: f["col"])))
+    packed = rows.select(*UNIT, "kind", mask(F.col("_l")).alias("mask"), mask(F.filter("_l", lambda f: f["derived"])).alias("derived"), given.alias("values"))
+    return packed, strings.select("project", "code", "value"), columns
 
 
 def unpack(rows: DataFrame, strings: DataFrame, columns: DataFrame) -> DataFrame:
-    """(row, name, value): the exact inverse of `pack`, as field rows.
+    """The exact inverse of `pack`: units.
 
-    A row whose values do not fit its masks fails the job.
+    A row whose values do not fit its masks, a reference to a column not given, to a string not in the dictionary or to a column not named fails the job.
     """
-    wide = rows.select(*ROW, mask_bits(F.col("mask")).alias("_m"), mask_bits(F.col("derived")).alias("_d"), "values")
-    told = F.array_except("_m", "_d")
-    checked = wide.withColumn("_cols", told).withColumn("_ok", F.when(F.size("_cols") != F.size("values"), F.raise_error(F.lit("row does not fit its mask"))).otherwise(F.lit(True))).where("_ok")
-    given = checked.select(*ROW, "_cols", "values", F.explode(F.arrays_zip("_cols", "values")).alias("_c"))
-    token = F.col("_c.values")
-    back = token.rlike(r'^"\^[0-9a-z]+"$')
-    at = F.conv(F.regexp_extract(token, r'^"\^([0-9a-z]+)"$', 1), 36, 10).try_cast("int")
-    seen = F.when(back, F.element_at("values", F.array_position("_cols", at).cast("int"))).otherwise(token)
-    resolved = given.select(*ROW, F.col("_c._cols").alias("col"), seen.alias("_t"))
-    ref = F.regexp_extract("_t", r'^"~([0-9a-z]+)"$', 1)
-    coded = resolved.withColumn("code", F.when(ref != "", F.conv(ref, 36, 10).try_cast("bigint"))).join(strings, "code", "left")
-    literal = F.when(F.col("_t").rlike(r'^"(~~|\^\^)'), F.concat(F.lit('"'), F.substr(F.col("_t"), F.lit(3)))).otherwise(F.col("_t"))
-    named = coded.join(columns, ["col"]) if "category" not in columns.columns else coded.join(columns, ["category", "col"])
-    values = named.select(*ROW, "name", F.coalesce("value", literal).alias("value"))
-    lacking = wide.select(*ROW, F.explode("_d").alias("col")).join(columns, ["category", "col"])
-    ms = values.where("name in ('start_ms', 'end_ms')").select(*ROW, F.concat(F.regexp_extract("name", "^[a-z]+", 0), F.lit("_sec")).alias("name"), F.col("value").alias("_ms"))
-    rebuilt = lacking.join(ms, [*ROW, "name"], "left").select(
-        *ROW, "name", F.when(F.col("name") == "episode_id", F.to_json(F.col("episode_id").cast("variant"))).otherwise(F.to_json(F.try_parse_json((F.col("_ms").cast("double") / 1000).cast("string")))).alias("value")
-    )
-    return values.unionByName(rebuilt)
+    single = F.when(F.col("kind").isin("literal", "scalar"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    bits = lambda mask: F.when(F.col("kind") == "row", mask_bits(F.col(mask))).otherwise(F.array().cast("array<int>"))
+    wide = _once(_once(rows, "_d", bits("derived")), "_c", F.when(F.col("kind") == "row", F.array_except(bits("mask"), "_d")).otherwise(single))
+    fits = F.when(F.size("_c") != F.size("values"), F.raise_error(F.lit("row does not fit its mask")).cast("array<string>")).otherwise(F.col("values"))
+    # A reference to a column not given has place 0, which no array has.
+    place = lambda v: F.array_position("_c", F.conv(F.substr(v, F.lit(3), F.length(v) - 3), 36, 10).cast("int")).cast("int")
+    seen = F.transform(fits, lambda v: F.when((F.col("kind") == "row") & v.rlike(r'^"\^[0-9a-z]+"$'), F.element_at("values", place(v))).otherwise(v))
+    derived = F.transform("_d", lambda c: F.struct(c.alias("_c"), F.lit(None).cast("string").alias("_v")))
+    given = F.transform(F.arrays_zip(F.col("_c"), seen.alias("_v")), lambda z: F.struct(z["_c"].alias("_c"), z["_v"].alias("_v")))
+    cells = wide.select(*UNIT, "kind", F.explode_outer(F.concat(given, derived)).alias("_x")).select(*UNIT, "kind", F.col("_x._c").alias("col"), F.posexplode_outer(_pieces(F.col("_x._v"))).alias("_i", "_p"))
+    ref = F.regexp_extract("_p", r'^"~([0-9a-z]+)"$', 1)
+    coded = cells.withColumn("code", F.when(ref != "", F.conv(ref, 36, 10).cast("bigint"))).join(strings, ["project", "code"], "left")
+    literal = F.when(_is_string(F.col("_p")) & F.col("_p").rlike(r'^"(~~|\^\^)'), F.concat(F.lit('"'), F.substr("_p", F.lit(3)))).otherwise(F.col("_p"))
+    plain = F.when(F.col("code").isNull(), literal).when(F.col("value").isNull(), F.raise_error(F.lit("no such string in the dictionary")).cast("string")).otherwise(F.col("value"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), "")
+    named = coded.withColumn("_t", plain).join(columns, ["project", "category", "col"], "left").repartition(*UNIT)
+    values = named.groupBy(*UNIT, "kind", "col", "name").agg(whole.alias("_t"), F.max("_p").isNull().alias("_derived"))
+    lost = F.when((F.col("kind") == "row") & F.col("col").isNotNull() & F.col("name").isNull(), F.raise_error(F.lit("no such column")).cast("string")).otherwise(F.col("name"))
+    cell = F.when(F.col("col").isNotNull(), F.struct(lost.alias("name"), "_t", "_derived"))
+    met = _once(values.groupBy(*UNIT, "kind").agg(F.collect_list(cell).alias("_l")), "_k", F.to_json(F.col("episode_id").cast("variant")))
+    at = lambda name: F.element_at(F.filter("_l", lambda f: f["name"] == name), 1)["_t"]
+    rebuilt = lambda f: F.when(f["name"] == "episode_id", F.col("_k")).when(f["name"] == "start_sec", _seconds(at("start_ms"))).when(f["name"] == "end_sec", _seconds(at("end_ms")))
+    member = lambda f: F.concat(F.to_json(f["name"].cast("variant")), F.lit(":"), F.when(f["_derived"], rebuilt(f)).otherwise(f["_t"]))
+    item = F.when(F.col("kind") == "row", F.to_json(F.parse_json(_whole(F.transform("_l", member), ",", "{}")))).when(F.col("kind").isin("literal", "scalar"), F.col("_l")[0]["_t"])
+    return met.select(*UNIT, "kind", item.alias("item"))

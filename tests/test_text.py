@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuefold.functions import answers as an
@@ -100,22 +101,38 @@ def test_final_json_literals(spark):
 
 
 def test_transport_is_lossless(spark):
-    rows = [("E1", "c", i, t) for i, t in enumerate([
-        '{"episode_id":"E1","start_ms":1500,"start_sec":1.5,"summary":"a long repeated text","detail":"a long repeated text","n":null,"l":[1,"~x",{"k":"v"}]}',
-        '{"summary":"a long repeated text","note":"~tilde","other":"^caret","empty":[]}', '{"start_sec":2.0,"start_ms":1500,"episode_id":"E2"}', '{"t":"~~","u":"^a"}',
-    ])]
-    items = spark.createDataFrame(rows, "episode_id string, category string, idx bigint, item string")
-    flat = lambda df: sorted((r.idx, r.name, r.value) for r in df.collect())
-    packed = transport.pack(items)
-    assert flat(transport.fields_of(items)) == flat(transport.unpack(*packed))
-    assert [r.value for r in packed[1].collect()] == ['"a long repeated text"']
-
-
-def test_transport_masks_have_any_width(spark):
-    whole = {f"f{i:03d}": i * 1000 for i in range(150)}
-    rows = [("E1", "c", 0, json.dumps(whole)), ("E1", "c", 1, json.dumps({"f003": 1, "f064": 2, "f149": 3})), ("E1", "c", 2, json.dumps({"f000": 1}))]
-    items = spark.createDataFrame(rows, "episode_id string, category string, idx bigint, item string")
-    flat = lambda df: sorted((r.idx, r.name, r.value) for r in df.collect())
-    packed = transport.pack(items)
-    assert flat(transport.fields_of(items)) == flat(transport.unpack(*packed))
-    assert sorted(int(r["mask"], 16) for r in packed[0].collect()) == [1, (1 << 3) + (1 << 64) + (1 << 149), (1 << 150) - 1]
+    long, wide = "a long repeated text", {f"f{i:03d}": i * 1000 for i in range(150)}
+    first = {
+        "c": [
+            {"episode_id": "E1", "start_ms": 1500, "start_sec": 1.5, "summary": long, "detail": long, "n": None, "l": [1, "~x", {"k": "v", "~k": long}]},
+            {"summary": long, "note": "~tilde", "other": "^caret", "empty": [], "o": {}}, {"start_sec": 2.0, "start_ms": 1500, "episode_id": "E2"},
+            {"t": "~~", "u": "^a"}, {}, None, 3, "~literal", long, [1, [long]], {"start_ms": "1500", "start_sec": 1.5},
+        ],
+        "e": [], "s": "scalar ~", "m": {"a": ["~q", "^1"]}, "z": None, "": [{'q"uo\\te': 'back\\slash " and\nline: "x":'}],
+        "w": [wide, {"f003": 1, "f064": 2, "f149": 3}, {"f000": 1}],
+    }
+    docs = {("p", "E1"): first, ("q", "E1"): {"c": [{"summary": "another text here", "x": "another text here", "y": long}]}, ("q", "E2"): {}}
+    given = spark.createDataFrame([(*k, json.dumps(v)) for k, v in docs.items()], "project string, episode_id string, content string")
+    rows, strings, columns = transport.pack(transport.shred(given))
+    back = transport.assemble(transport.unpack(rows, strings, columns))
+    assert {(r.project, r.episode_id): json.loads(r.content) for r in back.collect()} == docs
+    assert sorted((r.project, r.value) for r in strings.collect()) == [("p", f'"{long}"'), ("q", '"another text here"')]
+    masks = sorted(int(r["mask"], 16) for r in rows.where("category = 'w'").collect())
+    assert masks == [1, (1 << 3) + (1 << 64) + (1 << 149), (1 << 150) - 1]
+    dictionary_size = strings.where("project = 'p'").count()
+    assert dictionary_size == 1
+
+
+def test_transport_refuses_what_does_not_fit(spark):
+    units = transport.shred(spark.createDataFrame([("p", "E1", '{"c": [{"a": 1, "b": 2}]}')], "project string, episode_id string, content string"))
+    rows, strings, columns = transport.pack(units)
+    for broken in (rows.withColumn("mask", F.lit("1")), rows.withColumn("values", F.array(F.lit("1"), F.lit('"^7"'))), rows.withColumn("values", F.array(F.lit("1"), F.lit('"~7"'))), rows.withColumn("mask", F.lit("9"))):
+        with pytest.raises(Exception):
+            transport.unpack(broken, strings, columns).collect()
+    with pytest.raises(Exception, match="no JSON object"):
+        transport.shred(spark.createDataFrame([("p", "E1", "[1]")], "project string, episode_id string, content string")).collect()
+
+
+def test_transport_of_nothing(spark):
+    rows, strings, columns = transport.pack(transport.shred(spark.createDataFrame([], "project string, episode_id string, content string")))
+    assert transport.assemble(transport.unpack(rows, strings, columns)).collect() == []
