@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuefold.functions.text import speaker
 from cuefold.operators.intervals import complement, merge_intervals
 from cuefold.operators.overlap import overlap_join, overlap_semi
+from cuefold.session import spread
 
 EP = ["episode_id"]
 SILENCE_MS = 30_000
@@ -241,23 +244,59 @@ def category_coverage(
     )
 
 
+# A task's automaton holds at most so many names; an episode's cues go to tasks in blocks of so many.
+NAMES_A_BLOCK = 20_000
+CUES_A_BLOCK = 200_000
+MENTION_SCHEMA = "episode_id string, needle string, m_first bigint, m_last bigint"
+
+
+def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First and last mention of each needle per tile; rows come tile by tile, its needles before its cues."""
+    tile, automaton, spans, open_for_names = None, ahocorasick.Automaton(), {}, False
+
+    def told() -> pd.DataFrame:
+        return pd.DataFrame([(tile[0], needle, first, last) for needle, (first, last) in spans.items()], columns=["episode_id", "needle", "m_first", "m_last"])
+
+    for frame in frames:
+        for episode, names, cues, is_cue, low, start, end in frame.itertuples(index=False, name=None):
+            if (episode, names, cues) != tile:
+                if spans:
+                    yield told()
+                tile, automaton, spans, open_for_names = (episode, names, cues), ahocorasick.Automaton(), {}, True
+            if not is_cue:
+                automaton.add_word(low, low)
+                continue
+            if open_for_names:
+                automaton.make_automaton()
+                open_for_names = False
+            for needle in {found for _, found in automaton.iter(low)} if len(automaton) else ():
+                first, last = spans.get(needle, (start, end))
+                spans[needle] = (min(first, start), max(last, end))
+    if spans:
+        yield told()
+
+
 def mention_spans(names: DataFrame, cues: DataFrame) -> DataFrame:
     """First and last cue whose text contains each name, ignoring case, within the episode.
 
-    Containment is not an equality. A needle is met on its first three characters (all of it
-    when shorter): cues are keyed by each distinct gram of one to three characters, names by
-    theirs, so the join is an equi join that spreads over grams; the pair is then verified.
+    Containment is not an equality. An episode is cut to tiles, blocks of its names times blocks of its cues, one of each
+    but for a very large one; a task reads a tile's names into an automaton, then lets its cues stream past. A text
+    travels once a block of names, and what comes out of a tile is a row a name. Cues without times mention nobody.
     """
-    lower = F.lower(F.col("text"))
     named = names.select(*EP, "name", F.lower("name").alias("needle")).where(F.trim("name") != "")
-    needle = named.withColumn("gram", F.substring("needle", 1, 3))
-    widths = lambda size: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(lower) - size + 1, F.lit(1))), lambda i: F.substr(lower, i, F.lit(size))
-    )
-    grams = F.array_distinct(F.concat(widths(1), widths(2), widths(3)))
-    texts = spoken(cues).select(*EP, "ordinal", "start_ms", "end_ms", lower.alias("low"), F.explode(grams).alias("gram"))
-    met = texts.join(needle, [*EP, "gram"]).where(F.contains("low", "needle"))
-    return met.groupBy(*EP, "name").agg(F.min("start_ms").alias("m_first"), F.max("end_ms").alias("m_last"))
+    needles = named.select(*EP, "needle").distinct()
+    texts = spoken(cues).where("start_ms IS NOT NULL AND end_ms IS NOT NULL").select(*EP, F.lower("text").alias("low"), "start_ms", "end_ms")
+    sizes = lambda rows, limit, name: rows.groupBy(*EP).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias(name))
+    blocks = sizes(needles, NAMES_A_BLOCK, "n_names").join(sizes(texts, CUES_A_BLOCK, "n_cues"), EP)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    zero = F.lit(0).cast("bigint")
+    left = needles.join(blocks, EP).select(*EP, own("n_names", "needle").alias("names"), every("n_cues").alias("cues"), F.lit(False).alias("is_cue"), F.col("needle").alias("low"), zero.alias("start_ms"), zero.alias("end_ms"))
+    right = texts.join(blocks, EP).select(*EP, every("n_names").alias("names"), own("n_cues", "start_ms", "end_ms", "low").alias("cues"), F.lit(True).alias("is_cue"), "low", "start_ms", "end_ms")
+    tile = [*EP, "names", "cues"]
+    rows = spread(left.unionByName(right), *tile).sortWithinPartitions(*tile, "is_cue")
+    met = rows.mapInPandas(_found, MENTION_SCHEMA).groupBy(*EP, "needle").agg(F.min("m_first").alias("m_first"), F.max("m_last").alias("m_last"))
+    return named.join(met, [*EP, "needle"]).select(*EP, "name", "m_first", "m_last")
 
 
 def character_coverage(cues: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -1,4 +1,12 @@
-"""Arriving subtitle files: cues are stored and coverage is brought up to date for touched episodes."""
+"""Arriving subtitle files: cues and coverage of the newest file of each episode, kept as logs of batches.
+
+Files land as `inbox/delivery/folders/stem.srt`, or without a delivery at the top. An episode is (folders, stem), so equal
+stems in two folders stay apart, and a file comes again under a new delivery: a path that was read once is not read again.
+Each batch appends one folder to three logs, however many episodes it holds and however large one is: cues, coverage, and last the
+list of files read. A reader joins the logs to the newest file of each episode in that list. What a broken batch wrote is in no
+list; a batch run again replaces its own folders; a file without cues is in the list, so its episode has none.
+Spark's file source passes over files of no bytes at all: what clears an episode holds at least a line break.
+"""
 
 from __future__ import annotations
 
@@ -8,38 +16,64 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cuefold.functions.names import stem
 from cuefold.operators.intervals import merge_intervals
-from cuefold.sources.stores import write_partitions
+from cuefold.session import durable
+from cuefold.sources.stores import last_of, log_batch
 from cuefold.sources.subtitles import subrip_cues
 
 FILE_SCHEMA = "value string"
+KEY = ["folder", "episode_id"]
+FILE = [*KEY, "path"]
+LOGS = {
+    "files": "folder string, episode_id string, path string, modified timestamp, batch bigint",
+    "cues": "folder string, episode_id string, path string, start_ms bigint, end_ms bigint, text string, batch bigint",
+    "coverage": "folder string, episode_id string, path string, speech_ms bigint, islands bigint, cues bigint, batch bigint",
+}
 
 
-def file_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Whole SubRip files as they land: episode_id (the file's stem), content."""
-    raw = spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
-    return raw.select(stem(F.col("_metadata.file_path")).alias("episode_id"), F.col("value").alias("content"))
+def file_stream(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFrame:
+    """Whole SubRip files as they land: folder, episode_id (the file's stem), path below the inbox, modified, content."""
+    raw = spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").text(inbox, wholetext=True)
+    root = "/" + inbox.split(":", 1)[-1].strip("/") + "/"
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.substr(whole, F.locate(root, whole) + len(root))
+    folders = F.split(below, "/")
+    folder = F.array_join(F.slice(folders, F.lit(2), F.greatest(F.size(folders) - 2, F.lit(0))), "/")
+    return raw.select(folder.alias("folder"), stem(below).alias("episode_id"), below.alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
 
 
-def coverage_rows(cues: DataFrame) -> DataFrame:
-    """Speech time and islands per episode."""
-    islands = merge_intervals(cues, ["episode_id"], count_as="cues")
-    return islands.groupBy("episode_id").agg(
-        F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.count(F.lit(1)).alias("islands"), F.sum("cues").alias("cues")
+def coverage_rows(cues: DataFrame, keys: list[str] = FILE) -> DataFrame:
+    """Speech time and islands per file."""
+    islands = merge_intervals(cues, keys, count_as="cues")
+    return islands.groupBy(*keys).agg(
+        F.sum(F.col("end_ms") - F.col("start_ms")).cast("bigint").alias("speech_ms"), F.count(F.lit(1)).alias("islands"), F.sum("cues").cast("bigint").alias("cues")
     )
 
 
-def follow(spark: SparkSession, inbox: str, cues_path: str, coverage_path: str, checkpoint: str) -> StreamingQuery:
-    """Start the job: each batch replaces the cue and coverage partitions of its episodes only.
+def store_batch(batch: DataFrame, number: int, store: str) -> None:
+    """Append a batch of files to the logs of `store`; the list of files comes last and makes it visible."""
+    cues = durable(subrip_cues(batch.select(*FILE, "content")).select(*FILE, "start_ms", "end_ms", "text"))
+    log_batch(cues, f"{store}/cues", number)
+    log_batch(coverage_rows(cues), f"{store}/coverage", number)
+    log_batch(batch.select(*FILE, "modified"), f"{store}/files", number)
+
+
+def _log(spark: SparkSession, store: str, name: str) -> DataFrame:
+    return spark.read.schema(LOGS[name]).parquet(f"{store}/{name}")
 
-    A file that comes again replaces its episode, and replaying a batch gives the same partitions.
+
+def current(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """Rows of a log (`files`, `cues` or `coverage`) that belong to the newest file of their episode.
+
+    The newest is the one modified last, of equal times the one of the later path. Episodes whose file has no cues have no rows in
+    `cues` and `coverage`.
     """
+    newest = last_of(_log(spark, store, "files"), KEY, F.struct("modified", "path", "batch"), "path", "batch")
+    return _log(spark, store, name).join(newest, [*FILE, "batch"], "left_semi").drop("batch")
 
-    def store(batch: DataFrame, _: int) -> None:
-        cues = subrip_cues(batch).select("episode_id", "start_ms", "end_ms", "text")
-        write_partitions(cues, cues_path, ["episode_id"])
-        touched = batch.sparkSession.read.schema("start_ms bigint, end_ms bigint, text string, episode_id string").parquet(cues_path).join(
-            batch.select("episode_id").distinct(), "episode_id", "left_semi"
-        )
-        write_partitions(coverage_rows(touched), coverage_path, ["episode_id"])
 
-    return file_stream(spark, inbox).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow(spark: SparkSession, inbox: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Start the job: every file that has come since the last run goes to the logs of `store`."""
+    return (
+        file_stream(spark, inbox).writeStream.foreachBatch(lambda batch, number: store_batch(batch, number, store))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )

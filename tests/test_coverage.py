@@ -120,3 +120,21 @@ def test_episodes_of_two_projects_stay_apart(spark):
     prior = spark.createDataFrame([row("b", "o1", "RESOLVED"), row("c", "o2", "RESOLVED")], shape)
     got = {(r.project, r.gap_id, r.status) for r in reconcile_gaps(found, prior, ["project", "episode_id"]).collect()}
     assert got == {("a", "n1", "PENDING"), ("b", "o1", "RESOLVED"), ("c", "o2", "RESOLVED")}
+
+
+def test_mentions_against_a_loop(spark, monkeypatch):
+    rng = random.Random(7)
+    letters = "abAB é"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(0, n)))
+    cues = [("hot" if rng.random() < 0.7 else "cold", i, i * 10, i * 10 + rng.randrange(1, 50), rng.choice([None, word(3), word(30)])) for i in range(300)]
+    names = list({(e, word(6)) for e in ("hot", "cold", "none") for _ in range(60)})
+    want = {}
+    for e, name in names:
+        met = [(c[2], c[3]) for c in cues if c[0] == e and c[4] and c[4].strip() and name.lower() in c[4].lower()]
+        if name.strip() and met:
+            want[e, name] = (min(a for a, _ in met), max(z for _, z in met))
+    for limits in ((20_000, 200_000), (7, 40)):
+        monkeypatch.setattr(cov, "NAMES_A_BLOCK", limits[0])
+        monkeypatch.setattr(cov, "CUES_A_BLOCK", limits[1])
+        got = cov.mention_spans(spark.createDataFrame(names, "episode_id string, name string"), spark.createDataFrame(cues, CUE)).collect()
+        assert {(r.episode_id, r.name): (r.m_first, r.m_last) for r in got} == want and len(got) == len(want)
