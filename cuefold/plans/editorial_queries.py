@@ -227,30 +227,24 @@ ANSWERS = """base AS (SELECT 'c' || conv_id AS episode_id, turn, role, text, CAS
   CASE WHEN turn % 3 = 0 THEN turn * 4000 + 90000 ELSE turn * 4000 + 4000 END AS e, turn % 5 AS k, turn = 7 AS ex FROM conversations),
 routed AS (SELECT *, 'reveals' AS category FROM base WHERE k = 0 UNION ALL SELECT *, unnest(['strengths', 'strengths_weaknesses']) FROM base WHERE k = 1
   UNION ALL SELECT *, CASE WHEN role = 'user' THEN 'dialogue' ELSE 'major_scenes' END FROM base WHERE k = 2 AND NOT ex UNION ALL SELECT *, 'character_decisions' FROM base WHERE k = 4),
-timed AS (SELECT *, s AS start_ms, CASE WHEN greatest(s, e) > 61000 THEN 60000 ELSE greatest(s, e) END AS end_ms FROM routed)"""
+timed AS (SELECT *, s AS start_ms, CASE WHEN greatest(s, e) > 61000 THEN 60000 ELSE greatest(s, e) END AS end_ms,
+  row_number() OVER (PARTITION BY episode_id, category ORDER BY turn) - 1 AS idx FROM routed)"""
 
 
-@query("answer_evidence", f"WITH {ANSWERS} SELECT episode_id, turn AS chunk_index, category, start_ms, end_ms FROM timed")
+@query("answer_evidence", f"WITH {ANSWERS} SELECT episode_id, turn AS chunk_index, category, idx, start_ms, end_ms FROM timed")
 def answer_evidence(spark, folder):
-    return ev.answer_evidence(_scan_answers(spark, folder)).select("episode_id", "chunk_index", "category", "start_ms", "end_ms")
+    return ev.answer_evidence(_scan_answers(spark, folder)).select("episode_id", "chunk_index", "category", "idx", "start_ms", "end_ms")
 
 
-@query("summary_items", f"""WITH {ANSWERS} SELECT episode_id, category || ':' || turn AS ref, s2 AS start_ms, least(CASE WHEN turn % 3 = 0 THEN greatest(s2, turn * 4000 + 90000) ELSE s2 + 5000 END, 60000) AS end_ms,
+@query("summary_items", f"""WITH {ANSWERS} SELECT episode_id, category || ':' || idx AS ref, s2 AS start_ms, least(CASE WHEN turn % 3 = 0 THEN greatest(s2, turn * 4000 + 90000) ELSE s2 + 5000 END, 60000) AS end_ms,
   CASE category WHEN 'reveals' THEN 'Reveal: ' || t WHEN 'dialogue' THEN '"' || t || '"' WHEN 'major_scenes' THEN t WHEN 'character_decisions' THEN role || ' decides: ' || t WHEN 'strengths_weaknesses' THEN role || ' (' || t || ')'
-   ELSE role || '; ' || CASE role WHEN 'user' THEN 'Dialogue' ELSE 'odd' END || '; ' || t END AS summary,
+   ELSE t || '; ' || role || '; ' || CASE role WHEN 'user' THEN 'Dialogue' ELSE 'odd' END END AS summary,
   CASE category WHEN 'reveals' THEN 'reveal' WHEN 'major_scenes' THEN 'scene' WHEN 'character_decisions' THEN 'decision' WHEN 'strengths_weaknesses' THEN 'trait' ELSE category END AS item_type, role || ',narrator' AS characters
 FROM (SELECT *, turn * 4250 AS s2, trim(text, E' \\n\\t') AS t FROM timed)""")
 def summary_items(spark, folder):
-    rows = ev.answer_evidence(_scan_answers(spark, folder)).withColumn("idx", F.col("chunk_index"))
+    rows = ev.answer_evidence(_scan_answers(spark, folder))
     eps = rows.groupBy("episode_id").agg(F.max("duration_ms").alias("duration_ms"))
-    sorted_texts = ev.summary_items(rows.drop("duration_ms"), eps)
-    return sorted_texts.select("episode_id", "ref", "start_ms", "end_ms", _other_order(F.col("category"), F.col("summary")).alias("summary"), "item_type", F.array_join("characters", ",").alias("characters"))
-
-
-def _other_order(category, summary):
-    """Texts of an unlisted category come in key order (category, character, summary); the oracle names the character first."""
-    parts = F.split(summary, "; ", 3)
-    return F.when(category == "strengths", F.concat_ws("; ", parts[1], parts[0], parts[2])).otherwise(summary)
+    return ev.summary_items(rows.drop("duration_ms"), eps).select("episode_id", "ref", "start_ms", "end_ms", "summary", "item_type", F.array_join("characters", ",").alias("characters"))
 
 
 def _summary_rows(spark, folder):

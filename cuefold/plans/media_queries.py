@@ -96,6 +96,20 @@ def strip_formatting(spark, folder):
     return body.withColumn("text", F.regexp_replace("text", "<é>\n\nend$", "<é> \nend"))
 
 
+@query("normalised_cues", """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0.0::DOUBLE WHEN event_id % 4 = 1 THEN CAST(event_id AS DOUBLE) ELSE event_id / 1000.0::DOUBLE END AS start_sec,
+ CASE event_id % 4 WHEN 0 THEN (event_id + 500) / 1000.0::DOUBLE WHEN 1 THEN event_id + 2.5::DOUBLE WHEN 2 THEN event_id + 1.0::DOUBLE ELSE 0.0::DOUBLE END AS end_sec,
+ CASE WHEN event_id % 4 = 3 THEN '' ELSE props END AS text FROM events""")
+def normalised_cues(spark, folder):
+    """Cues told in milliseconds, in seconds, as lists, and as something else."""
+    e, n = b.table(spark, folder, "events"), F.col("event_id")
+    shapes = (
+        F.to_json(F.struct(n.alias("start_ms"), (n + 500).alias("end_ms"), F.col("props").alias("text"))), F.to_json(F.struct(n.alias("start_sec"), (n + 2.5).alias("end_sec"), n.alias("start_ms"), F.col("props").alias("text"))),
+        F.concat(F.lit("["), n / 1000, F.lit(","), n + 1, F.lit(","), F.to_json(F.col("props").cast("variant")), F.lit("]")), F.to_json(F.col("props").cast("variant")),
+    )
+    cue = F.when(n % 4 == 0, shapes[0]).when(n % 4 == 1, shapes[1]).when(n % 4 == 2, shapes[2]).otherwise(shapes[3])
+    return e.select("event_id", subtitles.cue_fields(cue).alias("_c")).select("event_id", "_c.*")
+
+
 @query("plain_page_text")
 def plain_page_text(spark, folder):
     """Whole pages without tags and entities; Python's entity table has no SQL twin."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuefold.operators.ranking import ranked
+
 # The categories an answer may use as keys.
 CATEGORIES = (
     "major_scenes", "dialogue", "character_decisions", "supporting_developments", "relationships", "reveals", "reversals",
@@ -31,12 +33,17 @@ def kind(value: Column) -> Column:
 
 
 def objects(answers: DataFrame, content: str = "content") -> DataFrame:
-    """One row per object of each array in a JSON object: carried columns, key, at, item."""
+    """One row per object of each array in a JSON object: carried columns, key, at, item, names.
+
+    `names` are the item's fields in the order of the document, which VARIANT does not keep; only the lists whose
+    items have no sentence of their own need them, for others they are null.
+    """
     carried = [c for c in answers.columns if c != content]
-    parsed = answers.select(*carried, F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>").alias("_m"))
-    lists = parsed.select(*carried, F.explode("_m").alias("key", "_v"))
-    rows = lists.select(*carried, "key", F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("at", "item"))
-    return rows.where(kind(F.col("item")) == "OBJECT")
+    parsed = answers.select(*carried, F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>").alias("_m"), F.from_json(content, "map<string,string>").alias("_t"))
+    text = F.when(F.col("key").isin(*PAIRED), F.from_json(F.try_element_at("_t", F.col("key")), "array<string>"))
+    lists = parsed.select(*carried, "_t", F.explode("_m").alias("key", "_v")).withColumn("_t", text)
+    rows = lists.select(*carried, "key", "_t", F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("at", "item"))
+    return rows.where(kind(F.col("item")) == "OBJECT").withColumn("names", F.json_object_keys(F.get("_t", F.col("at")))).drop("_t")
 
 
 def route_categories(rows: DataFrame) -> DataFrame:
@@ -140,11 +147,12 @@ def with_summary(rows: DataFrame) -> DataFrame:
         # A second field stands in only where the first is absent, not where it is empty.
         point = either(F.trim(F.coalesce(*[F.col(f"_f.{x}") for x in fields])), fallback)
         rules[name] = (F.lit(item_type), if_any(point, F.concat(F.lit(words), point)))
-    # Any other category: all its texts, in key order.
+    # Any other category: all its texts, in the order of the document where that is known, else in key order.
     values = F.coalesce(F.try_variant_get("item", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    order = F.coalesce(F.col("names"), F.map_keys(values)) if "names" in rows.columns else F.map_keys(values)
+    words = lambda v: F.when(kind(v) == "STRING", F.trim(F.try_variant_get(v, "$", "string")))
     texts = F.filter(
-        F.transform(F.map_entries(values), lambda e: F.when((kind(e["value"]) == "STRING") & ~e["key"].isin("episode_id", "item_type"), F.trim(F.try_variant_get(e["value"], "$", "string")))),
-        lambda t: t.isNotNull() & (t != ""),
+        F.transform(F.filter(order, lambda k: ~k.isin("episode_id", "item_type")), lambda k: words(F.try_element_at(values, k))), lambda t: t.isNotNull() & (t != "")
     )
     category = F.col("category")
     pair = lambda item_type, sentence: F.struct(item_type.alias("item_type"), sentence.alias("sentence"))
@@ -174,11 +182,17 @@ def summary_items(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def answer_evidence(answers: DataFrame) -> DataFrame:
-    """Evidence rows of scan answers: routed, timed, indexed per (episode, category) in chunk order.
+    """Evidence rows of scan answers: routed, timed, and numbered from 0 per (episode, category) as `idx`.
 
-    answers: episode_id, chunk_index, chunk_start_ms, chunk_end_ms, duration_ms, content.
+    answers: episode_id, chunk_index, chunk_start_ms, chunk_end_ms, duration_ms, content. Items stand in the order of their
+    chunks; within one, those of the category's own list come first, then strengths, weaknesses, and events. A season is
+    numbered in ranges, so no task holds an episode. A `project` column, where there is one, is part of the key.
     """
-    return normalise_times(route_categories(objects(answers)))
+    rows = normalise_times(route_categories(objects(answers)))
+    source = F.when(F.col("key") == F.col("category"), 0).when(F.col("key") == "strengths", 1).when(F.col("key") == "weaknesses", 2).otherwise(3)
+    keys = [*[c for c in ("project",) if c in rows.columns], "episode_id", "category"]
+    numbered = ranked(rows.withColumn("_source", source), keys, ["chunk_index", "_source", "at"], "_n")
+    return numbered.withColumn("idx", F.col("_n") - 1).drop("_n", "_source")
 
 
 def offline_evidence(cues: DataFrame) -> DataFrame:

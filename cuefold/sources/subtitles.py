@@ -134,6 +134,25 @@ def companion_cues(videos: DataFrame, documents: DataFrame) -> DataFrame:
     return cues.join(best, ["video", "rank"], "left_semi")
 
 
+def cue_fields(cue: Column) -> Column:
+    """struct(start_sec, end_sec, text) of a cue's JSON text: an object in seconds, else in milliseconds, or a list of start, end, text.
+
+    A time that is absent is 0, one that is no number is null; anything else is a cue of no length and no text.
+    """
+    value = F.try_parse_json(cue)
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    listed = F.size(parts) >= 3
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    given = lambda name: F.try_variant_get(F.try_element_at(fields, F.lit(name)), "$", "double")
+    has = lambda name: F.coalesce(F.map_contains_key(fields, name), F.lit(False))
+    at = lambda place, edge: (
+        F.when(listed, F.try_variant_get(F.get(parts, F.lit(place)), "$", "double")).when(has(f"{edge}_sec"), given(f"{edge}_sec"))
+        .when(has(f"{edge}_ms"), given(f"{edge}_ms") / 1000).otherwise(0.0)
+    )
+    text = F.when(listed, F.try_variant_get(F.get(parts, F.lit(2)), "$", "string")).otherwise(F.try_variant_get(F.try_element_at(fields, F.lit("text")), "$", "string"))
+    return F.struct(at(0, "start").alias("start_sec"), at(1, "end").alias("end_sec"), F.coalesce(text, F.lit("")).alias("text"))
+
+
 def srt_text(cues: DataFrame, keys: Sequence[str], order: Sequence[str] = ("start_ms", "end_ms")) -> DataFrame:
     """One SubRip document per key: numbered blocks of the cues that say something."""
     kept = cues.where(F.trim("text") != "")

@@ -1,6 +1,9 @@
 """Text, name, subtitle and answer rules on their literal cases."""
 
+import html
+import html.entities
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from cuefold.functions import text as tx
 from cuefold.functions.rational import aspect_ratio, frame_rate, time_base
 from cuefold.operators import checks as ck
 from cuefold.operators.selection import best_subtitles
-from cuefold.sources import catalogue, subtitles, transport
+from cuefold.sources import catalogue, evidence, subtitles, transport
 
 
 def one(spark, value, expression):
@@ -136,3 +139,34 @@ def test_transport_refuses_what_does_not_fit(spark):
 def test_transport_of_nothing(spark):
     rows, strings, columns = transport.pack(transport.shred(spark.createDataFrame([], "project string, episode_id string, content string")))
     assert transport.assemble(transport.unpack(rows, strings, columns)).collect() == []
+
+
+def test_character_references_are_those_of_python(spark):
+    rng = random.Random(5)
+    names = sorted(html.entities.html5)
+    parts = ["&", ";", "#", "&#", "&#x", " ", "a", "é", "&amp", "&ampx", "&notit;", "&nosuch;", "&#0;", "&#x80;", "&#129;", "&#xD800;", "&#1114112;", "&#99999999999;", "&#0000000065", "&#11;", "&#xfffe;", "&#x1F600;", "&\t", "&&lt;&"]
+    texts = ["&" + n for n in names] + ["".join(rng.choice(parts) if rng.random() < 0.7 else "&" + rng.choice(names) for _ in range(rng.randrange(8))) for _ in range(3000)] + [None, "", "&" * 5000, "&" + "x" * 100_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.unescape(F.col("t")).alias("u")).collect()
+    wrong = [(texts[r.i], r.u, html.unescape(texts[r.i])) for r in rows if texts[r.i] is not None and r.u != html.unescape(texts[r.i])]
+    assert wrong == [] and len(rows) == len(texts)
+
+
+def test_evidence_items_are_numbered_by_category(spark):
+    one = '{"events": [{"category": "Reveals", "summary": "r1"}, {"summary": "m1"}], "weaknesses": [{"z": "w", "a": "1"}], "strengths": [{"summary": "s"}], "reveals": [{"reveal": "r0"}, 7, {"reveal": "r0b"}]}'
+    two = '{"reveals": [{"reveal": "r2"}], "strengths_weaknesses": [{"strength": "t"}]}'
+    rows = [(p, "E1", n, n * 1000, n * 1000 + 1000, 90_000, c) for p in ("p", "q") for n, c in ((10, two), (2, one))]
+    answers = spark.createDataFrame(rows, "project string, episode_id string, chunk_index int, chunk_start_ms bigint, chunk_end_ms bigint, duration_ms bigint, content string")
+    told = evidence.with_summary(evidence.answer_evidence(answers)).where("project = 'q'").collect()
+    got = {(r.category, r.idx): r.summary for r in told}
+    assert got == {
+        ("reveals", 0): "Reveal: r0", ("reveals", 1): "Reveal: r0b", ("reveals", 2): "Reveal: r1", ("reveals", 3): "Reveal: r2", ("major_scenes", 0): "m1",
+        ("strengths", 0): "s", ("weaknesses", 0): "w; 1", ("strengths_weaknesses", 0): "s", ("strengths_weaknesses", 1): got["strengths_weaknesses", 1], ("strengths_weaknesses", 2): "strength: t",
+    }
+
+
+def test_cues_of_any_shape(spark):
+    given = ['{"start_ms": 1500, "end_ms": "2500", "text": "a"}', '{"start_ms": 9, "start_sec": 2.5, "end_sec": 3, "text": 7}', '[1, 2.5, "b", 4]', '[1, 2]', '"x"', "{}", "no json", None, '{"start_sec": "?", "text": null}']
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, cue string").select("i", subtitles.cue_fields(F.col("cue")).alias("c")).select("i", "c.*").collect()
+    assert {r.i: (r.start_sec, r.end_sec, r.text) for r in rows} == {
+        0: (1.5, 2.5, "a"), 1: (2.5, 3.0, "7"), 2: (1.0, 2.5, "b"), 3: (0.0, 0.0, ""), 4: (0.0, 0.0, ""), 5: (0.0, 0.0, ""), 6: (0.0, 0.0, ""), 7: (0.0, 0.0, ""), 8: (None, 0.0, ""),
+    }
