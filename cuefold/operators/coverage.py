@@ -1,4 +1,7 @@
-"""Coverage ledger of an episode: timelines, gaps, categories, characters, chunks, status."""
+"""Coverage ledger of an episode: timelines, gaps, categories, characters, chunks, status.
+
+Tables may have a `project` column: then episodes are those of their project.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from cuefold.functions.text import speaker
 from cuefold.operators.intervals import complement, merge_intervals
 from cuefold.operators.overlap import overlap_join, overlap_semi
+from cuefold.operators.projects import per_project
 from cuefold.session import spread
 
 EP = ["episode_id"]
@@ -53,11 +57,13 @@ def unobserved(cues: DataFrame, visual: DataFrame, episodes: DataFrame) -> DataF
     return complement(observed(cues, visual), duration_of(episodes), EP)
 
 
+@per_project("episode_id")
 def silence_gaps(cues: DataFrame, visual: DataFrame, episodes: DataFrame) -> DataFrame:
     """Long stretches that nothing covers."""
     return unobserved(cues, visual, episodes).where(F.col("end_ms") - F.col("start_ms") >= SILENCE_MS)
 
 
+@per_project("episode_id")
 def timeline_coverage(cues: DataFrame, visual: DataFrame, evidence: DataFrame, episodes: DataFrame) -> DataFrame:
     """Union length of each timeline and its share of the duration, capped at 1.
 
@@ -84,6 +90,7 @@ def timeline_coverage(cues: DataFrame, visual: DataFrame, evidence: DataFrame, e
     return full.select("*", *[ratio(lane).alias(f"{lane}_ratio") for lane in ("transcript", "visual", "evidence")])
 
 
+@per_project("episode_id")
 def dropped_speech(cues: DataFrame, evidence: DataFrame) -> DataFrame:
     """Speech islands of at least 30 s and 3 cues that no evidence island intersects.
 
@@ -95,6 +102,7 @@ def dropped_speech(cues: DataFrame, evidence: DataFrame) -> DataFrame:
     return overlap_semi(long, proof, EP, ["start_ms"], anti=True, inclusive=False)
 
 
+@per_project("episode_id")
 def fixed_chunks(episodes: DataFrame, step_ms: int = 600_000, lo: int = 60_000, hi: int = 900_000) -> DataFrame:
     """Equal steps over each episode; the step is clamped, the last chunk is short."""
     step = max(lo, min(hi, step_ms))
@@ -104,11 +112,13 @@ def fixed_chunks(episodes: DataFrame, step_ms: int = 600_000, lo: int = 60_000,
     return begun.select(*EP, "chunk_index", "start_ms", F.least(F.col("start_ms") + step, F.col("duration_ms")).alias("end_ms"))
 
 
+@per_project("episode_id")
 def chunk_cues(chunks: DataFrame, cues: DataFrame) -> DataFrame:
     """Cues touching each chunk (bounds included), so a cue may serve two chunks."""
     return overlap_join(chunks, spoken(cues), EP, inclusive=True)
 
 
+@per_project("episode_id")
 def chunk_coverage(chunks: DataFrame, cues: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per chunk: cues, evidence items, categories, characters, status."""
     ids = [*EP, "chunk_index"]
@@ -142,6 +152,7 @@ def chunk_sparsity(chunks: DataFrame, cues: DataFrame, evidence: DataFrame) -> D
     return chunk_coverage(chunks, cues, evidence).where("status = 'SPARSE_EVIDENCE'")
 
 
+@per_project("episode_id")
 def speaker_lines(cues: DataFrame) -> DataFrame:
     """Tagged lines per (episode, speaker), with the span and the first position."""
     return (
@@ -154,6 +165,7 @@ def speaker_lines(cues: DataFrame) -> DataFrame:
     )
 
 
+@per_project("episode_id")
 def evidence_people(evidence: DataFrame) -> DataFrame:
     """Evidence items per (episode, name)."""
     named = evidence.select(*EP, "category", "start_ms", "end_ms", F.explode(F.array_distinct("characters")).alias("name"))
@@ -166,6 +178,7 @@ def evidence_people(evidence: DataFrame) -> DataFrame:
     )
 
 
+@per_project("episode_id")
 def character_deficit(cues: DataFrame, evidence: DataFrame) -> DataFrame:
     """Speakers with several lines whom the evidence hardly knows."""
     lines = speaker_lines(cues).where(F.col("lines") >= DEFICIT_LINES)
@@ -176,6 +189,7 @@ def character_deficit(cues: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+@per_project("episode_id")
 def category_deficit(cues: DataFrame, evidence: DataFrame, episodes: DataFrame, critical: Sequence[str] = CRITICAL) -> DataFrame:
     """Critical categories without an item, where there is enough dialogue and time to expect one."""
     talk = spoken(cues).groupBy(*EP).agg(F.count(F.lit(1)).alias("n_cues")).where(F.col("n_cues") >= DEFICIT_CUES)
@@ -185,6 +199,7 @@ def category_deficit(cues: DataFrame, evidence: DataFrame, episodes: DataFrame,
     return wanted.join(have, [*EP, "category"], "left_anti")
 
 
+@per_project("episode_id")
 def detect_gaps(
     cues: DataFrame, visual: DataFrame, evidence: DataFrame, episodes: DataFrame, chunks: DataFrame | None = None
 ) -> DataFrame:
@@ -216,6 +231,7 @@ def detect_gaps(
     )
 
 
+@per_project("episode_id")
 def category_coverage(
     evidence: DataFrame, cues: DataFrame, visual: DataFrame, episodes: DataFrame, gaps: DataFrame, categories: Sequence[str]
 ) -> DataFrame:
@@ -276,6 +292,7 @@ def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield told()
 
 
+@per_project("episode_id")
 def mention_spans(names: DataFrame, cues: DataFrame) -> DataFrame:
     """First and last cue whose text contains each name, ignoring case, within the episode.
 
@@ -299,6 +316,7 @@ def mention_spans(names: DataFrame, cues: DataFrame) -> DataFrame:
     return named.join(met, [*EP, "needle"]).select(*EP, "name", "m_first", "m_last")
 
 
+@per_project("episode_id")
 def character_coverage(cues: DataFrame, evidence: DataFrame) -> DataFrame:
     """Lines, mentions and evidence per character."""
     lines = speaker_lines(cues).select(*EP, "name", "lines")
@@ -319,6 +337,7 @@ def character_coverage(cues: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+@per_project("episode_id")
 def episode_status(timeline: DataFrame, gaps: DataFrame) -> DataFrame:
     """One status per episode from its timelines and its open gaps."""
     open_gaps = gaps.where("is_actionable and status = 'PENDING'").groupBy(*EP).agg(F.count(F.lit(1)).alias("open_gaps"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,45 @@ OPERATIONAL = (
 )
 
 
+# Between a project and an id; no name holds it.
+BETWEEN = "\x1f"
+
+
+def per_project(*keys: str) -> Callable:
+    """An operator on tables keyed by `keys` that keeps projects apart where its tables have a `project` column.
+
+    Ids are only unique inside a project (every project has an E01). The project goes into the keys before the operator runs, so
+    it is part of every join, group and window there, and comes out as a column of its own. A null project is the project ''.
+    Tables without the column are one project; all tables have it or none has.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args, **named):
+            given = [a for a in (*args, *named.values()) if isinstance(a, DataFrame)]
+            with_project = ["project" in t.columns for t in given]
+            if not any(with_project):
+                return operator(*args, **named)
+            if not all(with_project):
+                raise ValueError(f"{operator.__name__}: some tables have a project and some have none")
+            project = F.coalesce(F.col("project").cast("string"), F.lit(""))
+
+            def inside(value):
+                if not isinstance(value, DataFrame):
+                    return value
+                return value.withColumns({k: F.concat(project, F.lit(BETWEEN), F.col(k)) for k in keys if k in value.columns}).drop("project")
+
+            out = operator(*map(inside, args), **{name: inside(value) for name, value in named.items()})
+            present = [k for k in keys if k in out.columns]
+            part = lambda k, n: F.get(F.split(F.col(k), BETWEEN, 2), F.lit(n))
+            columns = [part(c, 1).alias(c) if c in present else F.col(c) for c in out.columns]
+            return out.select(part(present[0], 0).alias("project"), *columns)
+
+        return run
+
+    return wrap
+
+
 def upsert_outputs(stored: DataFrame, current: DataFrame, keys: Sequence[str] = ("project", "output_id")) -> DataFrame:
     """Stored outputs with the operational fields of the current run; new outputs are appended."""
     fields = [c for c in OPERATIONAL if c in current.columns]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefold.functions.requests import no_dialogue, transcript_line
+from cuefold.operators.projects import per_project
 from cuefold.operators.overlap import overlap_join
 from cuefold.operators.ranking import ranked
 
@@ -15,6 +16,7 @@ EP = ["episode_id"]
 QUOTE_WORDS = 14
 
 
+@per_project("episode_id")
 def scene_bins(cues: DataFrame, episodes: DataFrame) -> DataFrame:
     """Two to four equal scenes per episode: as many as cues up to four, else three."""
     n = cues.groupBy(*EP).agg(F.count(F.lit(1)).alias("_n"))
@@ -23,6 +25,7 @@ def scene_bins(cues: DataFrame, episodes: DataFrame) -> DataFrame:
     return _bins(sized)
 
 
+@per_project("episode_id")
 def silent_bins(episodes: DataFrame) -> DataFrame:
     """Scenes of an episode without speech: three from fifteen seconds on, else two."""
     sized = episodes.select(*EP, F.greatest("duration_ms", F.lit(3000)).alias("_t"))
@@ -35,6 +38,7 @@ def _bins(sized: DataFrame) -> DataFrame:
     return rows.select(*EP, "scene", F.col("_k").alias("scenes"), edge(F.col("scene")).alias("start_ms"), F.least(edge(F.col("scene") + 1), F.col("_t")).alias("end_ms"))
 
 
+@per_project("episode_id")
 def scene_dialogue(bins: DataFrame, cues: DataFrame) -> DataFrame:
     """First words said in each scene: a cue belongs where it starts, ends, or spans the whole.
 

@@ -31,44 +31,44 @@ def _spans(spark: SparkSession, folder: str) -> DataFrame:
     start = F.expr("cast((hour(ts) * 60 + minute(ts)) * 60000 + floor(extract(SECOND FROM ts) * 1000) as bigint)")
     length = F.round(F.col("value") * 1000).cast("bigint")
     return table(spark, folder, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("episode_id"),
+        F.concat(F.lit("p"), F.col("user_id") % 2).alias("project"), F.date_format("ts", "yyyy-MM-dd").alias("episode_id"),
         "event_id", "user_id", "event_type", "props",
         start.alias("start_ms"),
         F.least(start + length, F.lit(DAY_MS).cast("bigint")).alias("end_ms"),
     )
 
 
-def episodes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per day: episode_id, duration_ms. Counted from the table, with map-side combine."""
-    days = _spans(spark, folder).groupBy("episode_id").agg(F.count(F.lit(1)).alias("_n"))
-    return days.select("episode_id", F.lit(DAY_MS).cast("bigint").alias("duration_ms"))
+def episodes(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per day: episode_id, duration_ms. Counted from the table, with map-side combine; `by` project, per project and day."""
+    days = _spans(spark, folder).groupBy(*by, "episode_id").agg(F.count(F.lit(1)).alias("_n"))
+    return days.select(*by, "episode_id", F.lit(DAY_MS).cast("bigint").alias("duration_ms"))
 
 
-def cues(spark: SparkSession, folder: str) -> DataFrame:
+def cues(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
     text = F.concat(F.lit("u"), F.col("user_id"), F.lit(": "), F.col("event_type"), F.lit(" "), F.col("props"))
     return (
         _spans(spark, folder)
         .where(F.col("event_type").isin("view", "click"))
-        .select("episode_id", F.col("event_id").alias("ordinal"), "start_ms", "end_ms", text.alias("text"))
+        .select(*by, "episode_id", F.col("event_id").alias("ordinal"), "start_ms", "end_ms", text.alias("text"))
     )
 
 
-def visual(spark: SparkSession, folder: str) -> DataFrame:
-    return _spans(spark, folder).where(F.col("event_type") == "signup").select("episode_id", "start_ms", "end_ms")
+def visual(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return _spans(spark, folder).where(F.col("event_type") == "signup").select(*by, "episode_id", "start_ms", "end_ms")
 
 
 def category_of(user: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CATEGORIES)), (user % len(CATEGORIES) + 1).cast("int"))
 
 
-def evidence(spark: SparkSession, folder: str) -> DataFrame:
+def evidence(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Purchases fall in the category of their buyer, errors are failures."""
     category = F.when(F.col("event_type") == "error", F.lit("failures")).otherwise(category_of(F.col("user_id")))
     return (
         _spans(spark, folder)
         .where(F.col("event_type").isin("purchase", "error"))
         .select(
-            "episode_id", category.alias("category"), F.col("event_id").alias("idx"), "start_ms", "end_ms",
+            *by, "episode_id", category.alias("category"), F.col("event_id").alias("idx"), "start_ms", "end_ms",
             F.array(F.concat(F.lit("u"), F.col("user_id"))).alias("characters"),
             F.concat(F.col("event_type"), F.lit(" by u"), F.col("user_id"), F.lit(" "), F.col("props")).alias("summary"),
         )

@@ -161,6 +161,41 @@ def coverage_gaps(spark, folder):
     return gaps.withColumns({c: F.array_join(c, ",") for c in ("target_categories", "target_characters")})
 
 
+# Two projects that both have every day; an episode is a day of a project.
+OF_PROJECT = T.replace("strftime(ts, '%Y-%m-%d') AS episode_id", "'p' || user_id % 2 || '/' || strftime(ts, '%Y-%m-%d') AS episode_id")
+_APART = "split_part(episode_id, '/', 1) AS project, split_part(episode_id, '/', 2) AS episode_id"
+
+
+def _of_projects(spark, folder):
+    return [table(spark, folder, ("project",)) for table in (b.cues, b.visual, b.evidence, b.episodes)]
+
+
+@query(
+    "project_gaps",
+    f"""{OF_PROJECT},\n{DETECTED} SELECT {_APART}, printf('gap_%s_%02d', kind, n) AS gap_id, gap_type, CAST(n AS INTEGER) AS ordinal, start_ms, end_ms,
+  cats AS target_categories, chars AS target_characters, act AS is_actionable, status FROM gaps""",
+)
+def project_gaps(spark, folder):
+    cues, visual, evidence, eps = _of_projects(spark, folder)
+    gaps = cov.detect_gaps(cues, visual, evidence, eps, cov.fixed_chunks(eps))
+    return gaps.withColumns({c: F.array_join(c, ",") for c in ("target_categories", "target_characters")})
+
+
+@query(
+    "project_status",
+    f"""{OF_PROJECT},\n{DETECTED},\n{VIS_ISLANDS},
+vr AS (SELECT episode_id, sum(end_ms - start_ms) / 86400000 AS ratio FROM vi GROUP BY ALL),
+og AS (SELECT episode_id, count(*) AS n FROM gaps WHERE act AND status = 'PENDING' GROUP BY ALL)
+SELECT {_APART.replace('episode_id,', 'e.episode_id,')}, coalesce(og.n, 0) AS open_gaps,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM seen s WHERE s.episode_id = e.episode_id) THEN 'EMPTY_NO_DATA'
+       WHEN og.n > 0 THEN 'PARTIAL_WITH_GAPS' WHEN vr.ratio >= 0.85 THEN 'COMPLETE' ELSE 'COMPLETE_TRANSCRIPT_ONLY' END AS status
+FROM episodes e LEFT JOIN og USING (episode_id) LEFT JOIN vr USING (episode_id)""",
+)
+def project_status(spark, folder):
+    cues, visual, evidence, eps = _of_projects(spark, folder)
+    return cov.episode_status(cov.timeline_coverage(cues, visual, evidence, eps), cov.detect_gaps(cues, visual, evidence, eps, cov.fixed_chunks(eps)))
+
+
 @query(
     "category_coverage",
     f"""{T},\n{DETECTED},

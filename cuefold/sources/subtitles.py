@@ -58,7 +58,8 @@ def _block_cues(documents: DataFrame, body: Column, times: str, parse, skip_note
 
 
 def _clean(cues: DataFrame) -> DataFrame:
-    return cues.withColumn("text", strip_formatting(F.col("_raw"))).drop("_raw").where(F.col("text") != "")
+    # Behind a generator the text is worked out once, not again for the filter.
+    return cues.withColumn("text", F.explode(F.array(strip_formatting(F.col("_raw"))))).drop("_raw").where(F.col("text") != "")
 
 
 def subrip_cues(documents: DataFrame) -> DataFrame:
