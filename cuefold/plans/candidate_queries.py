@@ -10,7 +10,7 @@ from cuefold.operators import grounding as gr
 from cuefold.operators import similarity as sim
 from cuefold.operators import verification as vf
 from cuefold.plans import bindings as b
-from cuefold.plans.registry import query
+from cuefold.plans.registry import ORACLES, query
 from cuefold.sources import candidates as candidates_source
 
 C = f"WITH RECURSIVE {b.CANDIDATES_SQL}"
@@ -76,6 +76,19 @@ def grounded_candidates(spark, folder):
     return out.select("proposal_id", F.array_join("episodes", ",").alias("episodes"), span["start_ms"].alias("start_ms"), span["end_ms"].alias("end_ms"), "scope", "issue")
 
 
+# Two projects with the same proposal and episode ids; the second has only the first days.
+FEWER = ORACLES["grounded_candidates"].replace("JOIN eps ", "JOIN (SELECT * FROM eps WHERE episode_id <= '2024-01-12') ")
+
+
+@query("project_grounding", f"SELECT 'p0' AS project, * FROM ({ORACLES['grounded_candidates']}) UNION ALL SELECT 'p1' AS project, * FROM ({FEWER})")
+def project_grounding(spark, folder):
+    both = F.explode(F.array(F.lit("p0"), F.lit("p1"))).alias("project")
+    eps = _episodes(spark, folder).select(both, "*").where("project = 'p0' OR episode_id <= '2024-01-12'")
+    out = gr.ground_candidates(b.candidates(spark, folder).drop("project").select(both, "*"), eps)
+    span = F.get("ranges", F.lit(0))
+    return out.select("project", "proposal_id", F.array_join("episodes", ",").alias("episodes"), span["start_ms"].alias("start_ms"), span["end_ms"].alias("end_ms"), "scope", "issue")
+
+
 @query("recovered_candidates", f"""{C}, {EPS}, rr AS (SELECT DISTINCT id, unnest(refs) AS ref FROM cand),
 known AS (SELECT ref FROM rr GROUP BY ref HAVING count(*) > 1), held AS (SELECT id, count(*) AS n FROM rr WHERE ref IN (SELECT ref FROM known) GROUP BY id),
 kk AS (SELECT c.id, count(*) AS n FROM (SELECT id, unnest(list_distinct(eps)) AS ep FROM cand) c JOIN eps ON ep = episode_id GROUP BY id)
